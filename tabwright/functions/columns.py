@@ -69,17 +69,23 @@ def numeric_cells(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
     )
 
 
+def is_flat(x: Column) -> Column:
+    """All values equal. Merged moments of a constant carry rounding noise, its extremes do not."""
+    return F.min(x) == F.max(x)
+
+
 def adjusted_skew(x: Column) -> Column:
     """Bias-adjusted sample skewness (G1); 0 for constants and for n <= 2."""
     n = F.count(x).cast("double")
     g1 = F.skewness(x)
     scaled = g1 * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0))
-    return F.when(F.count(x) <= 2, F.lit(0.0)).otherwise(F.coalesce(scaled, F.lit(0.0)))
+    flat = (F.count(x) <= 2) | is_flat(x)
+    return F.when(flat, F.lit(0.0)).otherwise(F.coalesce(scaled, F.lit(0.0)))
 
 
 def sample_std(x: Column) -> Column:
-    """Sample standard deviation, 0 when fewer than two values."""
-    return F.when(F.count(x) <= 1, F.lit(0.0)).otherwise(F.stddev_samp(x))
+    """Sample standard deviation, 0 when fewer than two values or all equal."""
+    return F.when((F.count(x) <= 1) | is_flat(x), F.lit(0.0)).otherwise(F.stddev_samp(x))
 
 
 def one_row(df: DataFrame) -> Column:
@@ -94,4 +100,5 @@ def ratio(a: Column, b: Column) -> Column:
 
 def pearson(x: Column, y: Column) -> Column:
     """Correlation that yields NULL instead of an ANSI error when one side is constant."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(~is_flat(x) & ~is_flat(y), r)

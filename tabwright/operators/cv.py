@@ -16,7 +16,9 @@ from tabwright.operators import metrics as met
 from tabwright.operators.folds import FOLD, assign_folds
 from tabwright.operators.models import LABEL, WEIGHT, Candidate, TrainingFacts, predictions
 from tabwright.operators.problem import LOWER_IS_BETTER, Problem, encode_label
-from tabwright.session import ensure_checkpoint_dir, reliable, spread
+from tabwright.session import ensure_checkpoint_dir, local_table, reliable, spread
+
+SMALL_ROWS = 500_000
 
 RESULT_SCHEMA = (
     "model_id string, name string, fold int, metric string, value double, "
@@ -41,6 +43,11 @@ class FoldedData:
     moments: dict[int, tuple[int, float, float]]  # fold -> (rows, label mean, label variance)
     cached: dict[int, DataFrame] = field(default_factory=dict)
 
+    @property
+    def folds_at_once(self) -> int:
+        """Folds are evaluated side by side only while k encoded copies are small."""
+        return self.k if sum(m[0] for m in self.moments.values()) <= SMALL_ROWS else 1
+
     def sizes(self, fold: int) -> tuple[int, int]:
         total = sum(m[0] for m in self.moments.values())
         held = self.moments.get(fold, (0, 0.0, 0.0))[0]
@@ -83,8 +90,9 @@ def fold_data(
     """Drop rows without a target, tag folds, and fit all k encodings in a few shared passes."""
     wanted = list(dict.fromkeys([*plan.inputs, problem.target, *(key_cols or [])]))
     labelled = encode_label(df.select(*[quoted(c) for c in wanted]), problem)
-    folded = assign_folds(labelled, k, key_cols, seed, LABEL if problem.stratified else None)
-    rows = reliable(spread(folded.select(FOLD, LABEL, *[quoted(c) for c in plan.inputs])))
+    n = problem.n_values  # rows with a target, counted by the detection
+    folded = assign_folds(labelled, k, key_cols, seed, LABEL if problem.stratified else None, rows=n)
+    rows = reliable(spread(folded.select(FOLD, LABEL, *[quoted(c) for c in plan.inputs]), n))
     grouped = rows.groupBy(FOLD, (F.col(LABEL) if problem.is_classification else F.lit(-1.0)).alias("c")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("mean"), F.var_pop(LABEL).alias("var"))
     found = grouped.collect()  # folds x classes rows
@@ -95,7 +103,7 @@ def fold_data(
         if parts:
             mean, std = feat._pool(parts)
             moments[j] = (sum(p[0] for p in parts), mean, std * std)
-    return FoldedData(rows, problem, plan, k, feat.fit_folds(rows, plan, k), counts, moments)
+    return FoldedData(rows, problem, plan, k, feat.fit_folds(rows, plan, k, rows=n), counts, moments)
 
 
 def evaluate_fold(
@@ -140,11 +148,17 @@ def evaluate_fold(
 
 def cross_validate(data: FoldedData, models: list[Candidate], seed: int = 42, parallelism: int = 4) -> DataFrame:
     """Fold-metric table (model_id, name, fold, metric, value, sizes, fit_seconds)."""
-    rows = []
-    for fold in range(data.k):
-        rows += evaluate_fold(data, fold, [(m.model_id, m, {}) for m in models], seed, parallelism)
-        data.release(fold)
-    return data.rows.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+    jobs = [(m.model_id, m, {}) for m in models]
+
+    def one(fold: int) -> list[tuple]:
+        try:
+            return evaluate_fold(data, fold, jobs, seed, parallelism)
+        finally:
+            data.release(fold)
+
+    with ThreadPoolExecutor(data.folds_at_once) as pool:
+        rows = [r for part in pool.map(one, range(data.k)) for r in part]
+    return local_table(data.rows.sparkSession, rows, RESULT_SCHEMA)
 
 
 def cv_summary(fold_metrics: DataFrame) -> DataFrame:
@@ -185,7 +199,7 @@ def fit_full(data_or_df: DataFrame, problem: Problem, plan: feat.FeaturePlan, ca
     total = sum(problem.counts)
     for code, n in enumerate(problem.counts):
         weight = F.when(F.col(LABEL) == float(code), F.lit(total / (len(problem.counts) * n))).otherwise(weight)
-    rows = spread(encoder.transform(labelled).select(LABEL, weight.alias(WEIGHT), "features")).persist()
+    rows = spread(encoder.transform(labelled).select(LABEL, weight.alias(WEIGHT), "features"), problem.n_values).persist()
     try:
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
         model = candidate.build(params, seed, TrainingFacts(stats["n"], stats["s"] or 1.0)).fit(rows)

@@ -18,7 +18,7 @@ from tabwright.functions.columns import (
 )
 from tabwright.functions.quantiles import quantile_columns
 from tabwright.operators.profile import Profile
-from tabwright.session import spread
+from tabwright.session import local_table, spread
 
 # Thresholds and sizes of the insight rules and views.
 TOP_PAIRS = 5
@@ -55,7 +55,7 @@ def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
     A constant or empty column has no correlation: r is NULL, also on the diagonal.
     """
     if len(names) < 2:
-        return df.sparkSession.createDataFrame([], "c1 string, c2 string, r double")
+        return local_table(df.sparkSession, [], "c1 string, c2 string, r double")
     pairs = correlation_pairs(df, names)
     upper = pairs.select(
         F.explode(F.array(F.struct("c1", "c2", "r"), F.struct(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "r"))).alias("e")
@@ -65,7 +65,7 @@ def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
         F.when(F.min("x") < F.max("x"), F.lit(1.0)).alias("r")
     ).select(F.get(labels, F.col("idx")).alias("c1"), F.get(labels, F.col("idx")).alias("c2"), "r")
     known = upper.unionByName(diagonal)
-    grid = df.sparkSession.createDataFrame([(a, b) for a in names for b in names], "c1 string, c2 string")
+    grid = local_table(df.sparkSession, [(a, b) for a in names for b in names], "c1 string, c2 string")
     return grid.join(F.broadcast(known), ["c1", "c2"], "left")  # k*k rows: bounded by the schema
 
 
@@ -241,6 +241,6 @@ def insights(df: DataFrame, profile: Profile, target: str | None = None) -> Data
         listed = ", ".join(f"'{r['column']}' ({r['null_pct']:.1f}%)" for r in gaps)
         rows.append(("Missingness", "Missing Values Present", f"Values are missing mainly in {listed}.", "info",
                      gaps[0]["column"], float(gaps[0]["null_pct"])))
-    return df.sparkSession.createDataFrame(rows, INSIGHT_SCHEMA)
+    return local_table(df.sparkSession, rows, INSIGHT_SCHEMA)
 
 

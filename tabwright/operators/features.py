@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import as_double, numeric_cells, present, quoted
 from tabwright.functions.ordered import dense_codes
-from tabwright.functions.quantiles import quantile_columns
+from tabwright.functions.quantiles import quantile_columns, ranked_quantiles
 from tabwright.operators.folds import FOLD
 from tabwright.operators.profile import Profile
 from tabwright.operators.validate import require_columns
-from tabwright.session import LIMITS, fits, shared
+from tabwright.session import LIMITS, fits, local_table, shared
 
 # Fixed value: most levels a one-hot feature may have.
 MAX_ONE_HOT = 25
@@ -49,7 +49,7 @@ class FeaturePlan:
         rows += [(c, "one_hot", None) for c in self.one_hot]
         rows += [(c, "ordinal", None) for c in self.ordinal]
         rows += [(c, "dropped", why) for c, why in self.dropped.items()]
-        return spark.createDataFrame(rows, "column string, role string, reason string")
+        return local_table(spark, rows, "column string, role string, reason string")
 
 
 def plan_features(profile: Profile, target: str, excluded: list[str] | None = None) -> FeaturePlan:
@@ -173,18 +173,21 @@ def fit(df: DataFrame, plan: FeaturePlan) -> Encoding:
     return fit_folds(df.withColumn(FOLD, F.lit(0)), plan, 1, leave_out=False)[0]
 
 
-def fit_folds(df: DataFrame, plan: FeaturePlan, k: int, leave_out: bool = True) -> list[Encoding]:
+def fit_folds(
+    df: DataFrame, plan: FeaturePlan, k: int, leave_out: bool = True, rows: int | None = None
+) -> list[Encoding]:
     """One encoding per fold, each fitted on the rows of all other folds."""
-    with shared(df.select(FOLD, *[quoted(c) for c in plan.inputs])) as table:
+    with shared(df.select(FOLD, *[quoted(c) for c in plan.inputs]), rows) as table:
         numeric = _numeric_states(table, plan.numeric, k, leave_out)
         modes, levels, dictionaries = _category_states(table, plan, k, leave_out)
     return [Encoding(plan, numeric[j], modes[j], levels[j], dictionaries[j]) for j in range(k)]
 
 
 def fold_moments(df: DataFrame, names: list[str]) -> DataFrame:
-    """(fold, idx, n, mean, var): one row per column and fold."""
+    """(fold, idx, n, mean, var, lo, hi): one row per column and fold."""
     return numeric_cells(df, names, FOLD).groupBy(FOLD, "idx").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
+        F.min("x").alias("lo"), F.max("x").alias("hi"),
     )
 
 
@@ -193,9 +196,11 @@ def fold_medians(df: DataFrame, names: list[str], k: int, leave_out: bool = True
     rows = df.count() if rows is None else rows
     keep = (lambda j, c: F.when(F.col(FOLD) != j, c)) if leave_out else (lambda j, c: c)
     if rows <= LIMITS.task_rows:
-        freq = numeric_cells(df, names, FOLD).groupBy("idx", FOLD, "x").agg(F.count(F.lit(1)).alias("c"))
-        slots = [F.percentile(keep(j, F.col("x")), F.lit(0.5), F.col("c")) for j in range(k)]
-        return freq.groupBy("idx").agg(F.array(*slots).alias("medians"))
+        freq = numeric_cells(df, names, FOLD).groupBy("idx", "x").agg(
+            F.count(F.lit(1)).alias("c"), *[F.count_if(F.col(FOLD) == j).alias(f"f{j}") for j in range(k)])
+        kept = {f"m{j}": (F.col("c") - F.col(f"f{j}")) if leave_out else F.col("c") for j in range(k)}
+        found = ranked_quantiles(freq, "idx", "x", kept, [0.5])
+        return found.select("idx", F.array(*[F.get(m, F.lit(0)) for m in kept]).alias("medians"))
     wanted = {f"{i}:{j}": keep(j, as_double(df, c)) for i, c in enumerate(names) for j in range(k)}
     exact = quantile_columns(df, wanted, [0.5], rows=rows)
     one = df.sparkSession.range(1)
@@ -233,7 +238,8 @@ def _numeric_states(df, names, k, leave_out) -> list[dict[str, NumericState]]:
             # imputed values join the moments as one more part: n_missing copies of the median
             gaps = sum(rows[f] for f in used) - sum(p["n"] for p in parts)
             mean, std = _pool([(p["n"], p["mean"], p["var"]) for p in parts] + [(gaps, median, 0.0)])
-            state[c] = NumericState(median, mean, std or 1.0)
+            flat = min(p["lo"] for p in parts) == max(p["hi"] for p in parts)
+            state[c] = NumericState(median, mean, 1.0 if flat or std == 0.0 else std)
         out.append(state)
     return out
 
@@ -304,7 +310,7 @@ def leave_fold_out_table(df: DataFrame, names: list[str], k: int) -> DataFrame:
         for j, enc in enumerate(fit_folds(df, plan, k))
         for c, s in enc.numeric.items()
     ]
-    return df.sparkSession.createDataFrame(rows, "column string, fold int, median double, mean double, std double")
+    return local_table(df.sparkSession, rows, "column string, fold int, median double, mean double, std double")
 
 
 def mode_table(df: DataFrame, names: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabwright.functions.columns import one_row, quoted
-from tabwright.session import LIMITS, reliable
+from tabwright.session import LIMITS, pinned, reliable
 
 FOLD = "fold"
 
@@ -62,7 +62,7 @@ def assign_folds(
         offsets = sizes.select(
             *[quoted(g) for g in groups], "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
         )
-        offsets = df.sparkSession.createDataFrame(offsets.collect(), offsets.schema)
+        offsets = pinned(offsets)
     finally:
         sizes.unpersist()
     inside = Window.partitionBy(*[quoted(g) for g in groups], "_b").orderBy(*order)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import one_row, ratio
+from tabwright.functions.columns import is_flat, one_row, ratio
 from tabwright.functions.ordered import running_totals
 
 # Fixed value: smallest probability and denominator (double precision epsilon).
@@ -159,15 +159,15 @@ def regression_metrics(pred: DataFrame, group: list[str] | None = None) -> DataF
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        _explained(sse, F.var_pop(y) * F.count(y)).alias("r2"),
-        _explained(F.var_pop(e), F.var_pop(y)).alias("explained_variance"),
+        _explained(sse, F.var_pop(y) * F.count(y), F.max(F.abs(e)) == 0.0, is_flat(y)).alias("r2"),
+        _explained(F.var_pop(e), F.var_pop(y), is_flat(e), is_flat(y)).alias("explained_variance"),
         F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPS))).alias("mape"),
     )
 
 
-def _explained(error, total):
+def _explained(error, total, perfect, constant):
     """1 - error / total; a constant target scores 1 when perfect and 0 otherwise."""
-    return F.when(total == 0.0, F.when(error == 0.0, 1.0).otherwise(0.0)).otherwise(1.0 - F.try_divide(error, total))
+    return F.when(constant, F.when(perfect, 1.0).otherwise(0.0)).otherwise(1.0 - F.try_divide(error, total))
 
 
 def as_long(metrics: DataFrame, group: list[str]) -> DataFrame:

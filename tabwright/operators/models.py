@@ -126,14 +126,15 @@ def _regressors(ps: Preset) -> list[Candidate]:
 
 
 def _base(seed: int) -> dict:
-    # node ids are checkpointed so that deep or long training survives a lost executor
-    return {"featuresCol": FEATURES, "labelCol": LABEL, "seed": seed, "cacheNodeIds": True, "checkpointInterval": 10}
+    # long boosting is checkpointed so that it survives a lost executor
+    return {"featuresCol": FEATURES, "labelCol": LABEL, "seed": seed, "checkpointInterval": 10}
 
 
 def _forest(p: dict, seed: int, ps: Preset) -> dict:
     out = _base(seed) | {"numTrees": int(p.get("n_estimators", ps.trees)), "maxDepth": int(p.get("max_depth", ps.forest_depth))}
     if "min_samples_split" in p:  # closest MLlib notion: rows each child must keep
         out["minInstancesPerNode"] = math.ceil(p["min_samples_split"] / 2)
+    out["cacheNodeIds"] = out["maxDepth"] > 8  # deep trees: keep each row's node instead of walking down
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import BOOLEAN, NUMERIC, TEXT, kind_of, present
 from tabwright.functions.ordered import dense_codes
+from tabwright.session import local_table
 
 # Thresholds and names of the detection rules.
 MAX_CLASSES = 20
@@ -57,7 +58,8 @@ class Problem:
         row = (self.problem_type, self.target, self.target_dtype, self.n_distinct, self.classes, shares,
                self.imbalanced, float(self.imbalance_ratio), self.primary_metric, self.metrics,
                "stratified" if self.stratified else "plain", self.reasons)
-        return spark.createDataFrame(
+        return local_table(
+            spark,
             [row],
             "problem_type string, target string, target_dtype string, n_distinct bigint, classes array<string>, "
             "class_distribution map<string,double>, imbalanced boolean, imbalance_ratio double, "

@@ -30,8 +30,8 @@ from tabwright.functions.columns import (
     ratio,
     sample_std,
 )
-from tabwright.functions.quantiles import quantile_columns
-from tabwright.session import LIMITS, pinned, shared
+from tabwright.functions.quantiles import quantile_columns, ranked_quantiles
+from tabwright.session import LIMITS, local_table, pinned, shared
 
 # Thresholds of the semantic-type rules.
 HIGH_CARDINALITY = 50
@@ -93,21 +93,22 @@ def _numeric_stats(df: DataFrame, names: list[str], rows: int, approx: bool) ->
         ).select("*", column)
     else:
         # the (column, value) frequency tables give the distinct count and, while they are small
-        # enough for one buffer, the quartiles too; larger inputs bracket the quartiles instead
+        # enough for one task, the quartiles too; larger inputs bracket the quartiles instead
         small = rows <= LIMITS.task_rows
         counted = None
         families: dict[str, list[str]] = {}
         for c in names:
             families.setdefault(_distinct_type(df.schema[c].dataType), []).append(c)
         for value_type, members in families.items():
-            figures = [F.count(F.lit(1)).alias("n_distinct")]
-            if small:
-                figures.append(
-                    F.percentile(F.col("v").cast("double"), F.array(*map(F.lit, probs)), F.col("n")).alias("q")
-                )
-            part = value_counts(df, members, value_type).groupBy("idx").agg(*figures).select(
-                F.get(_names(members), F.col("idx")).alias("column"), *["n_distinct", "q"][: len(figures)]
-            )
+            freq = value_counts(df, members, value_type)
+            if small and value_type != "string":
+                part = ranked_quantiles(freq, "idx", "v", {"q": F.col("n")}, probs)
+            elif small:  # decimals are counted as text but ordered as numbers
+                freq = freq.select("idx", F.col("v").cast("double").alias("v"), "n")
+                part = ranked_quantiles(freq, "idx", "v", {"q": F.col("n")}, probs)
+            else:
+                part = freq.groupBy("idx").agg(F.count(F.lit(1)).alias("n_distinct"))
+            part = part.select(F.get(_names(members), F.col("idx")).alias("column"), *part.columns[1:])
             counted = part if counted is None else counted.unionByName(part)
         out = cells.groupBy("idx").agg(*stats).select("*", column)
         if not small:
@@ -209,7 +210,8 @@ def column_profile(df: DataFrame, approx: bool = False, rows: int | None = None)
     rows = df.count() if rows is None else rows
     spark = df.sparkSession
     fields = df.schema.fields
-    layout = spark.createDataFrame(
+    layout = local_table(
+            spark,
         [
             (i, f.name, f.dataType.simpleString(), kind_of(f.dataType), _fixed_width(f.dataType))
             for i, f in enumerate(fields)

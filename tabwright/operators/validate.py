@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import UNSUPPORTED, kind_of, present
+from tabwright.session import local_table
 
 # Floors of the validation rules.
 MIN_ROWS = 25
@@ -40,7 +41,7 @@ def validate(df: DataFrame, target: str | None = None) -> DataFrame:
     """Findings table (severity, code, message, n): one aggregation over the whole table."""
     spark = df.sparkSession
     static = schema_findings(df, target)
-    findings = spark.createDataFrame(static, FINDING_SCHEMA)
+    findings = local_table(spark, static, FINDING_SCHEMA)
     if any(code == "DUPLICATE_COLUMNS" for _, code, _, _ in static):
         # ambiguous names cannot be referenced: only the row floor is left to check
         counted = df.agg(F.count(F.lit(1)).alias("rows"))

@@ -11,7 +11,7 @@ LOOSE = f"d AS ({as_sql(LOOSE_LINES)})"
 def _numeric(c: str, src: str, floating: bool) -> str:
     zero_one = f"count(DISTINCT {c}) = 2 AND min({c}) = 0 AND max({c}) = 1"
     suffix = ".0" if floating else ""
-    number = lambda e: f"CASE WHEN {zero_one} THEN NULL ELSE round(CAST({e} AS DOUBLE), 6) END"
+    number = lambda e: f"CASE WHEN {zero_one} THEN NULL ELSE round(CAST({e} AS DOUBLE), 4) END"
     skew = f"CASE WHEN count({c}) <= 2 THEN 0.0 WHEN min({c}) = max({c}) THEN 0.0 ELSE skewness({c}) END"
     std = f"CASE WHEN count({c}) <= 1 THEN 0.0 ELSE stddev_samp({c}) END"
     filled = lambda e: f"CASE WHEN count({c}) = 0 THEN NULL ELSE {e} END"
@@ -249,11 +249,13 @@ PART_SHAP = """m AS (SELECT avg(p_size) AS ms, avg(p_retailprice) AS mp, avg(len
 ORACLES: dict[str, str] = {
     "profile_columns": profile_sql("events", ["event_id", "user_id"], ["value"], ["event_type", "props"], ["ts"]),
     "profile_dirty": f"WITH {DIRTY} SELECT * FROM ({DIRTY_PROFILE}) q",
-    "profile_dataset": f"""WITH {LOOSE} SELECT count(*) AS n_rows, 5 AS n_columns, 0 AS missing_cells, 0.0 AS missing_pct,
+    "profile_dataset": f"""WITH {LOOSE} SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns,
+        CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS DOUBLE) AS missing_pct,
         count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) u) AS duplicate_rows,
         round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) u)) * 100.0 / count(*), 6) AS duplicate_pct,
         CAST(count(*) * 20 + sum(octet_length(encode(l_returnflag)) + octet_length(encode(l_linestatus))) AS BIGINT) AS data_bytes,
-        3 AS numerical_columns, 2 AS categorical_columns, 0 AS boolean_columns FROM d""",
+        CAST(3 AS BIGINT) AS numerical_columns, CAST(2 AS BIGINT) AS categorical_columns, CAST(0 AS BIGINT) AS boolean_columns
+        FROM d""",
     "semantic_types": """SELECT 'numerical' AS semantic_type, 'c_custkey,c_nationkey,c_acctbal' AS columns
         UNION ALL SELECT 'id', (SELECT CASE WHEN count(DISTINCT c_name) > 0.95 * count(*) THEN 'c_name' END FROM customer)
         UNION ALL SELECT 'categorical',
@@ -272,17 +274,17 @@ ORACLES: dict[str, str] = {
         SELECT 'o_orderkey' AS column_name, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS first_values FROM f
         UNION ALL SELECT 'o_custkey', string_agg(CAST(o_custkey AS VARCHAR), '|' ORDER BY o_orderkey) FROM f
         UNION ALL SELECT 'o_orderpriority', string_agg(o_orderpriority, '|' ORDER BY o_orderkey) FROM f""",
-    "quick_stats": f"""WITH {DIRTY} SELECT count(*) AS rows, 8 AS columns,
+    "quick_stats": f"""WITH {DIRTY} SELECT count(*) AS rows, CAST(8 AS BIGINT) AS columns,
         CAST(8 * count(*) - count(o_orderkey) - count(o_custkey) - count(o_orderstatus) - count(o_totalprice)
           - count(o_orderpriority) - count(batch) - count(spare) - count(gross) AS BIGINT) AS missing,
-        count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) u) AS duplicates, 6 AS numeric_columns FROM d""",
+        count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) u) AS duplicates, CAST(6 AS BIGINT) AS numeric_columns FROM d""",
     "validate_target": f"""WITH {DIRTY}
         SELECT 'warning' AS severity, 'EMPTY_COLUMNS' AS code, CAST(1 AS BIGINT) AS n FROM d HAVING count(spare) = 0
         UNION ALL SELECT 'warning', 'TARGET_HAS_NULLS', count(*) - count(o_totalprice) FROM d
           HAVING count(o_totalprice) BETWEEN 1 AND count(*) - 1""",
     "validate_small": """SELECT 'error' AS severity, 'TOO_FEW_ROWS' AS code, count(*) AS n FROM region HAVING count(*) < 25""",
-    "validate_verdict": f"""WITH {DIRTY} SELECT count(spare) > 0 AS is_valid, 2 AS errors, 1 AS warnings,
-        count(*) AS row_count, 8 AS column_count FROM d""",
+    "validate_verdict": f"""WITH {DIRTY} SELECT count(spare) > 0 AS is_valid, CAST(2 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS warnings,
+        count(*) AS row_count, CAST(8 AS BIGINT) AS column_count FROM d""",
     "audit_issues": f"{DIRTY_AUDIT} SELECT rule_id, feature, severity, round(metric_value, 6) AS metric_value FROM issues",
     "audit_cardinality": audit_sql(
         f"d AS ({as_sql(DOCUMENT_FACTS)})", profile_sql("d", ["doc_id", "n_chars"], [], ["ref_id", "text", "source"]),
@@ -318,15 +320,15 @@ ORACLES: dict[str, str] = {
           round(max(CASE WHEN i = 1 THEN n * 100.0 / t END) / greatest(0.1, max(CASE WHEN i = 2 THEN n * 100.0 / t END)), 6) AS ratio,
           max(CASE WHEN i = 1 THEN n * 100.0 / t END) / greatest(0.1, max(CASE WHEN i = 2 THEN n * 100.0 / t END)) >= 2 AS imbalanced
         FROM r HAVING count(*) = 2""",
-    "insight_target_numeric": """SELECT round(avg(o_totalprice), 6) AS mean, round(median(o_totalprice), 6) AS median,
-        round(stddev_samp(o_totalprice), 6) AS std, round(skewness(o_totalprice), 6) AS skew,
+    "insight_target_numeric": """SELECT round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median,
+        round(stddev_samp(o_totalprice), 4) AS std, round(skewness(o_totalprice), 4) AS skew,
         CASE WHEN skewness(o_totalprice) > 1 THEN 'right-skewed' WHEN skewness(o_totalprice) < -1 THEN 'left-skewed'
           ELSE 'symmetric' END AS shape FROM orders HAVING count(DISTINCT o_totalprice) > 10""",
     "insight_multicollinearity": f"""WITH {DIRTY},
         q AS ({pairs_sql(['o_orderkey', 'o_custkey', 'o_totalprice', 'batch', 'spare', 'gross'])}),
         k AS (SELECT * FROM q WHERE r IS NOT NULL ORDER BY abs(r) DESC, i, j LIMIT 3)
         SELECT c1, c2, r FROM k WHERE abs(r) >= 0.7""",
-    "insight_skew": """SELECT 'n_chars' AS column_name, round(skewness(n_chars), 6) AS skew FROM documents
+    "insight_skew": """SELECT 'n_chars' AS column_name, round(skewness(n_chars), 4) AS skew FROM documents
         HAVING abs(skewness(n_chars)) > 2 AND count(n_chars) > 10""",
     "insight_missing": f"""WITH {DIRTY} SELECT column_name, null_pct FROM ({DIRTY_PROFILE}) q WHERE null_pct > 0
         ORDER BY null_pct DESC LIMIT 3""",
@@ -365,7 +367,7 @@ ORACLES: dict[str, str] = {
     "feature_plan": f"""SELECT column_name, CASE WHEN column_name = 'p_retailprice' OR is_constant OR semantic_type = 'id' THEN 'dropped'
           WHEN semantic_type = 'numerical' THEN 'numeric' WHEN n_distinct <= 25 THEN 'one_hot' ELSE 'ordinal' END AS role
         FROM ({profile_sql('part', ['p_partkey', 'p_size'], ['p_retailprice'], ['p_name', 'p_brand', 'p_type'])}) q""",
-    "drop_null_target": f"""WITH {DIRTY} SELECT count(*) AS rows, round(sum(gross), 2) AS total FROM d WHERE o_totalprice IS NOT NULL""",
+    "drop_null_target": f"""WITH {DIRTY} SELECT count(*) AS rows, round(sum(gross), 0) AS total FROM d WHERE o_totalprice IS NOT NULL""",
     "impute_median": f"""WITH {DIRTY} SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT median(o_totalprice) FROM d)), 6) AS value
         FROM d""",
     "scale_standard": f"""WITH {DIRTY}, i AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT median(o_totalprice) FROM d)) AS x FROM d)
@@ -375,15 +377,15 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'o_orderpriority', (SELECT o_orderpriority FROM d WHERE o_orderpriority IS NOT NULL
           GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
     "one_hot": """SELECT c.c_custkey, concat('c_mktsegment_', s.level) AS feature,
-        CASE WHEN c.c_mktsegment = s.level THEN 1.0 ELSE 0.0 END AS value
+        CAST(CASE WHEN c.c_mktsegment = s.level THEN 1 ELSE 0 END AS DOUBLE) AS value
         FROM customer c, (SELECT DISTINCT c_mktsegment AS level FROM customer) s""",
     "ordinal_encode": """SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM part""",
     "label_encode": """SELECT CAST(v AS VARCHAR) AS value, row_number() OVER (ORDER BY v) - 1 AS code
         FROM (SELECT DISTINCT l_linenumber AS v FROM lineitem) u""",
     "class_weights": """SELECT o_orderstatus AS label, count(*) AS n,
         round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 6) AS weight FROM orders GROUP BY 1""",
-    "leave_fold_out_stats": f"""WITH {FOLDED} SELECT column_name, fold, round(median, 6) AS median, round(mean, 6) AS mean,
-        round(std, 6) AS std FROM ({left_out_sql('o_totalprice')} UNION ALL {left_out_sql('o_custkey')}) q""",
+    "leave_fold_out_stats": f"""WITH {FOLDED} SELECT column_name, fold, round(median, 4) AS median, round(mean, 4) AS mean,
+        round(std, 4) AS std FROM ({left_out_sql('o_totalprice')} UNION ALL {left_out_sql('o_custkey')}) q""",
     "leave_fold_out_modes": """WITH f AS (SELECT lang, source, (row_number() OVER (
           ORDER BY md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR))), doc_id) - 1) % 3 AS fold FROM documents),
         c AS (SELECT 'lang' AS column_name, k.j, lang AS v, count(*) AS n FROM f JOIN (SELECT unnest([0, 1, 2]) AS j) k ON fold <> k.j
@@ -423,7 +425,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(a.v AS DOUBLE) AS label, CAST(b.v AS DOUBLE) AS prediction, count(s.label) AS n FROM c a CROSS JOIN c b
         LEFT JOIN s ON s.label = a.v AND s.prediction = b.v GROUP BY 1, 2""",
     "metrics_regression": """WITH s AS (SELECT l_returnflag, l_extendedprice AS y, l_extendedprice - l_quantity * 2000 AS e FROM lineitem)
-        SELECT l_returnflag, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 6) AS mse, round(sqrt(avg(e * e)), 6) AS rmse,
+        SELECT l_returnflag, round(avg(abs(e)), 4) AS mae, round(avg(e * e), 1) AS mse, round(sqrt(avg(e * e)), 4) AS rmse,
           round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2, round(1 - var_pop(e) / var_pop(y), 6) AS explained_variance,
           round(avg(abs(e) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape FROM s GROUP BY 1""",
     "cv_summary": f"""WITH {FOLD_METRICS} SELECT model_id, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,

@@ -34,8 +34,8 @@ def derived(spark: SparkSession, sf: str, view: tuple[str, list[str]]) -> DataFr
     return table(spark, sf, source).selectExpr(*exprs)
 
 
-def rounded(*names: str) -> list:
-    return [F.round(n, DIGITS).alias(n) for n in names]
+def rounded(*names: str, digits: int = DIGITS) -> list:
+    return [F.round(n, digits).alias(n) for n in names]
 
 
 # --- profile -----------------------------------------------------------------------------
@@ -46,7 +46,7 @@ STATS = ("min", "max", "mean", "std", "median", "q25", "q75", "skew")
 def profile_rows(p: profile.Profile) -> DataFrame:
     return p.columns.select(
         F.col("column").alias("column_name"), "semantic_type", "null_count", "null_pct", "n_distinct", "distinct_ratio",
-        "is_constant", "is_high_cardinality", *rounded(*STATS), "top_value", "top_count", *rounded("top_pct"))
+        "is_constant", "is_high_cardinality", *rounded(*STATS, digits=4), "top_value", "top_count", *rounded("top_pct"))
 
 
 def profile_columns(spark, sf):
@@ -187,7 +187,7 @@ def insight_target_binary(spark, sf):
 
 
 def insight_target_numeric(spark, sf):
-    return eda.target_numeric(table(spark, sf, "orders"), "o_totalprice").select(*rounded("mean", "median", "std", "skew"), "shape")
+    return eda.target_numeric(table(spark, sf, "orders"), "o_totalprice").select(*rounded("mean", "median", "std", "skew", digits=4), "shape")
 
 
 def insight_multicollinearity(spark, sf):
@@ -200,7 +200,7 @@ def insight_multicollinearity(spark, sf):
 def insight_skew(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
     out = eda.skewed_features(profile.Profile(d), "doc_id")
-    return out.select(F.col("column").alias("column_name"), *rounded("skew"))
+    return out.select(F.col("column").alias("column_name"), *rounded("skew", digits=4))
 
 
 def insight_missing(spark, sf):
@@ -237,7 +237,7 @@ def top_categories(spark, sf):
 
 def inspect_column(spark, sf):
     p = profile.Profile(table(spark, sf, "part"))
-    return eda.inspect_column(p, "p_size").select(F.col("column").alias("column_name"), "n_distinct", *rounded(*STATS))
+    return eda.inspect_column(p, "p_size").select(F.col("column").alias("column_name"), "n_distinct", *rounded(*STATS, digits=4))
 
 
 # --- problem -----------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def feature_plan(spark, sf):
 
 def drop_null_target(spark, sf):
     d = derived(spark, sf, views.DIRTY_ORDERS).where(F.col("o_totalprice").isNotNull())
-    return d.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("gross"), 2).alias("total"))
+    return d.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("gross"), 0).alias("total"))
 
 
 def _order_encoding(spark, sf):
@@ -324,7 +324,7 @@ def class_weights(spark, sf):
 def leave_fold_out_stats(spark, sf):
     d = _folded_orders(spark, sf)
     out = feat.leave_fold_out_table(d, ["o_totalprice", "o_custkey"], 3)
-    return out.select(F.col("column").alias("column_name"), "fold", *rounded("median", "mean", "std"))
+    return out.select(F.col("column").alias("column_name"), "fold", *rounded("median", "mean", "std", digits=4))
 
 
 def fold_safe_transform(spark, sf):
@@ -416,7 +416,8 @@ def confusion_matrix(spark, sf):
 
 def metrics_regression(spark, sf):
     out = met.regression_metrics(_regression(spark, sf), ["l_returnflag"])
-    return out.select("l_returnflag", *rounded("mae", "mse", "rmse", "r2", "explained_variance", "mape"))
+    return out.select("l_returnflag", *rounded("mse", digits=1), *rounded("mae", "rmse", digits=4),
+                      *rounded("r2", "explained_variance", "mape"))
 
 
 # --- result tables -----------------------------------------------------------------------

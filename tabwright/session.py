@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,25 @@ class Limits:
 
 
 LIMITS = Limits()
+ROWS_PER_TASK = 5_000  # below this a further partition costs more than it saves
+
+_ARROW = {
+    "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
+    "array<string>": pa.list_(pa.string()), "map<string,double>": pa.map_(pa.string(), pa.float64()),
+    "map<string,string>": pa.map_(pa.string(), pa.string()),
+}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], layout: str) -> DataFrame:
+    """A small driver-made table as a local relation (no Python workers involved)."""
+    fields = [f.strip().split(" ", 1) for f in re.split(r",\s+(?![^<]*>)", layout)]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = []
+    for values, (_, kind) in zip(columns, fields):
+        if kind.startswith("map"):
+            values = [list(v.items()) if v is not None else None for v in values]
+        arrays.append(pa.array(list(values), type=_ARROW[kind.strip()]))
+    return spark.createDataFrame(pa.table(arrays, names=[f[0].strip("`") for f in fields]))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -54,23 +75,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Use every core when the input has fewer splits than the cluster has slots.
 
-    A large table already has more splits than slots, so this adds no shuffle there.
+    A large table already has more splits than slots, so this adds no shuffle there. A known
+    small row count lowers the number of partitions, because tiny tasks cost more than they do.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+    wanted = slots if rows is None else max(1, min(slots, -(-rows // ROWS_PER_TASK)))
+    have = df.rdd.getNumPartitions()
+    if have < wanted:
+        return df.repartition(wanted)
+    return df.coalesce(wanted) if wanted < slots and have > wanted else df
 
 
 @contextmanager
-def shared(df: DataFrame) -> Iterator[DataFrame]:
+def shared(df: DataFrame, rows: int | None = None) -> Iterator[DataFrame]:
     """Input for several passes. A table with fewer splits than slots is spread and kept once;
     a large table is left alone, because pruned re-scans are cheaper than holding it."""
-    wide = spread(df)
-    if wide is df:
+    wide = spread(df, rows)
+    if wide is df and (rows is None or rows > ROWS_PER_TASK):
         yield df
         return
     wide = wide.persist()
@@ -82,8 +106,7 @@ def shared(df: DataFrame) -> Iterator[DataFrame]:
 
 def pinned(df: DataFrame) -> DataFrame:
     """Materialise a summary whose row count is bounded by the column (or class) count."""
-    rows = df.collect()
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def fits(df: DataFrame, limit: int) -> bool:

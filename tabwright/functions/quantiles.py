@@ -48,36 +48,34 @@ def quantile_columns(
 def ranked_quantiles(
     freq: DataFrame, group: str, value: str, weights: dict[str, Column], probs: list[float]
 ) -> DataFrame:
-    """(group, n_distinct, <name>...) from a table of distinct values with counts.
+    """(group, n_distinct, total, <name>...) from a table of distinct values with counts.
 
     ``weights`` names one count column per wanted set; each yields an array of interpolated
     quantiles. One sort per group serves all sets, so a group must be small enough for one task.
     """
-    to_here = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group)
-    v = F.col(value).cast("double")
-    names = list(weights)
-    ranked = freq.select(group, v.alias("_v"), value, *[w.alias(f"_w{i}") for i, w in enumerate(weights.values())])
-    ranked = ranked.withColumns(
-        {f"_c{i}": F.sum(f"_w{i}").over(to_here) for i in range(len(names))}
-        | {f"_n{i}": F.sum(f"_w{i}").over(whole) for i in range(len(names))}
+    sets = range(len(weights))
+    ranked = freq.select(
+        group, F.col(value).cast("double").alias("_v"), *[w.alias(f"_w{i}") for i, w in enumerate(weights.values())]
     )
+    ranked = ranked.selectExpr("*", *[
+        f"sum(_w{i}) OVER (PARTITION BY {group} ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _c{i}"
+        for i in sets
+    ]).selectExpr("*", *[f"max(_c{i}) OVER (PARTITION BY {group}) AS _n{i}" for i in sets])
     picks = []
-    for i in range(len(names)):
+    for i in sets:
         for j, p in enumerate(probs):
-            pos = (F.col(f"_n{i}") - 1) * F.lit(float(p))
-            for side, rank in (("a", F.floor(pos)), ("b", F.ceil(pos))):
-                picks.append(F.min(F.when((F.col(f"_c{i}") > rank) & (F.col(f"_w{i}") > 0), F.col("_v"))).alias(f"_{side}{i}_{j}"))
-            picks.append(F.max(pos).alias(f"_p{i}_{j}"))
-    found = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n_distinct"), *picks)
-
-    def between(i, j):
-        a, b, pos = F.col(f"_a{i}_{j}"), F.col(f"_b{i}_{j}"), F.col(f"_p{i}_{j}")
-        return F.when(a == b, a).otherwise((F.floor(pos) + 1 - pos) * a + (pos - F.floor(pos)) * b)
-
-    return found.select(
-        group, "n_distinct", *[F.array(*[between(i, j) for j in range(len(probs))]).alias(c) for i, c in enumerate(names)]
-    )
+            pos = f"(_n{i} - 1) * {float(p)}D"
+            picks += [
+                f"min(CASE WHEN _c{i} > floor({pos}) AND _w{i} > 0 THEN _v END) AS _a{i}_{j}",
+                f"min(CASE WHEN _c{i} > ceil({pos}) AND _w{i} > 0 THEN _v END) AS _b{i}_{j}",
+                f"max({pos}) AS _p{i}_{j}",
+            ]
+    found = ranked.groupBy(group).agg(*map(F.expr, ["count(1) AS n_distinct", "max(_n0) AS total", *picks]))
+    between = lambda a, b, pos: f"if({a} = {b}, {a}, (floor({pos}) + 1 - {pos}) * {a} + ({pos} - floor({pos})) * {b})"
+    return found.selectExpr(group, "n_distinct", "total", *[
+        "array(" + ", ".join(between(f"_a{i}_{j}", f"_b{i}_{j}", f"_p{i}_{j}") for j in range(len(probs))) + f") AS {name}"
+        for i, name in enumerate(weights)
+    ])
 
 
 def exact_quantiles(

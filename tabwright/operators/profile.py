@@ -56,25 +56,50 @@ def value_counts(df: DataFrame, names: list[str], value: str = "string") -> Data
     )
 
 
-def _distinct_type(data_type: T.DataType) -> str:
-    """Widest type that keeps values of this column's family distinct."""
-    if isinstance(data_type, T.IntegralType):
-        return "bigint"
-    if is_floating(data_type):
-        return "double"
-    if isinstance(data_type, T.DecimalType):
-        return "string"
-    if isinstance(data_type, T.TimestampNTZType):
-        return "timestamp_ntz"
-    return "timestamp"
-
-
-def _numeric_stats(df: DataFrame, names: list[str], rows: int, approx: bool) -> DataFrame:
-    """(column, n_non_null, min ... skew) for numeric columns."""
-    cells = numeric_cells(df, names)
+def _number_cells(df: DataFrame, names: list[str]) -> DataFrame:
+    """(idx, l, d, s): every non-missing numeric or datetime value in a lossless form.
+
+    Integers and instants go to ``l``, floating values to ``d``; decimals keep their digits in
+    ``s`` next to their size in ``d``. One frequency table then serves all of them.
+    """
+    cells = []
+    for c in names:
+        dtype, col = df.schema[c].dataType, present(df, c)
+        l, d, s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(dtype, T.IntegralType):
+            l = col.cast("bigint")
+        elif is_floating(dtype):
+            d = col.cast("double")
+        elif isinstance(dtype, T.DecimalType):
+            d, s = col.cast("double"), col.cast("string")
+        else:
+            l = _instant(col, dtype)
+        cells.append(F.struct(l.alias("l"), d.alias("d"), s.alias("s")))
+    return (
+        df.select(F.posexplode(F.array(*cells)).alias("idx", "c")).select("idx", "c.l", "c.d", "c.s")
+        .where("l is not null or d is not null")
+    )
+
+
+def _instant(col, dtype: T.DataType):
+    """Microseconds (days for dates); for zone-less timestamps taken from the fields, so that no
+    two of them meet in a clock change."""
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(col).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col)
+    seconds = (F.hour(col) * 3600 + F.minute(col) * 60).cast("bigint")
+    micros = (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
+    return F.unix_date(col.cast("date")).cast("bigint") * 86_400_000_000 + seconds * 1_000_000 + micros
+
+
+def _number_stats(df: DataFrame, numeric: list[str], dates: list[str], rows: int, approx: bool) -> DataFrame:
+    """Statistics of numeric columns, and counts of datetime columns."""
+    names = [*numeric, *dates]
     x = F.col("x")
+    column = F.get(_names(names), F.col("idx")).alias("column")
+    probs = [0.25, 0.5, 0.75]
     stats = [
-        F.count(x).alias("n_non_null"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
         F.avg(x).alias("mean"),
@@ -83,49 +108,43 @@ def _numeric_stats(df: DataFrame, names: list[str], rows: int, approx: bool) ->
         F.count_if(x == 0).alias("zeros"),
         F.count_if(x == 1).alias("ones"),
     ]
-    probs = [0.25, 0.5, 0.75]
-    column = F.get(_names(names), F.col("idx")).alias("column")
+    cells = _number_cells(df, names)
     if approx:
-        out = cells.groupBy("idx").agg(
-            *stats,
-            F.approx_count_distinct(x).alias("n_distinct"),
-            F.percentile_approx(x, probs, 10_000).alias("q"),
-        ).select("*", column)
+        key = F.xxhash64("l", "d", "s")
+        counts = cells.groupBy("idx").agg(
+            F.count(F.lit(1)).alias("n_non_null"),
+            F.approx_count_distinct(key, 0.01).alias("n_distinct"),
+            F.percentile_approx(F.coalesce(F.col("d"), F.col("l").cast("double")), probs, 10_000).alias("q"),
+        )
     else:
-        # the (column, value) frequency tables give the distinct count and, while they are small
-        # enough for one task, the quartiles too; larger inputs bracket the quartiles instead
-        small = rows <= LIMITS.task_rows
-        counted = None
-        families: dict[str, list[str]] = {}
-        for c in names:
-            families.setdefault(_distinct_type(df.schema[c].dataType), []).append(c)
-        for value_type, members in families.items():
-            freq = value_counts(df, members, value_type)
-            if small and value_type != "string":
-                part = ranked_quantiles(freq, "idx", "v", {"q": F.col("n")}, probs)
-            elif small:  # decimals are counted as text but ordered as numbers
-                freq = freq.select("idx", F.col("v").cast("double").alias("v"), "n")
-                part = ranked_quantiles(freq, "idx", "v", {"q": F.col("n")}, probs)
-            else:
-                part = freq.groupBy("idx").agg(F.count(F.lit(1)).alias("n_distinct"))
-            part = part.select(F.get(_names(members), F.col("idx")).alias("column"), *part.columns[1:])
-            counted = part if counted is None else counted.unionByName(part)
-        out = cells.groupBy("idx").agg(*stats).select("*", column)
-        if not small:
-            exact = quantile_columns(df, {c: as_double(df, c) for c in names}, probs, rows=rows)
-            out = out.withColumn("q", F.get(F.array(*[exact[c] for c in names]), F.col("idx")))
-        out = out.join(F.broadcast(counted), "column")  # one row per column
+        # the frequency table gives the counts and, while it is small enough for one task per
+        # column, the quartiles too; larger inputs bracket the quartiles instead
+        freq = cells.groupBy("idx", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+        if rows <= LIMITS.task_rows:
+            v = F.coalesce(F.col("d"), F.col("l").cast("double")).alias("v")
+            counts = ranked_quantiles(freq.select("idx", v, "n"), "idx", "v", {"q": F.col("n")}, probs).select(
+                "idx", F.col("total").alias("n_non_null"), "n_distinct", "q")
+        else:
+            exact = quantile_columns(df, {c: as_double(df, c) for c in numeric}, probs, rows=rows) if numeric else {}
+            slots = F.array(*[exact[c] for c in numeric]) if numeric else F.lit(None).cast("array<array<double>>")
+            counts = freq.groupBy("idx").agg(
+                F.sum("n").alias("n_non_null"), F.count(F.lit(1)).alias("n_distinct")
+            ).select("idx", "n_non_null", "n_distinct", F.get(slots, F.col("idx")).alias("q"))
+    if not numeric:
+        return _shaped(counts.select("*", column).withColumn("text_bytes", F.lit(None).cast("long")))
+    moments = numeric_cells(df, numeric).groupBy("idx").agg(*stats)
+    out = counts.join(F.broadcast(moments), "idx", "left").select("*", column)  # one row per column
     # exactly {0, 1}: every value is a zero or a one and both occur
-    two_valued = (
-        (F.col("zeros") > 0) & (F.col("ones") > 0)
-        & (F.col("zeros") + F.col("ones") == F.col("n_non_null"))
-    )
+    two_valued = F.coalesce(
+        (F.col("zeros") > 0) & (F.col("ones") > 0) & (F.col("zeros") + F.col("ones") == F.col("n_non_null")), F.lit(False))
     top_is_zero = F.col("zeros") >= F.col("ones")
     # a floating 0/1 column prints its values as 0.0 and 1.0
-    suffix = _names([".0" if is_floating(df.schema[c].dataType) else "" for c in names])
+    suffix = _names([".0" if is_floating(df.schema[c].dataType) else "" for c in numeric])
+    number = F.col("min").isNotNull()
     return out.select(
         "column", "n_non_null", "n_distinct", "min", "max", "mean", "std", "skew",
-        F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"),
+        F.when(number, F.col("q")[0]).alias("q25"), F.when(number, F.col("q")[1]).alias("median"),
+        F.when(number, F.col("q")[2]).alias("q75"),
         two_valued.alias("zero_one"),
         F.when(two_valued, F.concat(F.when(top_is_zero, "0").otherwise("1"), F.get(suffix, F.col("idx"))))
         .alias("top_value"),
@@ -134,37 +153,27 @@ def _numeric_stats(df: DataFrame, names: list[str], rows: int, approx: bool) ->
     )
 
 
-def _text_stats(df: DataFrame, names: list[str], approx: bool) -> DataFrame:
-    freq = value_counts(df, names)
+def _text_stats(df: DataFrame, names: list[str]) -> DataFrame:
+    """Counts, most frequent value and bytes of text and boolean columns."""
     top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v")))
-    out = freq.groupBy("idx").agg(
+    out = value_counts(df, names).groupBy("idx").agg(
         F.sum("n").alias("n_non_null"),
         F.count(F.lit(1)).alias("n_distinct"),
         top.alias("top"),
         F.sum(F.col("n") * F.octet_length("v")).alias("text_bytes"),
     )
-    return _shaped(out, names, F.col("top.v"), -F.col("top.neg"))
-
-
-def _datetime_stats(df: DataFrame, names: list[str]) -> DataFrame:
-    families: dict[str, list[str]] = {}
-    for c in names:
-        families.setdefault(_distinct_type(df.schema[c].dataType), []).append(c)
-    out = None
-    for value_type, members in families.items():
-        part = value_counts(df, members, value_type).groupBy("idx").agg(
-            F.sum("n").alias("n_non_null"), F.count(F.lit(1)).alias("n_distinct")
-        )
-        part = _shaped(part.withColumn("text_bytes", F.lit(None).cast("long")), members)
-        out = part if out is None else out.unionByName(part)
-    return out
+    flags = F.array(*[F.lit(kind_of(df.schema[c].dataType) == BOOLEAN) for c in names])
+    return _shaped(
+        out.select("*", F.get(_names(names), F.col("idx")).alias("column"))
+        .withColumn("text_bytes", F.when(~F.get(flags, F.col("idx")), F.col("text_bytes"))),
+        F.col("top.v"), -F.col("top.neg"))
 
 
-def _shaped(df: DataFrame, names: list[str], top=None, top_n=None) -> DataFrame:
+def _shaped(df: DataFrame, top=None, top_n=None) -> DataFrame:
     empty = {c: F.lit(None).cast("double").alias(c)
              for c in ("min", "max", "mean", "std", "skew", "q25", "median", "q75")}
     return df.select(
-        F.get(_names(names), F.col("idx")).alias("column"),
+        "column",
         F.col("n_non_null"),
         F.col("n_distinct"),
         *empty.values(),
@@ -175,26 +184,14 @@ def _shaped(df: DataFrame, names: list[str], top=None, top_n=None) -> DataFrame:
     )
 
 
-def _boolean_stats(df: DataFrame, names: list[str]) -> DataFrame:
-    cells = F.array(*[quoted(c) for c in names])
-    out = (
-        df.select(F.posexplode(cells).alias("idx", "b")).where(F.col("b").isNotNull())
-        .groupBy("idx")
-        .agg(F.count_if(F.col("b")).alias("yes"), F.count_if(~F.col("b")).alias("no"))
-        .withColumn("n_non_null", F.col("yes") + F.col("no"))
-        .withColumn("n_distinct", F.signum("yes").cast("long") + F.signum("no").cast("long"))
-        .withColumn("text_bytes", F.lit(None).cast("long"))
-    )
-    return _shaped(out, names, F.when(F.col("no") >= F.col("yes"), "false").otherwise("true"),
-                   F.greatest("yes", "no"))
-
-
 def _opaque_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """Nested columns: only the number of values is known."""
     one = df.agg(*[F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
     cells = one.select(F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("idx", "n_non_null"))
-    out = cells.withColumns({"n_distinct": F.lit(None).cast("long"), "text_bytes": F.lit(None).cast("long")})
-    return _shaped(out, names)
+    return _shaped(
+        cells.select(
+            F.get(_names(names), F.col("idx")).alias("column"), "n_non_null",
+            F.lit(None).cast("long").alias("n_distinct"), F.lit(None).cast("long").alias("text_bytes")))
 
 
 def _names(names: list[str]):
@@ -219,72 +216,55 @@ def column_profile(df: DataFrame, approx: bool = False, rows: int | None = None)
         "position int, column string, dtype string, kind string, width int",
     )
     parts = []
-    numeric = columns_of_kind(df, NUMERIC)
-    if numeric:
-        parts.append(_numeric_stats(df, numeric, rows, approx))
-    if text := columns_of_kind(df, TEXT):
-        parts.append(_text_stats(df, text, approx))
-    if dates := columns_of_kind(df, DATETIME):
-        parts.append(_datetime_stats(df, dates))
-    if flags := columns_of_kind(df, BOOLEAN):
-        parts.append(_boolean_stats(df, flags))
+    numeric, dates = columns_of_kind(df, NUMERIC), columns_of_kind(df, DATETIME)
+    if numeric or dates:
+        parts.append(_number_stats(df, numeric, dates, rows, approx))
+    if text := [c for c in df.columns if kind_of(df.schema[c].dataType) in (TEXT, BOOLEAN)]:
+        parts.append(_text_stats(df, text))
     if opaque := columns_of_kind(df, UNSUPPORTED):
         parts.append(_opaque_stats(df, opaque))
     stats = parts[0]
     for part in parts[1:]:
         stats = stats.unionByName(part)
-    joined = layout.join(F.broadcast(stats), "column", "left")  # one row per column on both sides
+    joined = layout.join(pinned(stats), "column", "left")  # one row per column on both sides
     return _describe(joined, rows, approx)
 
 
 def _describe(joined: DataFrame, rows: int, approx: bool) -> DataFrame:
-    n = F.lit(rows).cast("long")
-    non_null = F.coalesce("n_non_null", F.lit(0)).cast("long")
-    opaque = F.col("kind") == UNSUPPORTED
-    distinct = F.when(~opaque, F.coalesce("n_distinct", F.lit(0))).cast("long")
-    share = F.when(F.lit(rows) > 0, distinct / F.lit(float(max(rows, 1)))).otherwise(0.0)
-    low = F.lower("column")
-    id_name = (
-        (low == "id") | low.endswith("_id") | low.startswith("id_") | low.contains("identifier")
-    )
-    looks_id = (share >= ID_RATIO) & id_name | (share > ID_RATIO) & F.lit(rows > ID_MIN_ROWS)
-    semantic = (
-        F.when(opaque, "unsupported")
-        .when(F.col("kind") == BOOLEAN, "boolean")
-        .when(F.col("kind") == DATETIME, "datetime")
-        .when((F.col("kind") == NUMERIC) & F.coalesce("zero_one", F.lit(False)), "boolean")
-        .when(F.col("kind") == NUMERIC, "numerical")
-        .when(looks_id, "id")
-        .otherwise("categorical")
+    """Semantic types, flags and shares of the finished per-column statistics."""
+    n = f"{float(max(rows, 1))}D"
+    typed = joined.selectExpr(
+        "*",
+        f"{rows}L AS n_rows",
+        "CAST(coalesce(n_non_null, 0) AS BIGINT) AS nn",
+        "CASE WHEN kind <> 'unsupported' THEN CAST(coalesce(n_distinct, 0) AS BIGINT) END AS nd",
+        f"CASE WHEN kind <> 'unsupported' THEN coalesce(n_distinct, 0) / {n} END AS share",
+        "lower(column) = 'id' OR lower(column) LIKE '%\\_id' OR lower(column) LIKE 'id\\_%' "
+        "OR lower(column) LIKE '%identifier%' AS id_name",
+    ).selectExpr(
+        "*",
+        f"""CASE WHEN kind IN ('unsupported', 'boolean', 'datetime') THEN kind
+                 WHEN kind = 'numeric' AND coalesce(zero_one, false) THEN 'boolean'
+                 WHEN kind = 'numeric' THEN 'numerical'
+                 WHEN share >= {ID_RATIO}D AND id_name OR share > {ID_RATIO}D AND {rows} > {ID_MIN_ROWS} THEN 'id'
+                 ELSE 'categorical' END AS semantic_type""",
     )
-    counted = F.col("semantic_type").isin("categorical", "boolean", "id")
-    numeric = F.col("semantic_type") == "numerical"
-    out = joined.select(
-        "*", n.alias("n_rows"), non_null.alias("nn"), distinct.alias("nd"), share.alias("share"),
-        semantic.alias("semantic_type"),
-    )
-    missing = F.col("n_rows") - F.col("nn")
-    missing_share = (
-        missing / F.lit(float(rows)) * 100.0 if rows else F.lit(0.0)
-    )
-    return out.select(
+    numbers = [f"CASE WHEN semantic_type = 'numerical' THEN {c} END AS {c}"
+               for c in ("min", "max", "mean", "std", "median", "q25", "q75", "skew")]
+    tops = {"top_value": "top_value", "top_count": "top_count", "top_pct": "try_divide(top_count * 100D, CAST(nn AS DOUBLE))"}
+    return typed.selectExpr(
         "position", "column", "dtype", "semantic_type", "n_rows",
-        F.col("nn").alias("n_non_null"),
-        missing.alias("null_count"),
-        F.round(missing_share, 2).alias("null_pct"),
-        F.col("nd").alias("n_distinct"),
-        F.round("share", 4).alias("distinct_ratio"),
-        F.coalesce(F.col("nd") <= 1, F.lit(False)).alias("is_constant"),
-        F.coalesce(
-            F.col("semantic_type").isin("categorical", "id") & (F.col("nd") > HIGH_CARDINALITY), F.lit(False)
-        ).alias("is_high_cardinality"),
-        *[F.when(numeric, F.col(c)).alias(c)
-          for c in ("min", "max", "mean", "std", "median", "q25", "q75", "skew")],
-        F.when(counted, F.col("top_value")).alias("top_value"),
-        F.when(counted, F.col("top_count")).alias("top_count"),
-        F.when(counted, ratio(F.col("top_count") * 100.0, F.col("nn"))).alias("top_pct"),
-        F.coalesce(F.col("text_bytes"), F.col("width") * F.col("nn"), F.lit(0)).cast("long").alias("data_bytes"),
-        F.lit(not approx).alias("is_exact"),
+        "nn AS n_non_null",
+        "n_rows - nn AS null_count",
+        f"round((n_rows - nn) / {n} * 100D, 2) AS null_pct",
+        "nd AS n_distinct",
+        "round(share, 4) AS distinct_ratio",
+        "coalesce(nd <= 1, false) AS is_constant",
+        f"coalesce(semantic_type IN ('categorical', 'id') AND nd > {HIGH_CARDINALITY}, false) AS is_high_cardinality",
+        *numbers,
+        *[f"CASE WHEN semantic_type IN ('categorical', 'boolean', 'id') THEN {e} END AS {c}" for c, e in tops.items()],
+        "CAST(coalesce(text_bytes, width * nn, 0) AS BIGINT) AS data_bytes",
+        f"{'false' if approx else 'true'} AS is_exact",
     )
 
 

@@ -248,6 +248,9 @@ PART_SHAP = """m AS (SELECT avg(p_size) AS ms, avg(p_retailprice) AS mp, avg(len
 
 ORACLES: dict[str, str] = {
     "profile_columns": profile_sql("events", ["event_id", "user_id"], ["value"], ["event_type", "props"], ["ts"]),
+    "profile_lines": profile_sql(
+        "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+        ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], ["l_shipdate"]),
     "profile_dirty": f"WITH {DIRTY} SELECT * FROM ({DIRTY_PROFILE}) q",
     "profile_dataset": f"""WITH {LOOSE} SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns,
         CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS DOUBLE) AS missing_pct,

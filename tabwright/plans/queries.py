@@ -53,6 +53,10 @@ def profile_columns(spark, sf):
     return profile_rows(profile.Profile(table(spark, sf, "events")))
 
 
+def profile_lines(spark, sf):
+    return profile_rows(profile.Profile(table(spark, sf, "lineitem")))
+
+
 def profile_dirty(spark, sf):
     return profile_rows(profile.Profile(derived(spark, sf, views.DIRTY_ORDERS)))
 
@@ -629,7 +633,7 @@ def pipeline_run(spark, sf):
 
 
 ALL: list[Query] = [
-    profile_columns, profile_dirty, profile_dataset, semantic_types, summary, duplicate_rows, duplicate_rows_wide,
+    profile_columns, profile_lines, profile_dirty, profile_dataset, semantic_types, summary, duplicate_rows, duplicate_rows_wide,
     missing_cells, top_category, column_preview, quick_stats, validate_target, validate_small, validate_verdict,
     audit_issues, audit_cardinality, audit_duplicates, audit_score, audit_view, audit_outliers, audit_leakage, report_json,
     correlation_matrix, correlation_gaps, top_correlations, insight_target_binary, insight_target_numeric,

@@ -256,9 +256,9 @@ def _describe(joined: DataFrame, rows: int, approx: bool) -> DataFrame:
         "position", "column", "dtype", "semantic_type", "n_rows",
         "nn AS n_non_null",
         "n_rows - nn AS null_count",
-        f"round((n_rows - nn) / {n} * 100D, 2) AS null_pct",
+        f"round((n_rows - nn) / {n} * 10000D) / 100D AS null_pct",
         "nd AS n_distinct",
-        "round(share, 4) AS distinct_ratio",
+        "round(share * 10000D) / 10000D AS distinct_ratio",
         "coalesce(nd <= 1, false) AS is_constant",
         f"coalesce(semantic_type IN ('categorical', 'id') AND nd > {HIGH_CARDINALITY}, false) AS is_high_cardinality",
         *numbers,

@@ -26,6 +26,7 @@ class Limits:
 
 
 LIMITS = Limits()
+SPLIT_BYTES = 128 * 1024 * 1024
 ROWS_PER_TASK = 5_000  # below this a further partition costs more than it saves
 
 _ARROW = {
@@ -75,26 +76,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan; nothing is executed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Use every core when the input has fewer splits than the cluster has slots.
+    """Use every core for an input that is too small to be split into one task per slot.
 
-    A large table already has more splits than slots, so this adds no shuffle there. A known
-    small row count lowers the number of partitions, because tiny tasks cost more than they do.
+    A table larger than one split per slot is returned unchanged, so nothing large is ever
+    shuffled here. A known small row count gives fewer partitions, because tiny tasks cost
+    more than they do.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    wanted = slots if rows is None else max(1, min(slots, -(-rows // ROWS_PER_TASK)))
-    have = df.rdd.getNumPartitions()
-    if have < wanted:
-        return df.repartition(wanted)
-    return df.coalesce(wanted) if wanted < slots and have > wanted else df
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if rows is not None and rows < ROWS_PER_TASK * slots:
+        return df.repartition(max(1, -(-rows // ROWS_PER_TASK)))
+    if estimated_bytes(df) >= slots * SPLIT_BYTES:
+        return df
+    return df.repartition(slots)
 
 
 @contextmanager
 def shared(df: DataFrame, rows: int | None = None) -> Iterator[DataFrame]:
-    """Input for several passes. A table with fewer splits than slots is spread and kept once;
-    a large table is left alone, because pruned re-scans are cheaper than holding it."""
+    """Input for several passes. A small table is spread and kept once; a large one is left
+    alone, because pruned re-scans are cheaper than holding it."""
     wide = spread(df, rows)
-    if wide is df and (rows is None or rows > ROWS_PER_TASK):
+    if wide is df:
         yield df
         return
     wide = wide.persist()

@@ -168,14 +168,16 @@ def cv_summary(fold_metrics: DataFrame) -> DataFrame:
 
 
 def leaderboard(fold_metrics: DataFrame, primary: str, metric_names: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row per model: primary mean and deviation, every metric mean, rank (1 is best).
+    """One row per model: primary mean and deviation, every metric mean, training time, rank (1 is best).
 
     Ties go to the earlier model in ``order``, else to the smaller id.
     """
     key = met.ALIASES.get(primary, primary)
     means = fold_metrics.groupBy("model_id").pivot("metric", metric_names).agg(F.avg("value"))
-    main = fold_metrics.where(F.col("metric") == key).groupBy("model_id").agg(
-        F.avg("value").alias("cv_mean"), F.stddev_pop("value").alias("cv_std"))
+    figures = [F.avg("value").alias("cv_mean"), F.stddev_pop("value").alias("cv_std")]
+    if "fit_seconds" in fold_metrics.columns:
+        figures += [F.first("name").alias("name"), F.sum("fit_seconds").alias("train_seconds")]
+    main = fold_metrics.where(F.col("metric") == key).groupBy("model_id").agg(*figures)
     best_first = F.col("cv_mean").asc() if primary in LOWER_IS_BETTER else F.col("cv_mean").desc()
     place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model_id")) if order else F.col("model_id")
     ranked = Window.orderBy(best_first, place)  # one row per model

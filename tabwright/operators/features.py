@@ -29,6 +29,7 @@ from tabwright.session import LIMITS, fits, local_table, shared
 
 # Fixed value: most levels a one-hot feature may have.
 MAX_ONE_HOT = 25
+MAX_LISTED = 1000  # levels a hand-made plan may one-hot encode
 UNSEEN = -1.0
 HOT_SHARE = 1000  # a value is hot when it holds more than 1/1000 of the rows: at most 1000 are
 
@@ -283,8 +284,11 @@ def _category_states(df, plan: FeaturePlan, k: int, leave_out: bool):
         for r in best.collect():  # one row per column and fold
             modes[r["j"]][names[r["idx"]]] = r["m"]["v"]
         n_hot = len(plan.one_hot)
-        if n_hot:  # at most 25 levels each, by plan
-            for r in counts.where(F.col("idx") < n_hot).orderBy("v").select("idx", "j", "v").collect():
+        if n_hot:  # at most 25 levels each, by plan; a hand-made plan is held to a bound as well
+            listed = counts.where(F.col("idx") < n_hot).select("idx", "j", "v")
+            if not fits(listed, MAX_LISTED * n_hot * k):
+                raise ValueError("a one-hot feature has too many levels; encode it as ordinal")
+            for r in listed.orderBy("v").collect():
                 levels[r["j"]][names[r["idx"]]].append(r["v"])
         dictionaries = [None] * k
         if plan.ordinal:

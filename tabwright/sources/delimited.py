@@ -67,7 +67,9 @@ def read_delimited(
         df = df.limit(max_rows)
     if df.isEmpty():
         raise ValueError(f"the source has a header but no rows: {path}")
-    return infer_types(df) if infer else df
+    if not infer or len(set(df.columns)) < len(df.columns):
+        return df  # names that meet after trimming are left for the validation to report
+    return infer_types(df)
 
 
 def clean_header(df: DataFrame) -> DataFrame:

@@ -278,6 +278,8 @@ def test_delimited_sources(spark, tmp_path):
     df = delimited.read_delimited(spark, put("t.csv", text))
     assert df.dtypes == [("a", "bigint"), ("b", "bigint"), ("c", "string"), ("d", "boolean"), ("e", "string"), ("f", "double")]
     assert df.where("a is null").count() == 1 and df.where("f is null").count() == 1
+    same = delimited.read_delimited(spark, put("d.csv", "a, a\n1,2\n3,4\n"))
+    assert same.columns == ["a", "a"]
     assert delimited.read_delimited(spark, put("r.csv", "a,b\n1,2\n3,4\n"), max_rows=1).count() == 1
 
 

@@ -86,7 +86,7 @@ def _pairs(state: DataFrame, rows: DataFrame, blocks: int, small: bool) -> DataF
     return spots.join(queries, ["dim", "qblock"]).join(rows, ["dim", "block"])
 
 
-def _histogram(state: dict, ids: np.ndarray, scores: np.ndarray, k: int) -> dict:
+def _histogram(state: dict, ids: np.ndarray, scores: np.ndarray, k: int, bins: int) -> dict:
     """Counts per bin of each query's interval, for the bins that the block's own k best reach: no lower bin of a
     block can decide where the k-th value of all rows lies."""
     lowest = np.iinfo(np.int64).min
@@ -94,11 +94,10 @@ def _histogram(state: dict, ids: np.ndarray, scores: np.ndarray, k: int) -> dict
     n = scores.shape[1]
     best = scores if n <= k else np.partition(scores, n - k, axis=1)[:, n - k:]
     lo, hi = state["lo"][:, None], state["hi"][:, None]
-    width = (hi - lo) // BINS + 1
+    width = (hi - lo) // bins + 1
     q, j = np.nonzero((best >= lo) & (best <= hi) & (best > lowest))
-    bins = (best[q, j] - lo[q, 0]) // width[q, 0]
-    key, counts = np.unique(q * BINS + bins, return_counts=True)
-    return {"query_id": state["query_ids"][key // BINS], "bin": key % BINS, "n": counts}
+    key, counts = np.unique(q * bins + (best[q, j] - lo[q, 0]) // width[q, 0], return_counts=True)
+    return {"query_id": state["query_ids"][key // bins], "bin": key % bins, "n": counts}
 
 
 def _winners(state: dict, ids: np.ndarray, scores: np.ndarray, k: int) -> dict:
@@ -114,7 +113,7 @@ def _winners(state: dict, ids: np.ndarray, scores: np.ndarray, k: int) -> dict:
     return {"query_id": state["query_ids"][q[keep]], "vec_id": ids[j[keep]], "score": s[keep]}
 
 
-def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, bins: int = BINS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best rows of each query by integer inner product.
 
     Both frames have vec_id and v (array of bigint, see ``integer_vector``). Rows with a null vec_id or v take no
@@ -142,12 +141,12 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     hist_layout = pa.schema([("query_id", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())])
     while state.where("lo < hi").limit(1).count():
         open_ = state.where("lo < hi")
-        found = _scored(_pairs(open_, blocks, parts, small), lambda s, i, x: _histogram(s, i, x, k), hist_layout, "query_id bigint, bin bigint, n bigint")
+        found = _scored(_pairs(open_, blocks, parts, small), lambda s, i, x: _histogram(s, i, x, k, bins), hist_layout, "query_id bigint, bin bigint, n bigint")
         total = found.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         reached = total.withColumn("upto", F.sum("n").over(down)).join(state.select("query_id", "need"), "query_id")
         spot = reached.where("upto >= need").groupBy("query_id").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"))).alias("_spot"))
-        width = F.expr(f"(hi - lo) div {BINS}") + 1
+        width = F.expr(f"(hi - lo) div {bins}") + 1
         lower = F.col("lo") + F.col("_spot.bin") * width
         missing = F.col("_spot").isNull()  # fewer than k rows in all: every one of them is wanted
         moving = F.col("lo") < F.col("hi")

@@ -33,8 +33,7 @@ def test_top_k_with_ties_bad_vectors_and_few_rows(spark, monkeypatch):
         assert {tuple(x) for x in got.collect()} == brute(rows, 10, k)
     monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk, "BINS", 16)
-    got = exact_top_k(vectors.where("vec_id % 10 = 0"), vectors, 5)
+    got = exact_top_k(vectors.where("vec_id % 10 = 0"), vectors, 5, bins=64)
     assert {tuple(x) for x in got.collect()} == brute(rows, 10, 5)
     assert exact_top_k(vectors.limit(0), vectors, 5).count() == 0
     assert exact_top_k(vectors, vectors.limit(0), 5).count() == 0

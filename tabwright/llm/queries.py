@@ -11,7 +11,10 @@ from tabwright.llm.bpe import encode_texts
 from tabwright.llm.common import table
 from tabwright.llm.exact_dedup import exact_groups
 from tabwright.llm.langid import learn_profiles, predict_language
+from tabwright.llm.line_dedup import dedup_lines
 from tabwright.llm.packing import pack
+from tabwright.llm.quality import fit_quality, score_quality
+from tabwright.llm.secrets import KINDS, scan_secrets, written
 from tabwright.llm.topk import exact_top_k, integer_vector
 
 
@@ -37,10 +40,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs)).select("doc_id", "posterior", "score", F.col("good").alias("kept"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("secret_spans")
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    base = written(F.filter(spans, lambda s: s["kind"] < 3))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "deleted_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return coded.select(
@@ -54,5 +75,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_language_id, op7_exact_dedup, op9_bpe, op10_best_fit_packing)
+    f.__name__: f for f in (op1_exact_topk, op2_language_id, op5_quality, op6_secret_scan, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_best_fit_packing)
 }

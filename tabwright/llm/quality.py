@@ -23,8 +23,13 @@ BUCKETS = 512
 #: Documents (of the smallest hash) on which the scorer is trained.
 SAMPLE = 20_000
 EM_ROUNDS = 50
+#: Bounds of P(vote + | bad) and P(vote + | good): junk is of several kinds, so a good vote never proves much,
+#: while a labeller that calls good texts bad is rarely of use.
+PLUS_IF_BAD = (0.1, 0.9)
+PLUS_IF_GOOD = (0.5, 0.998)
 CACHED_WORDS = 200_000
 _PLAIN = set(".,;:!?'\"()-")
+_MARKS = ".,;:!?'\"()-*#$%&|<>=_~"
 
 
 @dataclass
@@ -35,6 +40,7 @@ class Measures:
     upper: float
     symbols: float
     repeated: float
+    pairs: float
     top: float
     bare: float
     stops: float
@@ -54,14 +60,15 @@ def measures(text: str) -> Measures:
             odd = [c for c in word if not c.isalnum()]
             symbols += k * sum(c not in _PLAIN for c in odd)
             shouts += k * word.count("!")
-            bare += k * (own == 0)
+            bare += k * (len(odd) == len(word))
             marked += k * (len(odd) > 1 and odd[-1] == odd[-2] and word[-1] == odd[-1])
         if own and not word.islower():
             upper += k * sum(map(str.isupper, word))
-        stops += k * (word.lower() in STOP_WORDS)
+        stops += k * ((word if own == len(word) else word.strip(_MARKS)).lower() in STOP_WORDS)
     repeated = sum(a == b for a, b in zip(words, words[1:]))
     letters = max(1, letters)
-    return Measures(len(words), upper / letters, symbols / max(1, len(text)), repeated / n, max(kinds.values(), default=0) / n, bare / n, stops / n, shouts / n, marked / n)
+    pairs = len(set(zip(words, words[1:]))) / max(1, len(words) - 1)
+    return Measures(len(words), upper / letters, symbols / max(1, len(text)), repeated / n, pairs, max(kinds.values(), default=0) / n, bare / n, stops / n, shouts / n, marked / n)
 
 
 def _two_sided(value: float, good: float, bad: float) -> int:
@@ -70,10 +77,11 @@ def _two_sided(value: float, good: float, bad: float) -> int:
 
 #: Overlapping labellers: 1 good, -1 bad, 0 no opinion. Few words give no opinion where a share means little.
 LABELLERS = {
-    "capitals": lambda m: _two_sided(m.upper, 0.15, 0.4),
+    "capitals": lambda m: _two_sided(m.upper, 0.15, 0.4) if m.words >= 5 else 0,
     "symbols": lambda m: _two_sided(m.symbols, 0.01, 0.05),
     "repeats": lambda m: _two_sided(m.repeated, 0.03, 0.2) if m.words >= 5 else 0,
-    "one_word": lambda m: _two_sided(m.top, 0.12, 0.3) if m.words >= 20 else 0,
+    "same_pairs": lambda m: (1 if m.pairs >= 0.5 else -1 if m.pairs <= 0.2 else 0) if m.words >= 20 else 0,
+    "one_word": lambda m: _two_sided(m.top, 0.1, 0.2) if m.words >= 20 else 0,
     "bare_marks": lambda m: _two_sided(m.bare, 0.05, 0.2) if m.words >= 5 else 0,
     "stop_words": lambda m: (1 if m.stops >= 0.12 else -1 if m.stops <= 0.04 else 0) if m.words >= 30 else 0,
     "shouting": lambda m: _two_sided(m.shouts, 0.02, 0.2),
@@ -91,37 +99,38 @@ def votes(text: str | None) -> str:
 
 @dataclass
 class WeakLabels:
-    """P(good) and P(vote | class) per labeller, class 0 bad and 1 good, votes in the order -, 0, +."""
+    """P(good) and P(vote + | class, some vote) per labeller, class 0 bad and 1 good. No opinion says nothing."""
 
     prior: float
-    tables: np.ndarray  # labeller x class x vote
+    tables: np.ndarray  # labeller x class
 
     def posterior(self, pattern: str) -> float:
-        at = ["-0+".index(v) for v in pattern]
-        log = np.log([1 - self.prior, self.prior]) + sum(np.log(self.tables[j, :, v]) for j, v in enumerate(at))
+        log = np.log([1 - self.prior, self.prior])
+        for j, vote in enumerate(pattern):
+            if vote != "0":
+                log = log + np.log(self.tables[j] if vote == "+" else 1 - self.tables[j])
         return float(1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700))))
 
     def accuracy(self) -> dict[str, float]:
         """Share of right votes among the votes each labeller gives."""
-        right = self.prior * self.tables[:, 1, 2] + (1 - self.prior) * self.tables[:, 0, 0]
-        given = right + self.prior * self.tables[:, 1, 0] + (1 - self.prior) * self.tables[:, 0, 2]
-        return dict(zip(LABELLERS, (right / given).tolist()))
+        right = self.prior * self.tables[:, 1] + (1 - self.prior) * (1 - self.tables[:, 0])
+        return dict(zip(LABELLERS, right.tolist()))
 
 
 def fit_weak_labels(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> WeakLabels:
     """Expectation-maximisation over vote patterns and their counts; starts from the majority vote."""
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], dtype=float)
-    v = np.array([["-0+".index(c) for c in p] for p in names], dtype=np.int64).reshape(len(names), len(LABELLERS))
-    # any bad vote outweighs the good ones at the start: junk shows by one sign, and most labellers see other signs
-    good = np.where((v == 0).any(axis=1), 0.2, 0.9)
-    one = np.eye(3)[v]  # pattern x labeller x vote
+    v = np.array([["-0+".index(c) - 1 for c in p] for p in names], dtype=float).reshape(len(names), len(LABELLERS))
+    plus, minus = (v > 0).astype(float), (v < 0).astype(float)
+    # one bad vote outweighs the good ones at the start: junk shows by one sign, and most labellers see other signs
+    good = np.where(minus.any(axis=1), 0.2, 0.9)
     for _ in range(rounds):
         weight = np.stack([n * (1 - good), n * good])
         prior = float(np.clip((weight[1].sum() + 1) / (n.sum() + 2), 1e-3, 1 - 1e-3))
-        tables = np.einsum("cp,pjv->jcv", weight, one) + 0.5
-        tables /= tables.sum(axis=2, keepdims=True)
-        log = np.log([1 - prior, prior])[:, None] + np.einsum("pjv,jcv->cp", one, np.log(tables))
+        tables = ((weight @ plus + 0.5) / (weight @ (plus + minus) + 1)).T
+        tables = np.stack([tables[:, 0].clip(*PLUS_IF_BAD), tables[:, 1].clip(*PLUS_IF_GOOD)], axis=1)
+        log = np.log([1 - prior, prior])[:, None] + np.log(tables).T @ plus.T + np.log(1 - tables).T @ minus.T
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
     return WeakLabels(prior, tables)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.bpe import encode_texts
 from tabwright.llm.common import table
 from tabwright.llm.exact_dedup import exact_groups
+from tabwright.llm.jaccard_join import near_classes
 from tabwright.llm.langid import learn_profiles, predict_language
 from tabwright.llm.line_dedup import dedup_lines
 from tabwright.llm.packing import pack
@@ -40,6 +41,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, fit_quality(docs)).select("doc_id", "posterior", "score", F.col("good").alias("kept"))
@@ -75,5 +80,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_language_id, op5_quality, op6_secret_scan, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_best_fit_packing)
+    f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_ngram_jaccard_join, op5_quality, op6_secret_scan, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_best_fit_packing)
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import encode_texts
+from tabwright.llm.chat import format_chat
 from tabwright.llm.common import table
 from tabwright.llm.exact_dedup import exact_groups
 from tabwright.llm.jaccard_join import near_classes
@@ -45,6 +46,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, fit_quality(docs)).select("doc_id", "posterior", "score", F.col("good").alias("kept"))
@@ -80,5 +85,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_ngram_jaccard_join, op5_quality, op6_secret_scan, op7_exact_dedup, op8_line_dedup, op9_bpe, op10_best_fit_packing)
+    f.__name__: f
+    for f in (op1_exact_topk, op2_language_id, op3_ngram_jaccard_join, op4_chat_format, op5_quality, op6_secret_scan, op7_exact_dedup,
+              op8_line_dedup, op9_bpe, op10_best_fit_packing)
 }

@@ -1,6 +1,63 @@
-STAGES = []
+"""The documents as training sequences: poor ones go, repeated line runs go, one of each group of near copies stays,
+secrets are masked, and what is left is packed."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabwright.llm.common import kept, table
+from tabwright.llm.jaccard_join import keep_one
+from tabwright.llm.line_dedup import dedup_lines
+from tabwright.llm.packing import pack
+from tabwright.llm.quality import keep_good
+from tabwright.llm.queries import tokenizer_file
+from tabwright.llm.secrets import redact_secrets
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(dedup_lines(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(redact_secrets(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("secrets", secrets), ("packing", packing),
+]
+
+#: The learned, similarity and tokenizer stages are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over what the one before kept, written and read again in between.
+
+    The last stage gives one row per piece of a document (see ``pack``); ids are little-endian unsigned 32-bit
+    numbers. Documents that lines were taken from stay, with what is left of their text.
+    """
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -97,8 +97,9 @@ def _leaders(rows: DataFrame, similarity: float) -> DataFrame:
 
     A member starts as leader unless a leader is at most twice the wanted distance away, and is tied to every
     leader at most three times that distance away: so two members at the wanted distance share a leader. ``extra``
-    widens both by four standard errors of the sketch. Leaders of a bucket of several chunks are all tied to the
-    bucket's first member."""
+    widens both by four standard errors of the sketch. Of the ties only as many are written as keep connected what
+    they connect: one per member, and one per leader that meets another group. Leaders of a bucket of several chunks
+    are all tied to the bucket's first member."""
     hashes = _HASHES
     far = 1.0 - similarity
 
@@ -109,19 +110,27 @@ def _leaders(rows: DataFrame, similarity: float) -> DataFrame:
             nodes = group["node"].to_pylist()
             sketches = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(nodes), hashes)
             a, b, agree = [], [], []
-            free = np.ones(len(nodes), bool)
+            free, owner = np.ones(len(nodes), bool), np.full(len(nodes), -1)
             first, several = group["low"][0].as_py(), group["chunks"][0].as_py() > 1
             while free.any():
                 lead = int(free.argmax())
                 same = (sketches == sketches[lead]).sum(axis=1)
                 ties = np.flatnonzero(same >= tied)
-                a += [nodes[lead]] * len(ties)
-                b += [nodes[i] for i in ties]
-                agree += same[ties].tolist()
+                met = np.unique(owner[ties[owner[ties] >= 0]])
+                new = ties[owner[ties] < 0]
+                a += [nodes[lead]] * len(new)
+                b += [nodes[i] for i in new]
+                agree += same[new].tolist()
+                for other in met:  # whoever has a member in common becomes one
+                    a.append(nodes[lead])
+                    b.append(nodes[other])
+                    agree.append(0)
+                owner[new] = lead
+                owner[np.isin(owner, met)] = lead
                 if several:
                     a.append(first)
                     b.append(nodes[lead])
-                    agree.append(hashes)
+                    agree.append(0)
                 free &= same < near
                 free[lead] = False
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree, pa.int32())], names=["a", "b", "agree"])

@@ -15,7 +15,9 @@ from tabwright.llm.common import text_or_empty
 
 #: Words whose encoding a Python worker remembers; later ones are encoded anew for each batch.
 CACHED_WORDS = 300_000
-ROWS_PER_BATCH = 500
+#: Chunks (a word with its marks) that it remembers, about 400 bytes each.
+CACHED_CHUNKS = 600_000
+ROWS_PER_BATCH = 2000
 
 #: Characters for which the plain word pattern below and the tokenizer's own pattern agree.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
@@ -64,22 +66,28 @@ class WordCoder:
         self.token = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.encoded: dict[str, list[int]] = {}
+        self.space = self.alphabet[ord(" ")]
+        self.encoded: dict[str, tuple[str, str]] = {}
         self.ids: dict[str, str] = {}
         self.texts: dict[str, str] = {}
 
     def symbols(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.space)  # every other printable byte stands for itself
         return word.encode().decode("latin-1").translate(self.alphabet)
 
     def of_symbols(self, symbols: str) -> list[int]:
         """Ids of one word: its fragments are encoded on their own, and only the last carries the word end."""
         *first, last = fragments(symbols, self.joinable)
-        return [t.id for f in first for t in self.inner.tokenize(f)] + [t.id for t in self.ending.tokenize(last)]
+        ending = [t.id for t in self.ending.tokenize(last)]
+        return [t.id for f in first for t in self.inner.tokenize(f)] + ending if first else ending
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[str, str]:
+        """Ids and token strings of a word, each joined by a space."""
         found = self.encoded.get(word)
         if found is None:
-            found = self.of_symbols(self.symbols(word))
+            ids = self.of_symbols(self.symbols(word))
+            found = " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
             if len(self.encoded) < CACHED_WORDS:
                 self.encoded[word] = found
         return found
@@ -95,9 +103,8 @@ class WordCoder:
 
     def _learn(self, chunks: set[str], ids: dict[str, str], texts: dict[str, str]) -> None:
         for chunk in chunks:
-            found = [i for word in self.pieces.findall(chunk) for i in self._word(word)]
-            ids[chunk] = " ".join(map(str, found))
-            texts[chunk] = " ".join(map(self.token.__getitem__, found))
+            words = [self._word(word) for word in self.pieces.findall(chunk)]
+            ids[chunk], texts[chunk] = words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), " ".join([w[1] for w in words]))
 
     def encode(self, batch: list[str]) -> tuple[list[str], list[str], list[int]]:
         """Space-joined decimal ids, decoded text and token count of each text.
@@ -107,7 +114,7 @@ class WordCoder:
         normaliser and split before the fragments."""
         split = [None if _OTHER.search(t) or self.specials.search(t) else t.lower().split() for t in batch]
         new = set().union(*(words for words in split if words)) - self.ids.keys()
-        if len(self.ids) + len(new) <= CACHED_WORDS:
+        if len(self.ids) + len(new) <= CACHED_CHUNKS:
             self._learn(new, self.ids, self.texts)
             ids, texts = self.ids, self.texts
         else:

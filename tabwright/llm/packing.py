@@ -18,6 +18,9 @@ from tabwright.session import fits, local_table
 #: Rows (partition, length, offset) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
+#: Chunks (a word with its space and marks) whose ids a Python worker remembers, about 200 bytes each.
+CACHED_CHUNKS = 800_000
+
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
 
 
@@ -28,8 +31,11 @@ class ByteCoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.alphabet = dict(enumerate(byte_alphabet()))
+        self.space = self.alphabet[ord(" ")]
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -37,8 +43,11 @@ class ByteCoder:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            symbols = word.encode().decode("latin-1").translate(self.alphabet)
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.whole.model.tokenize(symbols))
+            if word.isascii() and word.isprintable():
+                symbols = word.replace(" ", self.space)  # every other printable byte stands for itself
+            else:
+                symbols = word.encode().decode("latin-1").translate(self.alphabet)
+            found = b"".join([self.as_bytes[t.id] for t in self.model.tokenize(symbols)])
             if len(self.words) < CACHED_WORDS:
                 self.words[word] = found
         return found
@@ -56,7 +65,7 @@ class ByteCoder:
             split.append(t.replace(" ", "\0 ").split("\0") if plain else None)
         new = set().union(*(c for c in split if c)) - self.chunks.keys()
         known = self.chunks
-        if len(known) + len(new) > CACHED_WORDS:
+        if len(known) + len(new) > CACHED_CHUNKS:
             known = _Both(self.chunks, {})
         self._learn(new, known)
         return [b"".join(map(known.__getitem__, chunks)) if chunks else self._whole(t) for t, chunks in zip(batch, split)]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,15 @@ STOP_WORDS = frozenset(
     "el los las y del que en un una por con no su para es al lo como más o pero sus le ha este si".split())
 
 BUCKETS = 512
-#: Documents (of the smallest hash) on which the scorer is trained.
+#: Rows on which the scorer is trained, about: those whose hash falls in this share of all.
 SAMPLE = 20_000
+HASH_SPACE = 1 << 40
 EM_ROUNDS = 50
 #: Bounds of P(vote + | bad) and P(vote + | good): junk is of several kinds, so a good vote never proves much,
 #: while a labeller that calls good texts bad is rarely of use.
 PLUS_IF_BAD = (0.1, 0.9)
 PLUS_IF_GOOD = (0.5, 0.998)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 _PLAIN = set(".,;:!?'\"()-")
 _MARKS = ".,;:!?'\"()-*#$%&|<>=_~"
 
@@ -48,27 +50,66 @@ class Measures:
     marked: float
 
 
-def measures(text: str) -> Measures:
-    words = text.split()
-    n = max(1, len(words))
-    kinds = Counter(words)
-    upper = letters = symbols = shouts = bare = marked = stops = 0
-    for word, k in kinds.items():
-        own = sum(map(str.isalpha, word))
-        letters += own * k
-        if own != len(word):
+class _Words(dict):
+    """A number for each word met, and a table row of its traits: letters, capitals, rare marks, exclamation marks,
+    0/1 for bare marks, doubled end marks and stop words, and the hash bucket of its shape."""
+
+    def __init__(self):
+        super().__init__()
+        self.traits = np.zeros((1024, 8), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.traits):
+            self.traits = np.concatenate([self.traits, np.zeros_like(self.traits)])
+        core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:?" else (word, "")
+        if core.isalpha() and core[1:].islower():  # the usual word, by the same rules
+            big = core[0].isupper()
+            shape = ("A" if big else "a") + ("" if big else "a") + ("a" if big else "") + ("a" if big and len(core) > 2 else "") + mark
+            self.traits[n] = (len(core), big, 0, 0, 0, 0, core.lower() in STOP_WORDS, _bucket(shape))
+        else:
             odd = [c for c in word if not c.isalnum()]
-            symbols += k * sum(c not in _PLAIN for c in odd)
-            shouts += k * word.count("!")
-            bare += k * (len(odd) == len(word))
-            marked += k * (len(odd) > 1 and odd[-1] == odd[-2] and word[-1] == odd[-1])
-        if own and not word.islower():
-            upper += k * sum(map(str.isupper, word))
-        stops += k * ((word if own == len(word) else word.strip(_MARKS)).lower() in STOP_WORDS)
-    repeated = sum(a == b for a, b in zip(words, words[1:]))
-    letters = max(1, letters)
-    pairs = len(set(zip(words, words[1:]))) / max(1, len(words) - 1)
-    return Measures(len(words), upper / letters, symbols / max(1, len(text)), repeated / n, pairs, max(kinds.values(), default=0) / n, bare / n, stops / n, shouts / n, marked / n)
+            self.traits[n] = (
+                sum(map(str.isalpha, word)), sum(map(str.isupper, word)), sum(c not in _PLAIN for c in odd), word.count("!"),
+                len(odd) == len(word), len(odd) > 1 and odd[-1] == odd[-2] and word[-1] == odd[-1], word.strip(_MARKS).lower() in STOP_WORDS,
+                _bucket(shape_of(word)))
+        self[word] = n
+        return n
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        words = text.split() if text else []
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+_words = _Words()
+
+
+def shape_of(word: str) -> str:
+    """Letter cases, digits and marks of a word, runs cut to two."""
+    shape = ""
+    for c in word:
+        s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        if shape[-2:] != s * 2:
+            shape += s
+    return shape
+
+
+@lru_cache(maxsize=10_000)
+def _bucket(shape: str) -> int:
+    return 1 + zlib.crc32(shape.encode("utf-8", "replace")) % (BUCKETS - 2)
+
+
+def measures(text: str) -> Measures:
+    w = _words.numbers(text)
+    n = max(1, len(w))
+    letters, upper, symbols, shouts, bare, marked, stops, _ = _words.traits[w].sum(axis=0).tolist()
+    top = int(np.unique(w, return_counts=True)[1].max(initial=0))
+    pairs = len(np.unique(w[:-1] << 32 | w[1:])) / max(1, len(w) - 1)
+    return Measures(
+        len(w), upper / max(1, letters), symbols / max(1, len(text)), int((w[1:] == w[:-1]).sum()) / n, pairs, top / n, bare / n, stops / n,
+        shouts / n, marked / n)
 
 
 def _two_sided(value: float, good: float, bad: float) -> int:
@@ -135,33 +176,15 @@ def fit_weak_labels(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> WeakLa
     return WeakLabels(prior, tables)
 
 
-_shapes: dict[str, int] = {}
-
-
-def _bucket(word: str) -> int:
-    """Hash bucket of a word's shape: letter cases, digits and marks, runs cut to two."""
-    found = _shapes.get(word)
-    if found is None:
-        shape = ""
-        for c in word:
-            s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-            if shape[-2:] != s * 2:
-                shape += s
-        found = 1 + zlib.crc32(shape.encode("utf-8", "replace")) % (BUCKETS - 2)
-        if len(_shapes) < CACHED_WORDS:
-            _shapes[word] = found
-    return found
-
-
 def features(text: str | None) -> np.ndarray:
     """Share of each shape bucket; bucket 0 holds words equal to the one before, the last the share of distinct words."""
-    words = (text or "").split()
+    w = _words.numbers(text)
     out = np.zeros(BUCKETS)
-    if words:
-        out[:] = np.bincount(list(map(_bucket, words)), minlength=BUCKETS)
-        out[0] = sum(a == b for a, b in zip(words, words[1:]))
-        out /= len(words)
-        out[-1] = len(set(words)) / len(words)
+    if len(w):
+        out[:] = np.bincount(_words.traits[w, 7], minlength=BUCKETS)
+        out[0] = (w[1:] == w[:-1]).sum()
+        out /= len(w)
+        out[-1] = len(np.unique(w)) / len(w)
     return np.sqrt(out)
 
 
@@ -197,8 +220,8 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
 
 
 def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
-    """Weak-label model from the votes on all texts, then logistic regression on the posterior labels of the
-    ``sample`` texts of the smallest hash. None where there is no text with words."""
+    """Weak-label model from the votes on all texts, then logistic regression on the posterior labels of about
+    ``sample`` rows, chosen by a hash of the row. None where there is no text with words."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -207,7 +230,8 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     if not set(patterns) - {silent}:
         return None
     weak = fit_weak_labels({p: n for p, n in patterns.items() if p != silent})
-    chosen = docs.select("text").where("text is not null").orderBy(F.xxhash64("text"), F.length("text"), "text").limit(sample)
+    share = min(1.0, sample / sum(patterns.values()))
+    chosen = docs.where("text is not null").where(F.pmod(F.xxhash64(*docs.columns), F.lit(HASH_SPACE)) < int(share * HASH_SPACE)).select("text")
 
     def labelled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [t.as_py() for t in batch["text"]]

@@ -110,3 +110,13 @@ def test_quality_agrees_with_labels(spark):
     junk = rows.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     print("kept of clean and junk", clean, junk)
     assert clean > 0.97 and junk < 0.25
+
+
+def test_usual_words_have_the_traits_of_the_general_rule():
+    from tabwright.llm.quality import STOP_WORDS, _bucket, _Words, shape_of
+
+    words = _Words()
+    for w in ["the", "The", "of,", "Is.", "a", "A", "As", "Straße?", "éa;", "an", "xX", "Ab:", "I", "I.", "ǅa", "İa", "ªa"]:
+        row = words.traits[words.numbers(w)[0]].tolist()
+        odd = [c for c in w if not c.isalnum()]
+        assert row == [sum(map(str.isalpha, w)), sum(map(str.isupper, w)), 0, 0, 0, 0, w.strip(".,;:?").lower() in STOP_WORDS, _bucket(shape_of(w))], (w, odd)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import text_or_empty
+from tabwright.llm.common import claim, text_or_empty
 
 #: Words whose encoding a Python worker remembers; later ones are encoded anew for each batch.
 CACHED_WORDS = 300_000
@@ -156,6 +156,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", word_coder.cache_clear)
         coder = word_coder(path)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_BATCH):

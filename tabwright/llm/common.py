@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from tabwright.session import scratch_path
 
 
+_owner: tuple[str, Callable[[], None]] | None = None
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say whose word cache a Python worker holds from now on; another operator's cache is dropped, because reused
+    workers would else hold those of all stages at once."""
+    global _owner
+    if _owner and _owner[0] != name:
+        _owner[1]()
+    _owner = (name, clear)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

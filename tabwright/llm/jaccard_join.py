@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import kept, runs_of_key
+from tabwright.llm.common import claim, kept, runs_of_key
 from tabwright.llm.components import components
 
 WORDS = 5
@@ -77,6 +77,7 @@ def recall(similarity, depth: int, trees: int = TREES):
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _known.clear)
         for batch in batches:
             digests, labels, sketches = [], [], []
             for text in batch["text"]:
@@ -226,6 +227,7 @@ def _hashed(rows: DataFrame, width: int) -> DataFrame:
     """The shingle hashes of the node a row was fetched for; rows of other nodes of that doc_id fall away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _known.clear)
         for batch in batches:
             hashes = [shingles(t.as_py(), width) for t in batch["text"]]
             own = [hashlib.md5(h.tobytes()).digest() == n for h, n in zip(hashes, batch["node"].to_pylist())]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import CACHED_WORDS, ROWS_PER_BATCH, _Both, byte_alphabet
-from tabwright.llm.common import kept, text_or_empty
+from tabwright.llm.common import claim, kept, text_or_empty
 from tabwright.session import fits, local_table
 
 #: Rows (partition, length, offset) that may be broadcast: 24 bytes each.
@@ -87,6 +87,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, closing_id: int =
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("bytes", byte_coder.cache_clear)
         part = TaskContext.get().partitionId()
         coder, seen = byte_coder(path), np.zeros(size + 1, dtype=np.int64)
         closing = closing_id.to_bytes(4, "little")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.common import claim
+
 #: Common short words of the languages the stop-word labeller knows.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or an had they which you were their one all we "
@@ -29,7 +31,7 @@ EM_ROUNDS = 50
 #: while a labeller that calls good texts bad is rarely of use.
 PLUS_IF_BAD = (0.1, 0.9)
 PLUS_IF_GOOD = (0.5, 0.998)
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 _PLAIN = set(".,;:!?'\"()-")
 _MARKS = ".,;:!?'\"()-*#$%&|<>=_~"
 
@@ -200,6 +202,7 @@ class QualityModel:
 
 def _mapped(docs: DataFrame, ddl: str, f) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _words.clear)
         for batch in batches:
             yield from f(batch)
 
@@ -210,6 +213,7 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
     """How many texts have each vote pattern, over all rows; at most 3 to the number of labellers come back."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _words.clear)
         n: Counter = Counter()
         for batch in batches:
             n.update(votes(t.as_py()) for t in batch["text"])

@@ -297,7 +297,9 @@ def test_end_to_end_and_scoring(spark, binary, tmp_path):
     out = run(binary, "y", str(tmp_path / "art"), ["key"], trials=2, folds=3, preset=models.FAST)
     steps = out.step_table(spark).collect()
     assert [r["step"] for r in steps] == STEPS and {r["status"] for r in steps} == {"completed"}
-    assert out.attributions.count() > 0 and out.importance.count() > 0 and out.run_id
+    keys = [r["key"] for r in out.attributions.select("key").distinct().collect()]
+    assert len(keys) == binary.where("y is not null").count()  # every row is explained
+    assert out.importance.count() > 0 and out.run_id
     bundle = load_bundle(spark, str(tmp_path / "art" / "bundle"))
     scored = score(binary, bundle)
     rows = scored.collect()
@@ -325,8 +327,13 @@ def test_end_to_end_and_scoring(spark, binary, tmp_path):
 
 
 def test_failed_step_is_marked(spark):
+    from tabwright.plans.pipeline import Run
+
+    state, told = Run("t"), []
     with pytest.raises(ValueError, match="Minimum"):
-        run(spark.range(5).select("id", F.col("id").alias("t")), "t")
+        run(spark.range(5).select("id", F.col("id").alias("t")), "t", state=state, step_callback=lambda *x: told.append(x))
+    assert state.status["validation"][0] == "failed" and state.status["validation"][2] and state.status["profiling"][0] == "pending"
+    assert told == [("validation", "running"), ("validation", "failed")]
 
 
 def test_reports(spark):

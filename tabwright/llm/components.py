@@ -13,7 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label of that label, and is written out;
     rounds end when no label changes. Nothing is collected but the number of changes."""
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
+    pairs = kept(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    low = pairs.groupBy("b").agg(F.min("a").alias("low"))  # an id keeps its least neighbour, which takes over the others
+    moved = pairs.join(low, "b").where("a != low").select(F.col("low").alias("a"), F.col("a").alias("b")).distinct()
+    fewer = moved.unionByName(low.select(F.col("low").alias("a"), "b"))
+    both = kept(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))

@@ -54,7 +54,10 @@ def running_totals(
     inner = (
         Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = ranged.join(F.broadcast(offsets), [*group, "_part"])
+    # the window needs this partitioning anyway, so the join may shuffle; null groups meet as well
+    side = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in [*group, "_part"]], *[f"_o_{k}" for k in totals])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*group, "_part"]]
+    joined = ranged.join(side, same).drop(*[f"_k_{c}" for c in [*group, "_part"]])
     out = joined.withColumns(
         {k: F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inner), F.lit(0)) for k in totals}
     )

@@ -31,6 +31,7 @@ from tabwright.session import LIMITS, fits, local_table, shared
 MAX_ONE_HOT = 25
 MAX_LISTED = 1000  # levels a hand-made plan may one-hot encode
 UNSEEN = -1.0
+SPREAD_KEYS = 65_536
 HOT_SHARE = 1000  # a value is hot when it holds more than 1/1000 of the rows: at most 1000 are
 
 
@@ -151,22 +152,29 @@ def transform(df: DataFrame, enc: Encoding, output: str = "features") -> DataFra
 
 
 def lookup(df: DataFrame, key: Column, entries: DataFrame, name: str, limit: int | None = None) -> DataFrame:
-    """Left join of a (value, code, n) dictionary. A dictionary proven small is broadcast.
-    Otherwise hot values (never more than 1000) are broadcast and only rows with rare values
-    are shuffled, so a value held by a third of the rows loads no single task."""
+    """Left join of a (value, code, n) dictionary. A dictionary proven small is broadcast; keys are at most 97
+    bytes (longer values by digest), so its rows bound its bytes. Otherwise hot values (never more than 1000) are
+    broadcast and rare ones are shuffled; rows that need no rare value get a spread key that matches nothing, so a
+    value held by a third of the rows loads no single task. The rows are read once."""
     limit = limit or LIMITS.broadcast_rows
-    keyed = df.withColumn("_key", key)
-    side = entries.select(F.col("value").alias("_key"), F.col("code").alias(name), "n")
+    keyed = df.withColumn("_key", _short(key))
+    side = entries.select(_short(F.col("value")).alias("_key"), F.col("code").alias(name), "n")
     if fits(side, limit):
         return keyed.join(F.broadcast(side.drop("n")), "_key", "left").drop("_key")
     total = side.agg(F.sum("n")).first()[0]
     is_hot = F.col("n") > total / HOT_SHARE
-    hot = side.where(is_hot).drop("n")
-    matched = keyed.join(F.broadcast(hot), "_key", "left")
-    done = matched.where(F.col(name).isNotNull() | F.col("_key").isNull())
-    rest = matched.where(F.col(name).isNull() & F.col("_key").isNotNull()).drop(name)
-    rest = rest.join(side.where(~is_hot).drop("n"), "_key", "left")
-    return done.unionByName(rest).drop("_key")
+    hot = side.where(is_hot).select("_key", F.col(name).alias("_hot"))
+    rare = side.where(~is_hot).select(F.col("_key").alias("_rare"), name)
+    spread_key = F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD_KEYS)).cast("string"))
+    wanted = F.when(F.col("_hot").isNull() & F.col("_key").isNotNull(), F.col("_key")).otherwise(spread_key)
+    matched = keyed.join(F.broadcast(hot), "_key", "left").withColumn("_rare", wanted).join(rare, "_rare", "left")
+    return matched.withColumn(name, F.coalesce("_hot", name)).drop("_key", "_rare", "_hot")
+
+
+def _short(value: Column) -> Column:
+    """A join key of at most 97 bytes: the value after ``=``, or the digest of a long one after ``#``."""
+    long = F.octet_length(value) > 96
+    return F.when(long, F.concat(F.lit("#"), F.sha2(value.cast("binary"), 256))).otherwise(F.concat(F.lit("="), value))
 
 
 def fit(df: DataFrame, plan: FeaturePlan) -> Encoding:

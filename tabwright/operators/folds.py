@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabwright.functions.columns import one_row, quoted
-from tabwright.session import LIMITS, pinned, reliable
+from tabwright.functions.ordered import running_totals
+from tabwright.operators.profile import row_digest
+from tabwright.session import LIMITS
 
 FOLD = "fold"
 
@@ -28,53 +30,24 @@ def assign_folds(
 ) -> DataFrame:
     """Add ``fold`` in 0..k-1; fold sizes (per class when ``label`` is given) differ by at most 1.
 
-    Rows are numbered in the order of a seeded digest of their key. A large table is numbered
-    in two levels: inside a bucket of equal digest prefix, plus the row counts of the earlier
-    buckets. That gives the same numbers as one global sort, without a single-task sort and
-    without one task per class. The key must identify rows; with no key, or one with a hot value,
-    row ids are written to the checkpoint folder first and used instead.
+    Rows are numbered in the order of a seeded digest of their key, and of their content where keys are equal or
+    none is given, so that key, seed and rows alone decide at any size and file layout; only rows equal in every
+    column may change places. A large table is numbered by range partitions plus the row counts of earlier ones;
+    its rows are written once to the checkpoint folder. A null label is a class of its own.
     """
     limit = limit or LIMITS.task_rows
-    if not key_cols:
-        return _by_row_id(df, k, seed, label, rows, limit)
     n = df.count() if rows is None else rows
-    groups = [label] if label else []
-    tagged = df.withColumn("_h", _digest(key_cols, seed))
-    order = ["_h", *[quoted(c) for c in key_cols]]
+    content = row_digest(df)
+    first = _digest(key_cols, seed) if key_cols else F.md5(F.concat(F.lit(f"{seed}|"), content).cast("binary"))
+    tagged = df.withColumns({"_h": first, "_r": content, **({"_g": quoted(label)} if label else {})})
+    groups = ["_g"] if label else []
     if n <= limit:
-        w = Window.partitionBy(*[quoted(g) for g in groups]).orderBy(*order)
-        return tagged.withColumn(FOLD, ((F.row_number().over(w) - 1) % k).cast("int")).drop("_h")
-
-    digits = 1
-    while n / 16**digits > limit / 4 and digits < 5:
-        digits += 1
-    tagged = tagged.withColumn("_b", F.substring("_h", 1, digits))
-    # at most 16**digits rows per class
-    sizes = tagged.groupBy(*[quoted(g) for g in groups], "_b").agg(F.count(F.lit(1)).alias("_n")).persist()
-    try:
-        biggest = sizes.agg(F.max("_n")).first()[0]
-        if biggest > 8 * max(limit // 4, 1):
-            return _by_row_id(df, k, seed, label, n, limit)
-        before = (
-            Window.partitionBy(*[quoted(g) for g in groups]).orderBy("_b")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        offsets = sizes.select(
-            *[quoted(g) for g in groups], "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
-        )
-        offsets = pinned(offsets)
-    finally:
-        sizes.unpersist()
-    inside = Window.partitionBy(*[quoted(g) for g in groups], "_b").orderBy(*order)
-    numbered = tagged.join(F.broadcast(offsets), [*groups, "_b"])
-    place = F.col("_o") + F.row_number().over(inside) - 1
-    return numbered.withColumn(FOLD, (place % k).cast("int")).select(*[quoted(c) for c in df.columns], FOLD)
-
-
-def _by_row_id(df, k, seed, label, rows, limit) -> DataFrame:
-    """Give rows ids that cannot change on a retry: they are written before they are used."""
-    with_id = reliable(df.withColumn("_row_id", F.monotonically_increasing_id()))
-    return assign_folds(with_id, k, ["_row_id"], seed, label, rows, limit).drop("_row_id")
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy("_h", "_r")) - 1
+        numbered = tagged.withColumn("_place", place)
+    else:
+        tagged = tagged.withColumn("_t", F.monotonically_increasing_id())  # spreads copies of one row
+        numbered = running_totals(tagged, groups, ["_h", "_r", "_t"], {"_place": F.lit(1).cast("long")}, rows=n, limit=limit)
+    return numbered.select(*[quoted(c) for c in df.columns], (F.col("_place") % k).cast("int").alias(FOLD))
 
 
 def fold_sizes(folded: DataFrame, *by: str) -> DataFrame:

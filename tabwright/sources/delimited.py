@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import quoted
@@ -47,8 +47,12 @@ def read_delimited(
     encoding: str | None = None,
     delimiter: str | None = None,
     infer: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Read a delimited file or folder into typed columns."""
+    """Read a delimited file or folder into typed columns.
+
+    Files are split at line ends, so a quoted field that holds one is an error. ``multiline=True`` reads such files,
+    at the price of one task per file."""
     try:
         raw = spark.read.text(path)
         if raw.where(F.trim("value") != "").isEmpty():
@@ -57,9 +61,11 @@ def read_delimited(
         raise ValueError(f"the source does not exist: {path}") from e
     encoding = encoding or detect_encoding(spark, path)
     delimiter = delimiter or detect_delimiter(spark, path)
+    if not multiline and not raw.where(_left_open(delimiter)).isEmpty():
+        raise ValueError(f"a quoted field holds a line break, read with multiline=True: {path}")
     df = (
         spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').option("multiLine", False)
+        .option("quote", '"').option("escape", '"').option("multiLine", multiline)
         .option("nullValue", "").option("enforceSchema", True).csv(path)
     )
     df = clean_header(df)
@@ -72,6 +78,13 @@ def read_delimited(
     return infer_types(df)
 
 
+def _left_open(delimiter: str) -> Column:
+    """Whether a line ends inside a quoted field; a quote within an unquoted field opens none."""
+    start = f"(^|{re.escape(delimiter)})"
+    single = F.replace(F.col("value"), F.lit('""'), F.lit(""))
+    return F.regexp_replace(single, start + '"[^"]*"', "$1").rlike(start + '"')
+
+
 def clean_header(df: DataFrame) -> DataFrame:
     """Trim names and drop unnamed columns that hold no value."""
     names = [c.strip() for c in df.columns]

@@ -76,12 +76,19 @@ def test_two_level_folds_equal_global_numbering(spark):
         assert plain == split
 
 
-def test_folds_with_a_hot_key_stay_balanced(spark):
-    # a third of all rows share one key: numbering falls back to stored row ids
-    df = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("k"))
-    folded = assign_folds(df, 4, ["k"], limit=200)
-    sizes = [r["n"] for r in fold_sizes(folded).collect()]
-    assert sum(sizes) == 3000 and max(sizes) - min(sizes) <= 1
+def test_folds_with_a_hot_key_are_the_same_at_any_size(spark):
+    # a third of all rows share one key, some rows repeat whole, some labels are null
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("k"), (F.col("id") % 700).alias("v"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("y"))
+    for label in (None, "y"):
+        for keys in (["k"], None):
+            plain = sorted(map(str, assign_folds(df, 4, keys, label=label).collect()))
+            split = assign_folds(df.repartition(5), 4, keys, label=label, limit=200)
+            assert plain == sorted(map(str, split.collect()))
+            by = [label] if label else []
+            for group in fold_sizes(split, *by).groupBy(*by).agg(F.max("n") - F.min("n"), F.sum("n")).collect():
+                assert group[-2] <= 1 and group[-1] in (1000, 3000)
 
 
 def test_folds_without_a_key(spark):
@@ -97,3 +104,13 @@ def test_hot_and_rare_dictionary_lookup(spark):
     small = {tuple(r) for r in feat.lookup(rows, F.col("v"), entries, "code").select("id", "code").collect()}
     large = {tuple(r) for r in feat.lookup(rows, F.col("v"), entries, "code", limit=10).select("id", "code").collect()}
     assert small == large and len(large) == 3000
+
+
+def test_lookup_reads_the_rows_once_and_takes_long_values(spark):
+    rows = spark.range(300).select("id", F.concat(F.repeat(F.lit("x"), (F.col("id") % 40 * 5).cast("int")), F.lit("é")).alias("v"))
+    entries = feat.ordinal_dictionary(rows, "v")
+    small = {tuple(r) for r in feat.lookup(rows, F.col("v"), entries, "code").select("id", "code").collect()}
+    marked = rows.withColumn("mark", F.lit("once"))
+    plan = feat.lookup(marked, F.col("v"), entries, "code", limit=10)
+    assert {tuple(r) for r in plan.select("id", "code").collect()} == small and len({c for _, c in small}) == 40
+    assert str(plan._jdf.queryExecution().analyzed()).count("once AS mark") == 1

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import BOOLEAN, NUMERIC, TEXT, kind_of, present
+from tabwright.functions.columns import BOOLEAN, DATETIME, NUMERIC, TEXT, kind_of, present
 from tabwright.functions.ordered import dense_codes
+from tabwright.operators.profile import instant
 from tabwright.session import local_table
 
 # Thresholds and names of the detection rules.
@@ -153,6 +154,9 @@ def encode_label(df: DataFrame, problem: Problem, name: str = "label") -> DataFr
     y = present(df, problem.target)
     kept = df.where(y.isNotNull())
     if not problem.is_classification:
-        return kept.withColumn(name, y.cast("double"))
+        dtype = df.schema[problem.target].dataType
+        # a datetime is its microseconds, a date its days, since 1970
+        number = instant(y, dtype) if kind_of(dtype) == DATETIME else y
+        return kept.withColumn(name, number.cast("double"))
     known = F.array(*[F.lit(c) for c in problem.classes])  # at most 20 classes
     return kept.withColumn(name, (F.array_position(known, y.cast("string")) - 1).cast("double"))

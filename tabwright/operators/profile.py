@@ -73,7 +73,7 @@ def _number_cells(df: DataFrame, names: list[str]) -> DataFrame:
         elif isinstance(dtype, T.DecimalType):
             d, s = col.cast("double"), col.cast("string")
         else:
-            l = _instant(col, dtype)
+            l = instant(col, dtype)
         cells.append(F.struct(l.alias("l"), d.alias("d"), s.alias("s")))
     return (
         df.select(F.posexplode(F.array(*cells)).alias("idx", "c")).select("idx", "c.l", "c.d", "c.s")
@@ -81,7 +81,7 @@ def _number_cells(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _instant(col, dtype: T.DataType):
+def instant(col, dtype: T.DataType):
     """Microseconds (days for dates); for zone-less timestamps taken from the fields, so that no
     two of them meet in a clock change."""
     if isinstance(dtype, T.DateType):

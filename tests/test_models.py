@@ -55,6 +55,16 @@ def test_detection(spark):
         of([f"t{i % 21}" for i in range(100)], "string")
 
 
+def test_datetime_target_is_regression(spark):
+    base = spark.range(40).select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    df = base.withColumns({"at": F.col("day").cast("timestamp"), "plain": F.col("day").cast("timestamp_ntz")})
+    for target, unit in (("day", 1), ("at", 86_400_000_000), ("plain", 86_400_000_000)):
+        found = problem.detect(df, target)
+        assert not found.is_classification
+        label = [r["label"] for r in problem.encode_label(df, found).orderBy("id").collect()]
+        assert label[39] - label[0] == 39 * unit
+
+
 def test_preprocessing_survives_unseen_and_missing(spark):
     train = spark.createDataFrame(
         [(1.0, "A", "i1", 0), (2.0, "B", "i2", 1), (None, "A", "i3", 0), (10.0, None, "i4", 1)],

@@ -461,5 +461,12 @@ ORACLES: dict[str, str] = {
         FROM documents""",
     "csv_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""",
     "type_inference": f"WITH {DIRTY} SELECT o_orderkey, o_totalprice, o_orderpriority, spare FROM d",
-    "row_cap": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100",
+    "row_cap": "SELECT least(count(*), 100) AS rows, least(count(*), 100) AS known FROM orders",
+    "tune_curve": "SELECT range + 1 AS trial, true AS ok FROM range(15)",
+    "cv_sizes": """SELECT m.model_id, 5 AS folds, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL) AS held, 0 AS uneven
+        FROM (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting'), ('gbt_subsampled')) m(model_id)""",
+    "tree_additivity": "SELECT 2 * count(DISTINCT doc_id) AS sets, 0 AS off FROM documents JOIN labels USING (doc_id)",
+    "sampled_additivity": "SELECT count(DISTINCT doc_id) AS sets, 0 AS off FROM documents JOIN labels USING (doc_id)",
+    "score_consistency": "SELECT count(*) AS rows, 0 AS uneven, 0 AS unlikely FROM documents JOIN labels USING (doc_id)",
+    "stream_equals_batch": "SELECT count(*) AS rows, 0 AS different FROM documents JOIN labels USING (doc_id)",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,7 +277,8 @@ def feature_plan(spark, sf):
 
 
 def drop_null_target(spark, sf):
-    d = derived(spark, sf, views.DIRTY_ORDERS).where(F.col("o_totalprice").isNotNull())
+    d = derived(spark, sf, views.DIRTY_ORDERS)
+    d = problem.encode_label(d, problem.detect(d, "o_totalprice"))
     return d.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("gross"), 0).alias("total"))
 
 
@@ -537,7 +539,13 @@ def type_inference(spark, sf):
 
 
 def row_cap(spark, sf):
-    return table(spark, sf, "orders").orderBy("o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+    """How many rows a read with a cap gives, and how many of them the table has."""
+    path = scratch_path(spark, "orders-csv")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    orders.write.option("header", True).csv(path)
+    capped = delimited.read_delimited(spark, path, max_rows=100)
+    found = capped.join(orders.withColumn("there", F.lit(1)), ["o_orderkey", "o_totalprice"], "left")
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count("there").alias("known"))
 
 
 # --- models (rows only) ------------------------------------------------------------------
@@ -570,7 +578,26 @@ def cv_regression(spark, sf):
 
 def tune(spark, sf):
     _, p, _, data = _document_data(spark, sf)
-    return search.tune(data, models.candidates(p, models.FAST)[0], p.primary_metric, n_trials=4).trials
+    return search.tune(data, models.candidates(p)[0], p.primary_metric).trials
+
+
+def tune_curve(spark, sf):
+    """The trials of a full search: number, and whether the running best is one of the scores and none is above it."""
+    _, p, _, data = _document_data(spark, sf)
+    found = search.tune(data, models.candidates(p)[0], p.primary_metric)
+    curve = search.trial_curve(found.trials, found.maximize, found.baseline)
+    ok = (F.col("running_best") >= F.col("score")) & (F.col("best") >= F.col("running_best"))
+    return curve.select(F.col("trial").cast("long").alias("trial"), ok.alias("ok"))
+
+
+def cv_sizes(spark, sf):
+    """Folds of each candidate, rows held out in all of them, and the folds whose two sides do not make the table."""
+    d, p, _, data = _document_data(spark, sf, 5)
+    parts = cv.cross_validate(data, models.candidates(p, models.FAST)).select("model_id", "fold", "train_size", "val_size").distinct()
+    n = d.where("quality is not null").count()
+    return parts.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("folds"), F.sum("val_size").alias("held"),
+        F.count_if(F.col("train_size") + F.col("val_size") != n).alias("uneven"))
 
 
 def _fitted(spark, sf, index):
@@ -594,6 +621,40 @@ def sampled_shapley(spark, sf):
     return explain.sampled_shap(encoded, ["doc_id"], model, encoder.encoding.names, True, explain.background(encoded), 4)
 
 
+def _misses(phi, expected):
+    """Rows and classes explained, and those whose attributions do not add up to base and output."""
+    keys = [c for c in ("doc_id", "class") if c in phi.columns]
+    sums = phi.groupBy(*keys).agg(F.sum("phi").alias("phi"), F.first("base").alias("base"))
+    off = F.abs(F.col("phi") + F.col("base") - F.col("output")) > 1e-6
+    return sums.join(expected, keys, "left").agg(
+        F.count(F.lit(1)).alias("sets"), F.count_if(F.coalesce(off, F.lit(True))).alias("off"))
+
+
+def tree_additivity(spark, sf):
+    d, _, _, fitted = _fitted(spark, sf, 1)
+    encoder, model = fitted.stages
+    encoded = encoder.transform(d)
+    phi = explain.tree_shap(encoded, ["doc_id"], model, encoder.encoding.names)
+    scored = model.transform(encoded)
+    return _misses(phi, scored.select("doc_id", F.posexplode(models.class_probabilities(scored)).alias("class", "output")))
+
+
+def sampled_additivity(spark, sf):
+    d, _, _, fitted = _fitted(spark, sf, 0)
+    encoder, model = fitted.stages
+    encoded = encoder.transform(d)
+    centres = explain.background(encoded)
+    phi = explain.sampled_shap(encoded, ["doc_id"], model, encoder.encoding.names, True, centres)
+
+    def chance(rows):
+        scored = model.transform(rows)
+        return scored.withColumn("output", F.get(models.class_probabilities(scored), F.lit(1)))
+
+    start = spark.createDataFrame([(Vectors.dense(c),) for c in centres], ["features"])
+    base = chance(start).agg(F.avg("output")).first()[0]
+    return _misses(phi.withColumn("base", F.lit(base)), chance(encoded).select("doc_id", "output"))
+
+
 def model_importance(spark, sf):
     _, _, _, fitted = _fitted(spark, sf, 1)
     encoder, model = fitted.stages
@@ -622,6 +683,30 @@ def stream_score(spark, sf):
     return spark.read.parquet(output).drop("probabilities")
 
 
+def score_consistency(spark, sf):
+    """Rows scored, and those whose class chances do not add up to 1 or whose label is not the likeliest."""
+    d, bundle = _saved(spark, sf)
+    chances = F.map_values("probabilities")
+    even = F.abs(F.aggregate(chances, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    likeliest = F.try_element_at("probabilities", F.col("predicted_quality")) == F.array_max(chances)
+    return score(d, bundle).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(even, F.lit(False))).alias("uneven"),
+        F.count_if(~F.coalesce(likeliest, F.lit(False))).alias("unlikely"))
+
+
+def stream_equals_batch(spark, sf):
+    """Rows that a stream scored, and those that one way of scoring gives and the other does not."""
+    d, bundle = _saved(spark, sf)
+    source, output, state = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    d.write.parquet(source)
+    score_stream(read_records(spark, source, d.schema), bundle, output, state).awaitTermination()
+    sides = [x.select("doc_id", "predicted_quality", F.round("probability", 9).alias("chance"), F.lit(side).alias("side"))
+             for side, x in ((1, spark.read.parquet(output)), (-1, score(d, bundle)))]
+    rows = sides[0].unionByName(sides[1]).groupBy("doc_id", "predicted_quality", "chance").agg(
+        F.sum("side").alias("surplus"), F.count_if(F.col("side") == 1).alias("n"))
+    return rows.agg(F.sum("n").alias("rows"), F.count_if(F.col("surplus") != 0).alias("different"))
+
+
 def model_card(spark, sf):
     return _saved(spark, sf)[1].card(spark).drop("created_at")
 
@@ -645,7 +730,7 @@ ALL: list[Query] = [
     cv_summary, leaderboard, fold_table, trial_best_curve, best_trial, linear_shap, global_importance,
     local_top_contributions, feature_schema_table, run_history, run_cleaning, csv_roundtrip, type_inference, row_cap,
     cv_benchmark, cv_regression, tune, tree_shap, sampled_shapley, model_importance, batch_score, stream_score, model_card,
-    pipeline_run,
+    pipeline_run, tune_curve, cv_sizes, tree_additivity, sampled_additivity, score_consistency, stream_equals_batch,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in ALL}

@@ -44,7 +44,7 @@ def main() -> None:
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_wall_clock", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"), "preset": "fast models",
+        "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"), "preset": "fast models; batch_score full-size",
     }))
     spark.stop()
 

@@ -600,16 +600,16 @@ def cv_sizes(spark, sf):
         F.count_if(F.col("train_size") + F.col("val_size") != n).alias("uneven"))
 
 
-def _fitted(spark, sf, index):
+def _fitted(spark, sf, index, preset=models.REFERENCE):
     d = _labelled_documents(spark, sf)
     p = problem.detect(d, "quality")
     plan = feat.plan_features(profile.Profile(d), "quality", ["doc_id"])
-    pipeline = cv.fit_full(d, p, plan, models.candidates(p, models.FAST)[index], {})
+    pipeline = cv.fit_full(d, p, plan, models.candidates(p, preset)[index], {})
     return d, p, plan, pipeline
 
 
 def tree_shap(spark, sf):
-    d, _, _, fitted = _fitted(spark, sf, 1)
+    d, _, _, fitted = _fitted(spark, sf, 1, models.FAST)
     encoder, model = fitted.stages
     return explain.tree_shap(encoder.transform(d), ["doc_id"], model, encoder.encoding.names)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.llm.line_dedup import dedup_lines, shortest_runs
+from tabwright.llm.line_dedup import OFTEN, dedup_lines, shortest_runs
 from tabwright.llm.quality import LABELLERS, fit_quality, fit_weak_labels, keep_good, score_quality, vote_counts, votes
 from tabwright.llm.queries import QUERIES
 
@@ -52,6 +52,18 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     assert dedup_lines(no_docs).count() == 0
 
 
+def test_common_lines_go_though_they_are_short(spark):
+    line, edge, pair, chance = "one two three four five six seven", "a b c d e f g", ["u v w", "x y z"], "Les."
+    docs = []
+    for i in range(OFTEN + 5):
+        own = [f"own {i}", line, f"more {i}", chance, f"end {i}", *pair, f"last {i}", line if i % 2 else f"odd {i}"]
+        docs.append(own + ([edge, edge] if i < OFTEN - 1 else []))
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(docs)], "doc_id bigint, text string").repartition(5)
+    rows = {r["doc_id"]: r["deleted_lines"] for r in dedup_lines(df).collect()}
+    want = {i: [1] * (i > 0) + [5, 6] * (i > 0) + [8] * (i % 2) for i in range(len(docs))}
+    assert rows == want
+
+
 def test_shortest_runs():
     assert shortest_runs([60, 5, 3], 50) == [[1, 2, 3], [], []]
     assert shortest_runs([20, 20, 20], 50) == [[3], [], []]

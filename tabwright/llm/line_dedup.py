@@ -93,9 +93,10 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, common: int = COMMO
     Prefix doubling: rank 0 of a place stands for its line, rank k for the 2**k lines from it, made of the ranks
     k-1 of the place and of the place 2**(k-1) on. Equal ranks are the intervals of the suffix array whose longest
     common prefix is at least 2**k lines; an interval of n lines is named by the ranks of its first and its last
-    2**k lines. Places alone in their class leave, so only repeated lines go on.
+    2**k lines. Places alone in their class leave, so only repeated lines go on. A place has one row, or the joins of
+    places would multiply those of repeated documents.
     """
-    level = kept(_named(line_rows(docs, least, common), often, "line"), "lines")
+    level = kept(_named(line_rows(docs, least, common), often, "line").distinct(), "lines")
     found, k = [], 0
     while True:
         size = 1 << k

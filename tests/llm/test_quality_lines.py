@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.llm.line_dedup import OFTEN, dedup_lines, shortest_runs
+from tabwright.llm.line_dedup import OFTEN, dedup_lines, repeated_runs, shortest_runs
 from tabwright.llm.quality import LABELLERS, fit_quality, fit_weak_labels, keep_good, score_quality, vote_counts, votes
 from tabwright.llm.queries import QUERIES
 
@@ -64,6 +64,22 @@ def test_common_lines_go_though_they_are_short(spark):
     assert rows == want
 
 
+def test_rows_of_one_document_count_once(spark):
+    lines = [f"a{i} b" for i in range(40)]
+    docs = [(1, "\n".join(["x", *lines]))] + [(2, "\n".join([*lines, "y"]))] * 3 + [(3, "\n".join(lines[:8]))] * 3
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    small = repeated_runs(df.where("doc_id = 3").unionByName(df.where("doc_id = 1")), 16)
+    assert [tuple(r) for r in small.select("d", "p", "n").collect()] == [(3, 0, 8)]
+    runs = repeated_runs(df)
+    assert 0 < runs.count() == runs.distinct().count()
+    rows = dedup_lines(df).collect()
+    assert len(rows) == 7
+    assert [r["deleted_lines"] for r in rows if r["doc_id"] == 2] == [list(range(40))] * 3
+    assert [r["deleted_lines"] for r in rows if r["doc_id"] in (1, 3)] == [[]] * 4
+    common = spark.createDataFrame([(1, "one two three four five six seven")] * (OFTEN + 5) + [(2, "one two three four five six seven")], "doc_id bigint, text string")
+    assert all(r["deleted_lines"] == [] for r in dedup_lines(common).collect())
+
+
 def test_shortest_runs():
     assert shortest_runs([60, 5, 3], 50) == [[1, 2, 3], [], []]
     assert shortest_runs([20, 20, 20], 50) == [[3], [], []]

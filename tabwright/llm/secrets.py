@@ -22,9 +22,17 @@ KINDS = ["assign", "access", "hex", "random"]
 SYMBOLS = "A-Za-z0-9+/_=-"
 LEAST_TOKEN = 20
 TOKEN = rf"(?<![{SYMBOLS}])[{SYMBOLS}]{{{LEAST_TOKEN},}}+"
-#: Lengths from which a stratum of its own begins, and what one needs to stand for itself.
+#: Lengths from which a stratum of its own begins, and how many of the corpus's words the model of words counts for.
 STRATA = [24, 32, 48, 96]
-LEAST_ORDINARY = 200
+MODEL_WORDS = 200
+#: The model of words: per stratum the highest bin that a share of words does not exceed (-1: none). Simulated once, from
+#: 400,000 to 1,000,000 words of the stratum's least length: independent letters of English frequencies, nine tenths of
+#: the weight on lower case (alphabet 62) and one on upper case (alphabet 32). Between two bins the larger share holds.
+MODEL_SHARES = [0.0001, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3]
+MODEL_BINS = [
+    [-1, 3, 6, 12, 22, 41, 80], [1, 6, 11, 20, 33, 61, 120], [6, 15, 22, 37, 63, 126, 252], [24, 44, 61, 92, 155, 399, 399],
+    [231, 362, 399, 399, 399, 399, 399],
+]
 FALSE_DISCOVERIES = 0.01
 STEPS_PER_UNIT = 4
 TOP_BIN = 400
@@ -124,25 +132,28 @@ def _tested(docs: DataFrame) -> DataFrame:
     return _places(docs, TOKEN, "_tokens").withColumn("_tested", _battery(F.col("_tokens"))).drop("_tokens")
 
 
+def _model_share(own: Column, bin_: Column) -> Column:
+    """Share of the model's words of stratum ``own`` at or below a bin, rounded up."""
+    shares = [F.when(own == i, F.coalesce(*(F.when(bin_ <= b, F.lit(p)) for b, p in zip(bins, MODEL_SHARES)), F.lit(1.0))) for i, bins in enumerate(MODEL_BINS)]
+    return F.coalesce(*shares)
+
+
 def random_limits(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[int, int]:
     """Per length stratum the highest bin at which a token still counts as random.
 
     Words (letters of one case) of the same stratum, counted over all texts, say how often ordinary tokens look that
-    random; the Benjamini-Hochberg rule then bounds the share of false discoveries among the tokens of the stratum
-    that mix letters and digits. A stratum with few words takes the words of all. Counts per bin are summed by
-    Spark, and one number per stratum reaches the driver.
+    random, together with a fixed model that counts for ``MODEL_WORDS`` words: so a corpus without long words has
+    limits too, and one with many goes by its own. The Benjamini-Hochberg rule then bounds the share of false
+    discoveries among the tokens of the stratum that mix letters and digits. Counts per bin are summed by Spark, and
+    one number per stratum reaches the driver.
     """
     tokens = _tested(docs.select(text_or_empty().alias("_text"))).select(F.explode("_tested").alias("t")).select("t.*")
     bins = tokens.groupBy("stratum", "bin").agg(
         F.sum(F.col("ordinary").cast("bigint")).alias("words"), F.sum((~F.col("ordinary")).cast("bigint")).alias("tokens"))
-    grid = bins.select(F.explode(F.sequence(F.lit(0), F.lit(len(STRATA)))).alias("own"), "*").groupBy("own", "bin").agg(
-        F.sum(F.when(F.col("own") == F.col("stratum"), F.col("words")).otherwise(0)).alias("words"), F.sum("words").alias("all_words"),
-        F.sum(F.when(F.col("own") == F.col("stratum"), F.col("tokens")).otherwise(0)).alias("tokens"))
     upto = Window.partitionBy("own").orderBy("bin")
     whole = Window.partitionBy("own")
-    few = F.sum("words").over(whole) < LEAST_ORDINARY
-    p = (F.when(few, F.sum("all_words").over(upto)).otherwise(F.sum("words").over(upto)) + 1) / (
-        F.when(few, F.sum("all_words").over(whole)).otherwise(F.sum("words").over(whole)) + 1)
+    grid = bins.withColumnRenamed("stratum", "own")
+    p = (F.sum("words").over(upto) + MODEL_WORDS * _model_share(F.col("own"), F.col("bin"))) / (F.sum("words").over(whole) + MODEL_WORDS)
     found = grid.withColumn("p", p).withColumn("found", F.sum("tokens").over(upto)).withColumn("m", F.sum("tokens").over(whole))
     rows = found.where((F.col("p") * F.col("m") <= F.lit(rate) * F.col("found")) & (F.col("found") > 0)).groupBy("own").agg(F.max("bin").alias("bin")).collect()
     return {r["own"]: r["bin"] for r in rows}

@@ -78,6 +78,19 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(len(rows[i]) for i in rows if i not in planted) <= 2
 
 
+def test_random_tokens_are_found_in_a_corpus_of_short_words(spark):
+    r = random.Random(5)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(symbols) for _ in range(40)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"here {k} and") for i, k in enumerate(keys)] + [(40, "a few short words"), (41, None)], "doc_id bigint, text string")
+    rows = {x["doc_id"]: [tuple(s) for s in x["secret_spans"]] for x in scan_secrets(docs).collect()}
+    hit = sum(rows[i] == [(5, 3, 45)] for i in range(40))
+    print("found", hit)
+    assert hit > 20 and rows[40] == rows[41] == []
+    plain = spark.createDataFrame([(1, "section_12_of_the_manual_for_the_machine_2024")], "doc_id bigint, text string")
+    assert [r["secret_spans"] for r in scan_secrets(plain).collect()] == [[]]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b", "k"), (2, None, "k"), (3, "é🙂 token=" + "0f" * 20 + " c", "k"), (4, "plain", None)], "doc_id bigint, text string, _whole string")
     rows = {r["doc_id"]: r for r in redact_secrets(docs).collect()}

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import encode_texts
 from tabwright.llm.chat import format_chat
-from tabwright.llm.common import table
+from tabwright.llm.common import kept, table
+from tabwright.llm.decontaminate import contamination
 from tabwright.llm.exact_dedup import exact_groups
+from tabwright.llm.fill_in_middle import fill_in_middle, restore, store_frames
 from tabwright.llm.jaccard_join import near_classes
 from tabwright.llm.langid import learn_profiles, predict_language
 from tabwright.llm.line_dedup import dedup_lines
 from tabwright.llm.packing import pack
 from tabwright.llm.quality import fit_quality, score_quality
 from tabwright.llm.secrets import KINDS, scan_secrets, written
+from tabwright.llm.spelling import spelling_groups
 from tabwright.llm.topk import exact_top_k, integer_vector
 
 
@@ -84,8 +87,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = kept(store_frames(table(spark, sf_dir, "documents")), "frames")
+    done = fill_in_middle(frames)
+    restored = F.sha2(restore(F.col("output"), F.col("form")).cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored.alias("restored_sha256"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_exact_topk, op2_language_id, op3_ngram_jaccard_join, op4_chat_format, op5_quality, op6_secret_scan, op7_exact_dedup,
-              op8_line_dedup, op9_bpe, op10_best_fit_packing)
+              op8_line_dedup, op9_bpe, op10_best_fit_packing, op11_spelling_groups, op12_fill_in_middle, op13_decontaminate)
 }

@@ -1,26 +1,24 @@
 """Exact, interpolated quantiles that stay exact when a column has billions of values.
 
-``percentile`` keeps one buffer entry per distinct value in a single task. That is right
-for small inputs. For larger ones the wanted order statistics are bracketed first:
-
-1. ``percentile_approx`` gives a value range around each wanted rank,
-2. an exact count says how many values lie below and inside the range,
-3. the range is narrowed again until it holds few distinct values,
-4. the few values left are counted, and the order statistics are read off exactly.
-
-Every pass is one map-side aggregation; only one number per (column, quantile) reaches
-the driver. A value repeated in a third of all rows is one entry in every buffer.
+``percentile`` keeps one buffer entry per distinct value in a single task. That is right for small inputs. For larger
+ones the values of the wanted ranks are found by radix selection over all columns at once, see ``rank_values``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwright.session import LIMITS
+from tabwright.session import LIMITS, local_table
+
+#: Counters that a task of the selection holds at most.
+COUNTERS = 1 << 22
 
 
 def quantile_columns(
@@ -81,174 +79,110 @@ def ranked_quantiles(
 def exact_quantiles(
     df: DataFrame, wanted: dict[str, Column], probs: list[float], limit: int
 ) -> dict[str, list[float | None]]:
-    """Bracketed selection; returns ``{name: [quantile, ...]}``."""
-    names = list(wanted)
-    table = df.select(*[wanted[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    head = table.agg(
-        *[
-            agg
-            for i in range(len(names))
-            for agg in (
-                F.count(f"v{i}").alias(f"n{i}"),
-                F.min(f"v{i}").alias(f"lo{i}"),
-                F.max(f"v{i}").alias(f"hi{i}"),
-                F.approx_count_distinct(f"v{i}").alias(f"d{i}"),
-            )
-        ]
-    ).first()
-
-    searches = []  # one per (column, probability)
-    for i in range(len(names)):
-        n = head[f"n{i}"]
-        for p in probs:
-            if n:
-                pos = p * (n - 1)
-                searches.append(
-                    {
-                        "col": i,
-                        "p": p,
-                        "pos": pos,
-                        "first": math.floor(pos),
-                        "last": math.ceil(pos),
-                        "lo": head[f"lo{i}"],
-                        "hi": head[f"hi{i}"],
-                        "below": 0,
-                        "inside": n,
-                        "distinct": head[f"d{i}"],
-                    }
-                )
-
-    open_searches = [s for s in searches if _too_wide(s, limit)]
-    while open_searches:
-        _narrow(table, open_searches)
-        open_searches = [s for s in open_searches if _too_wide(s, limit)]
-
-    found = _read_off(table, searches)
-    out: dict[str, list[float | None]] = {}
-    for i, name in enumerate(names):
-        out[name] = [found.get((i, p)) for p in probs]
+    """``{name: [quantile, ...]}`` by ``rank_values``."""
+    rows = df.select(F.array(*[c.cast("double") for c in wanted.values()]).alias("a"), F.lit(0).alias("part"))
+    found = part_quantiles(rows, len(wanted), 1, False, probs, limit)
+    return {name: found[i, 0] for i, name in enumerate(wanted)}
+
+
+def part_quantiles(
+    rows: DataFrame, width: int, parts: int, leave_out: bool, probs: list[float], limit: int | None = None
+) -> dict[tuple[int, int], list[float | None]]:
+    """Quantiles of every column of ``rows`` (a: array<double>, part: int) over all rows, or with ``leave_out`` over the
+    rows outside each part; keys are (column, part left out)."""
+    cells = rows.select("part", F.posexplode("a").alias("i", "x")).where("x is not null and not isnan(x)")
+    counts: dict[tuple[int, int], int] = {}
+    for r in cells.groupBy("i", "part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per column and part
+        counts[r["i"], r["part"]] = r["n"]
+    sets, wanted = {}, set()
+    for i in range(width):
+        for j in range(parts):
+            n = sum(counts.get((i, p), 0) for p in range(parts) if not leave_out or p != j)
+            sets[i, j] = [p * (n - 1) for p in probs] if n else None
+            wanted |= {(i, j if leave_out else -1, rank) for pos in sets[i, j] or () for rank in (math.floor(pos), math.ceil(pos))}
+    value = rank_values(rows, sorted(wanted), parts, limit or LIMITS.task_rows)
+    out: dict[tuple[int, int], list[float | None]] = {}
+    for (i, j), places in sets.items():
+        at = lambda rank: value[i, j if leave_out else -1, rank]  # noqa: B023, E731
+        out[i, j] = [_between(at(math.floor(pos)), at(math.ceil(pos)), pos) for pos in places] if places else [None] * len(probs)
     return out
 
 
-def _too_wide(s: dict, limit: int) -> bool:
-    # HyperLogLog++ errs by a few percent; half the limit leaves room for it.
-    return s["lo"] < s["hi"] and s["distinct"] > limit // 2
-
-
-def _narrow(table: DataFrame, searches: list[dict]) -> None:
-    """One round: propose a tighter range per search, then count it exactly."""
-    accuracy = 10_000
-    slack = 2.0 / accuracy
-    proposals = []
-    for k, s in enumerate(searches):
-        c = F.col(f"v{s['col']}")
-        inner = F.when(c.between(s["lo"], s["hi"]), c)
-        span = max(s["inside"] - 1, 1)
-        f_lo = max(0.0, (s["first"] - s["below"]) / span - slack)
-        f_hi = min(1.0, (s["last"] - s["below"]) / span + slack)
-        proposals.append(
-            F.percentile_approx(inner, [f_lo, f_hi], accuracy).alias(f"q{k}")
-        )
-    ends = table.agg(*proposals).first()
-    counts = []
-    for k, s in enumerate(searches):
-        c = F.col(f"v{s['col']}")
-        lo, hi = ends[f"q{k}"]
-        counts += [
-            F.count_if(c < lo).alias(f"below{k}"),
-            F.count_if(c.between(lo, hi)).alias(f"inside{k}"),
-            F.approx_count_distinct(F.when(c.between(lo, hi), c)).alias(f"distinct{k}"),
-        ]
-    seen = table.agg(*counts).first()
-    for k, s in enumerate(searches):
-        lo, hi = ends[f"q{k}"]
-        below, inside = seen[f"below{k}"], seen[f"inside{k}"]
-        covered = below <= s["first"] and s["last"] < below + inside
-        if covered and inside < s["inside"]:
-            s.update(lo=lo, hi=hi, below=below, inside=inside, distinct=seen[f"distinct{k}"])
-        else:
-            _halve(table, s)
-
-
-def _halve(table: DataFrame, s: dict) -> None:
-    """Safe step when a proposal missed the rank or did not shrink: split at the midpoint."""
-    c = F.col(f"v{s['col']}")
-    mid = s["lo"] + (s["hi"] - s["lo"]) / 2.0
-    row = table.agg(
-        F.count_if(c <= mid).alias("upto"),
-        F.max(F.when(c <= mid, c)).alias("left"),
-        F.min(F.when(c > mid, c)).alias("right"),
-        F.approx_count_distinct(F.when((c >= s["lo"]) & (c <= mid), c)).alias("d_left"),
-        F.approx_count_distinct(F.when((c > mid) & (c <= s["hi"]), c)).alias("d_right"),
-    ).first()
-    if s["last"] < row["upto"]:
-        s.update(hi=row["left"], inside=row["upto"] - s["below"], distinct=row["d_left"])
-    elif s["first"] >= row["upto"]:
-        s.update(
-            lo=row["right"],
-            inside=s["inside"] - (row["upto"] - s["below"]),
-            below=row["upto"],
-            distinct=row["d_right"],
-        )
-    else:  # the two neighbours straddle the midpoint: they are known exactly
-        s.update(solved=(row["left"], row["right"]), distinct=0)
-
-
-def _read_off(table: DataFrame, searches: list[dict]) -> dict[tuple[int, float], float]:
-    out = {}
-    pending = []
-    for s in searches:
-        if "solved" in s:
-            out[(s["col"], s["p"])] = _between(*s["solved"], s["pos"])
-        elif s["lo"] == s["hi"]:
-            out[(s["col"], s["p"])] = s["lo"]
-        else:
-            pending.append(s)
-    if not pending:
-        return out
-    slots = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                F.when(F.col(f"v{s['col']}").between(s["lo"], s["hi"]), F.col(f"v{s['col']}")).alias("x"),
-            )
-            for k, s in enumerate(pending)
-        ]
-    )
-    counted = (
-        table.select(F.explode(slots).alias("e")).select("e.k", "e.x").where("x is not null")
-        .groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    )
-    # few distinct values per search are left, so one window partition each is bounded
-    running = counted.withColumn(
-        "upto", F.sum("n").over(Window.partitionBy("k").orderBy("x"))
-    )
-    ranks = F.create_map(
-        *[
-            part
-            for k, s in enumerate(pending)
-            for part in (
-                F.lit(k),
-                F.struct(
-                    F.lit(s["first"] - s["below"]).cast("long").alias("first"),
-                    F.lit(s["last"] - s["below"]).cast("long").alias("last"),
-                ),
-            )
-        ]
-    )
-    picked = (
-        running.withColumn("r", ranks[F.col("k")])
-        .groupBy("k")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("r.first"), F.col("x"))).alias("a"),
-            F.min(F.when(F.col("upto") > F.col("r.last"), F.col("x"))).alias("b"),
-        )
-        .collect()
-    )
-    for row in picked:
-        s = pending[row["k"]]
-        out[(s["col"], s["p"])] = _between(row["a"], row["b"], s["pos"])
-    return out
+def rank_values(
+    rows: DataFrame, wanted: list[tuple[int, int, int]], parts: int, limit: int
+) -> dict[tuple[int, int, int], float]:
+    """The value of every wanted (column, part left out or -1, rank from 0 in ascending order).
+
+    Doubles are read as 64-bit keys of the same order. Each round counts the keys under every open prefix by their
+    next bits, map-side, and one row per search says which bits the rank has; all searches share a scan, and the plan
+    has the same size for any number of columns and parts. Once at most ``limit`` values lie under the open prefixes,
+    a last scan counts those one by one. A value that repeats in a third of all rows is one counter."""
+    searches = [{"i": i, "left": j, "rank": rank, "prefix": 0, "known": 0, "at": rank} for i, j, rank in wanted]
+    if not searches:
+        return {}
+    spark = rows.sparkSession
+    under = None
+    while searches[0]["known"] < 64:
+        known = searches[0]["known"]
+        cells = sorted({(s["i"], s["prefix"]) for s in searches})
+        number = {cell: k for k, cell in enumerate(cells)}
+        last = known > 0 and under is not None and under <= limit
+        bits = 64 - known if last else min(64 - known, max(4, min(16, (COUNTERS // (len(cells) * parts)).bit_length() - 1)))
+        counted = _key_counts(rows, cells, known, bits, parts, last).groupBy("cell", "part", "bucket").agg(F.sum("n").alias("n"))
+        table = local_table(
+            spark, [(k, number[s["i"], s["prefix"]], s["left"], s["at"]) for k, s in enumerate(searches)],
+            "search bigint, cell bigint, left bigint, at bigint")
+        own = counted.join(F.broadcast(table), "cell").where("part <> left")  # a row per search
+        sums = own.groupBy("search", "at", "bucket").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("search").orderBy("bucket"))  # at most 2^16 buckets, or ``limit`` values
+        hit = sums.withColumn("upto", upto).where("upto > at and upto - n <= at").collect()
+        under = 0
+        seen = set()
+        for r in hit:
+            s = searches[r["search"]]
+            s.update(prefix=s["prefix"] << bits | r["bucket"], known=known + bits, at=s["at"] - (r["upto"] - r["n"]))
+            if (s["i"], s["prefix"], s["left"]) not in seen:
+                seen.add((s["i"], s["prefix"], s["left"]))
+                under += r["n"]
+    keys = np.array([s["prefix"] for s in searches], dtype=np.uint64)
+    values = np.where(keys >> np.uint64(63) == 1, keys ^ np.uint64(1 << 63), ~keys).view(np.float64)
+    return {(s["i"], s["left"], s["rank"]): float(v) for s, v in zip(searches, values)}
+
+
+def _key_counts(rows: DataFrame, cells: list[tuple[int, int]], known: int, bits: int, parts: int, single: bool) -> DataFrame:
+    """(cell, part, bucket, n): how many keys under the prefix of each (column, prefix) have which next ``bits``."""
+    rest, below = np.uint64(64 - known), np.uint64(64 - known - bits)
+    columns = sorted({i for i, _ in cells})
+    names = pa.schema([("cell", pa.int64()), ("part", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None if single else np.zeros((len(cells), parts << bits), np.int64)
+        for batch in batches:
+            values = batch["a"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else None
+            if values is None:
+                continue
+            part = batch["part"].to_numpy().astype(np.int64)
+            keys = {}
+            for i in columns:
+                some = ~np.isnan(values[:, i])
+                u = (values[some, i] + 0.0).view(np.uint64)  # -0.0 is 0.0
+                keys[i] = np.where(u >> np.uint64(63) == 1, ~u, u | np.uint64(1 << 63)), part[some]
+            for k, (i, prefix) in enumerate(cells):
+                key, own = keys[i]
+                if known:
+                    under = key >> rest == np.uint64(prefix)
+                    key, own = key[under], own[under]
+                bucket = (key >> below if bits < 64 else key) & np.uint64((1 << bits) - 1)
+                if single:
+                    found, n = np.unique(np.stack([own, bucket.astype(np.int64)], axis=1), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.full(len(n), k), found[:, 0], found[:, 1], n)], schema=names)
+                else:
+                    counts[k] += np.bincount(own << bits | bucket.astype(np.int64), minlength=parts << bits)
+        if counts is not None:
+            cell, at = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cell, at >> bits, at & ((1 << bits) - 1), counts[cell, at])], schema=names)
+
+    return rows.select("a", "part").mapInArrow(run, "cell bigint, part bigint, bucket bigint, n bigint")
 
 
 def _between(lower: float, upper: float, pos: float) -> float:

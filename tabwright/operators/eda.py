@@ -12,11 +12,13 @@ from tabwright.functions.columns import (
     NUMERIC,
     adjusted_skew,
     one_row,
-    pearson,
     present,
     sample_std,
 )
+from tabwright.functions.distinct import few_values
+from tabwright.functions.gram import pair_moments
 from tabwright.functions.quantiles import quantile_columns
+from tabwright.functions.texts import top_texts
 from tabwright.operators.profile import Profile
 from tabwright.session import local_table, spread
 
@@ -25,6 +27,7 @@ TOP_PAIRS = 5
 STRONG_R = 0.70
 SKEW_LIMIT = 2.0
 TARGET_SKEW = 1.0
+MANY_VALUES = 10
 IMBALANCE = 2.0
 HISTOGRAM_BINS = 35
 TOP_CATEGORIES = 10
@@ -34,19 +37,10 @@ FENCE = 1.5
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(c1, c2, r, n) for every column pair c1 before c2, pairwise-complete, r rounded to 3.
 
-    One scan; each row yields its non-missing pairs, which are folded map-side into at most
-    k(k-1)/2 rows. The plan has the same size for 5 columns and for 500.
-    """
+    Masked matrix products per partition, see ``pair_moments``: no row per pair is made."""
     labels = F.array(*[F.lit(c) for c in names])
-    row = F.array(*[as_double(df, c) for c in names])
-    left = spread(df.select(row.alias("a"))).select("a", F.posexplode("a").alias("i", "x")).where("x is not null")
-    tail = F.slice("a", F.col("i") + 2, F.greatest(F.lit(len(names) - 1) - F.col("i"), F.lit(0)))
-    pairs = left.select("i", "x", F.posexplode(tail).alias("d", "y")).where("y is not null")
-    return (
-        pairs.groupBy("i", (F.col("i") + F.col("d") + 1).alias("j"))
-        .agg(F.round(pearson(F.col("x"), F.col("y")), 3).alias("r"), F.count(F.lit(1)).alias("n"))
-        .select(F.get(labels, F.col("i")).alias("c1"), F.get(labels, F.col("j")).alias("c2"), "r", "n", "i", "j")
-    )
+    return pair_moments(df, names).select(
+        F.get(labels, F.col("i")).alias("c1"), F.get(labels, F.col("j")).alias("c2"), F.round("r", 3).alias("r"), "n", "i", "j")
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
@@ -104,14 +98,10 @@ def target_numeric(df: DataFrame, target: str, rows: int | None = None) -> DataF
         F.avg(t).alias("mean"), F.element_at(q, 1).alias("median"), sample_std(t).alias("std"),
         adjusted_skew(t).alias("skew"),
     )
-    distinct = (
-        df.where("t is not null").groupBy("t").agg(F.lit(1))
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
-    )
+    many = few_values(df, t, MANY_VALUES).values is None
     shape = F.when(F.col("skew") > TARGET_SKEW, "right-skewed").when(
         F.col("skew") < -TARGET_SKEW, "left-skewed").otherwise("symmetric")
-    return distinct.where("n_distinct > 10").withColumn("s", one_row(stats)).select("s.*").select(
-        "mean", "median", "std", "skew", shape.alias("shape"))
+    return stats.where(F.lit(many)).select("mean", "median", "std", "skew", shape.alias("shape"))
 
 
 def class_counts(df: DataFrame, column: str) -> DataFrame:
@@ -122,9 +112,7 @@ def class_counts(df: DataFrame, column: str) -> DataFrame:
 
 def top_categories(df: DataFrame, column: str, k: int = TOP_CATEGORIES) -> DataFrame:
     """(value, n): most frequent values; missing counts as the text ``nan``."""
-    v = F.coalesce(present(df, column).cast("string"), F.lit("nan")).alias("value")
-    counts = df.select(v).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.col("n").desc(), "value").limit(k)
+    return top_texts(df, column, k, "nan")
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -216,7 +204,7 @@ def insights(df: DataFrame, profile: Profile, target: str | None = None) -> Data
                 f"'{target}' is {word}: {t['majority_pct']:.1f}% '{t['majority_class']}' against "
                 f"{t['minority_pct']:.1f}% '{t['minority_class']}', ratio {t['ratio']:.1f}:1.",
                 "high" if t["imbalanced"] else "info", target, float(t["ratio"])))
-        elif kind_of(df.schema[target].dataType) == NUMERIC and about["n_distinct"] and about["n_distinct"] > 10:
+        elif kind_of(df.schema[target].dataType) == NUMERIC and about["n_distinct"] and about["n_distinct"] > MANY_VALUES:
             s = about["skew"]
             shape = "right-skewed" if s > TARGET_SKEW else "left-skewed" if s < -TARGET_SKEW else "symmetric"
             rows.append((

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import as_double, numeric_cells, present, quoted
 from tabwright.functions.ordered import dense_codes
-from tabwright.functions.quantiles import quantile_columns, ranked_quantiles
+from tabwright.functions.quantiles import part_quantiles, ranked_quantiles
 from tabwright.operators.folds import FOLD
 from tabwright.operators.profile import Profile
 from tabwright.operators.validate import require_columns
@@ -203,29 +203,16 @@ def fold_moments(df: DataFrame, names: list[str]) -> DataFrame:
 def fold_medians(df: DataFrame, names: list[str], k: int, leave_out: bool = True, rows: int | None = None) -> DataFrame:
     """(idx, medians): exact medians of each column, slot j leaving fold j out."""
     rows = df.count() if rows is None else rows
-    keep = (lambda j, c: F.when(F.col(FOLD) != j, c)) if leave_out else (lambda j, c: c)
     if rows <= LIMITS.task_rows:
         freq = numeric_cells(df, names, FOLD).groupBy("idx", "x").agg(
             F.count(F.lit(1)).alias("c"), *[F.count_if(F.col(FOLD) == j).alias(f"f{j}") for j in range(k)])
         kept = {f"m{j}": (F.col("c") - F.col(f"f{j}")) if leave_out else F.col("c") for j in range(k)}
         found = ranked_quantiles(freq, "idx", "x", kept, [0.5])
         return found.select("idx", F.array(*[F.get(m, F.lit(0)) for m in kept]).alias("medians"))
-    wanted = {f"{i}:{j}": keep(j, as_double(df, c)) for i, c in enumerate(names) for j in range(k)}
-    exact = quantile_columns(df, wanted, [0.5], rows=rows)
-    one = df.sparkSession.range(1)
-    return one.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("idx"),
-                        F.array(*[F.get(exact[f"{i}:{j}"], F.lit(0)) for j in range(k)]).alias("medians"),
-                    )
-                    for i in range(len(names))
-                ]
-            )
-        ).alias("e")
-    ).select("e.*")
+    cells = df.select(F.array(*[as_double(df, c) for c in names]).alias("a"), F.col(FOLD).cast("int").alias("part"))
+    found = part_quantiles(cells, len(names), k, leave_out, [0.5])
+    medians = [(i, [found[i, j][0] for j in range(k)]) for i in range(len(names))]
+    return df.sparkSession.createDataFrame(medians, "idx int, medians array<double>")
 
 
 def _numeric_states(df, names, k, leave_out) -> list[dict[str, NumericState]]:

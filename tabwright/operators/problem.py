@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import BOOLEAN, DATETIME, NUMERIC, TEXT, kind_of, present
+from tabwright.functions.distinct import few_values
 from tabwright.functions.ordered import dense_codes
 from tabwright.operators.profile import instant
 from tabwright.session import local_table
@@ -91,18 +92,17 @@ def _value_counts(df: DataFrame, target: str) -> DataFrame:
 
 
 def detect(df: DataFrame, target: str) -> Problem:
-    """Decide the task. Only a target with at most 20 distinct values has its classes listed;
-    the other case needs two counts. Either way the driver sees 21 rows at most."""
+    """Decide the task. One scan tells whether the target has at most 20 distinct values, and lists them; every
+    partition hands on no more than those. Only where there are more are they counted, for the report."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in the table.")
     dtype = df.schema[target].dataType
     kind = kind_of(dtype)
-    counts = _value_counts(df, target)
-    head = counts.orderBy("v").limit(MAX_CLASSES + 1).select(F.col("v").cast("string").alias("v"), "n").collect()
-    if len(head) <= MAX_CLASSES:
-        distinct, n = len(head), sum(r["n"] for r in head)
+    few = few_values(df, present(df, target), MAX_CLASSES)
+    if few.values is not None:
+        distinct, n = len(few.values), sum(few.counts)
     else:
-        totals = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).first()
+        totals = _value_counts(df, target).agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).first()
         distinct, n = totals["d"], totals["n"]
 
     reasons = []
@@ -127,8 +127,7 @@ def detect(df: DataFrame, target: str) -> Problem:
     if task == REGRESSION:
         reasons.append("Plain folds; the target has no classes to balance.")
         return problem
-    problem.classes = [r["v"] for r in head]
-    problem.counts = [r["n"] for r in head]
+    problem.classes, problem.counts = few.values, few.counts
     if n:
         shares = [c / n for c in problem.counts]
         problem.imbalance_ratio = round(max(shares) / max(1e-5, min(shares)), 2)

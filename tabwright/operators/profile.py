@@ -30,7 +30,8 @@ from tabwright.functions.columns import (
     ratio,
     sample_std,
 )
-from tabwright.functions.quantiles import quantile_columns, ranked_quantiles
+from tabwright.functions.quantiles import part_quantiles, ranked_quantiles
+from tabwright.functions.texts import text_frequencies
 from tabwright.session import LIMITS, local_table, pinned, shared
 
 # Thresholds of the semantic-type rules.
@@ -125,11 +126,12 @@ def _number_stats(df: DataFrame, numeric: list[str], dates: list[str], rows: int
             counts = ranked_quantiles(freq.select("idx", v, "n"), "idx", "v", {"q": F.col("n")}, probs).select(
                 "idx", F.col("total").alias("n_non_null"), "n_distinct", "q")
         else:
-            exact = quantile_columns(df, {c: as_double(df, c) for c in numeric}, probs, rows=rows) if numeric else {}
-            slots = F.array(*[exact[c] for c in numeric]) if numeric else F.lit(None).cast("array<array<double>>")
+            cells_of = df.select(F.array(*[as_double(df, c) for c in numeric]).alias("a"), F.lit(0).alias("part")) if numeric else None
+            exact = part_quantiles(cells_of, len(numeric), 1, False, probs) if numeric else {}
+            quartiles = df.sparkSession.createDataFrame([(i, q) for (i, _), q in exact.items()], "idx int, q array<double>")
             counts = freq.groupBy("idx").agg(
                 F.sum("n").alias("n_non_null"), F.count(F.lit(1)).alias("n_distinct")
-            ).select("idx", "n_non_null", "n_distinct", F.get(slots, F.col("idx")).alias("q"))
+            ).join(F.broadcast(quartiles), "idx", "left")  # a row per column
     if not numeric:
         return _shaped(counts.select("*", column).withColumn("text_bytes", F.lit(None).cast("long")))
     moments = numeric_cells(df, numeric).groupBy("idx").agg(*stats)
@@ -155,13 +157,7 @@ def _number_stats(df: DataFrame, numeric: list[str], dates: list[str], rows: int
 
 def _text_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """Counts, most frequent value and bytes of text and boolean columns."""
-    top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v")))
-    out = value_counts(df, names).groupBy("idx").agg(
-        F.sum("n").alias("n_non_null"),
-        F.count(F.lit(1)).alias("n_distinct"),
-        top.alias("top"),
-        F.sum(F.col("n") * F.octet_length("v")).alias("text_bytes"),
-    )
+    out = text_frequencies(df, names)
     flags = F.array(*[F.lit(kind_of(df.schema[c].dataType) == BOOLEAN) for c in names])
     return _shaped(
         out.select("*", F.get(_names(names), F.col("idx")).alias("column"))

@@ -251,6 +251,10 @@ ORACLES: dict[str, str] = {
     "profile_lines": profile_sql(
         "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
         ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], ["l_shipdate"]),
+    "profile_merged": f"""SELECT column_name, semantic_type, null_count, null_pct, is_constant, min, max, mean, std, skew, top_value, top_count,
+        true AS near FROM ({profile_sql(
+            "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+            ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], ["l_shipdate"])}) q""",
     "profile_dirty": f"WITH {DIRTY} SELECT * FROM ({DIRTY_PROFILE}) q",
     "profile_dataset": f"""WITH {LOOSE} SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns,
         CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS DOUBLE) AS missing_pct,
@@ -447,6 +451,10 @@ ORACLES: dict[str, str] = {
     "global_importance": f"WITH {LINE_SHAP} SELECT feature, round(avg(abs(phi)), 5) AS importance FROM s GROUP BY 1",
     "local_top_contributions": f"""WITH {PART_SHAP} SELECT p_partkey, feature, round(phi, 6) AS phi, CAST(rank AS INTEGER) AS rank,
         CASE WHEN phi >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM r WHERE rank <= 2""",
+    "row_explanations": f"""WITH {PART_SHAP} SELECT p_partkey, p_brand, string_agg(feature, ',' ORDER BY rank) AS features,
+        string_agg(CASE WHEN phi >= 0 THEN 'positive' ELSE 'negative' END, ',' ORDER BY rank) AS directions
+        FROM r JOIN part USING (p_partkey) WHERE rank <= 2 GROUP BY 1, 2""",
+    "sampled_class_additivity": "SELECT count(*) * count(DISTINCT c_mktsegment) AS sets, 0 AS off FROM customer",
     "feature_schema_table": """WITH u AS (SELECT 'p_type' AS name, p_type AS v FROM part UNION SELECT 'p_name', p_name FROM part),
         r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v) AS i FROM u)
         SELECT name, false AS is_numerical, min(v) AS sample_value, string_agg(v, '|' ORDER BY v) AS unique_values FROM r
@@ -460,11 +468,16 @@ ORACLES: dict[str, str] = {
     "run_cleaning": """SELECT doc_id, substr(text, 1, 250) AS text, CAST(n_chars AS DOUBLE) AS size, CAST(1 AS BIGINT) AS n_metrics
         FROM documents""",
     "csv_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""",
+    "csv_text_roundtrip": r"""SELECT doc_id, sha256('"' || regexp_replace(text, '[.] ', '.' || chr(10), 'g')) AS text_sha256, lang, source FROM documents""",
+    "csv_dialects": """SELECT c_custkey, c_name || ' é' AS c_name, c_acctbal, CASE WHEN c_custkey % 3 > 0 THEN '日本' END AS place FROM customer""",
+    "csv_headers": """SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, 'o_orderkey,o_totalprice' AS names, 'UTF-8' AS encoding,
+        '|' AS delimiter FROM orders""",
     "type_inference": f"WITH {DIRTY} SELECT o_orderkey, o_totalprice, o_orderpriority, spare FROM d",
     "row_cap": "SELECT least(count(*), 100) AS rows, least(count(*), 100) AS known FROM orders",
     "tune_curve": "SELECT range + 1 AS trial, true AS ok FROM range(15)",
     "cv_sizes": """SELECT m.model_id, 5 AS folds, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL) AS held, 0 AS uneven
         FROM (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting'), ('gbt_subsampled')) m(model_id)""",
+    "stream_reload": """SELECT count(DISTINCT doc_id) AS rows, 0 AS uneven, 0 AS off, least(2, count(*)) AS versions FROM documents JOIN labels USING (doc_id)""",
     "tree_additivity": "SELECT 2 * count(DISTINCT doc_id) AS sets, 0 AS off FROM documents JOIN labels USING (doc_id)",
     "sampled_additivity": "SELECT count(DISTINCT doc_id) AS sets, 0 AS off FROM documents JOIN labels USING (doc_id)",
     "score_consistency": "SELECT count(*) AS rows, 0 AS uneven, 0 AS unlikely FROM documents JOIN labels USING (doc_id)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import as_double
 from tabwright.operators import audit as aud
-from tabwright.operators import cv, eda, explain, folds, models, problem, profile, search, validate
+from tabwright.operators import cv, eda, explain, folds, models, problem, profile, profile_state, search, validate
 from tabwright.operators import features as feat
 from tabwright.operators import metrics as met
 from tabwright.operators.score import feature_schema, score
@@ -19,7 +19,8 @@ from tabwright.plans.pipeline import run
 from tabwright.session import scratch_path
 from tabwright.sources import delimited, reports, runlog
 from tabwright.sources.bundle import Bundle, load_bundle, save_bundle
-from tabwright.streaming.scoring import read_records, score_stream
+from tabwright.sources.versions import manifest, publish
+from tabwright.streaming.scoring import read_records, score_stream, score_stream_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -68,6 +69,22 @@ def profile_dataset(spark, sf):
                     *rounded("duplicate_pct"), "data_bytes", "numerical_columns", "categorical_columns", "boolean_columns")
 
 
+def profile_merged(spark, sf):
+    """The profile from the stored states of three batches, and whether its sketched figures are near the exact ones."""
+    d = table(spark, sf, "lineitem")
+    path = scratch_path(spark, "profile-states")
+    for k in range(3):
+        profile_state.save_state(profile_state.profile_state(d.where(F.col("l_orderkey") % 3 == k)), path, f"part-{k}")
+    merged = profile_state.state_profile(profile_state.merge_states(profile_state.load_states(spark, path)))
+    exact = profile.column_profile(d).select("column", *[F.col(c).alias(f"{c}_") for c in ("n_distinct", "min", "max", "q25", "median", "q75")])
+    close = [F.coalesce(F.abs(F.col(c) - F.col(f"{c}_")) <= 0.05 * (F.col("max_") - F.col("min_")), F.col(f"{c}_").isNull()) for c in ("q25", "median", "q75")]
+    distinct = F.abs(F.col("n_distinct") - F.col("n_distinct_")) <= 0.05 * F.col("n_distinct_")
+    near = merged.join(exact, "column").withColumn("near", distinct & close[0] & close[1] & close[2])
+    return near.select(
+        F.col("column").alias("column_name"), "semantic_type", "null_count", "null_pct", "is_constant",
+        *rounded("min", "max", "mean", "std", "skew", digits=4), "top_value", "top_count", "near")
+
+
 def semantic_types(spark, sf):
     p = profile.Profile(table(spark, sf, "customer"))
     return profile.columns_by_type(p.columns).select("semantic_type", F.array_join("columns", ",").alias("columns"))
@@ -491,6 +508,19 @@ def local_top_contributions(spark, sf):
     return out.select("p_partkey", "feature", *rounded("phi"), "rank", "direction")
 
 
+def row_explanations(spark, sf):
+    """Each part with its key, a carried column and its contributions in order."""
+    d = table(spark, sf, "part")
+    weights = {"p_size": 2.0, "p_retailprice": -0.7, "name_length": 3.5}
+    cells = {"p_size": F.col("p_size"), "p_retailprice": F.col("p_retailprice"), "name_length": F.length("p_name")}
+    means = d.agg(*[F.avg(x).alias(c) for c, x in cells.items()]).first().asDict()
+    phi = explain.linear_shap(d, ["p_partkey", "p_brand"], cells, weights, means)
+    rows = explain.row_explanations(phi, ["p_partkey", "p_brand"], k=2)
+    return rows.select(
+        "p_partkey", "p_brand", F.array_join(F.transform("contributions", lambda c: c["feature"]), ",").alias("features"),
+        F.array_join(F.transform("contributions", lambda c: c["direction"]), ",").alias("directions"))
+
+
 def feature_schema_table(spark, sf):
     d = table(spark, sf, "part")
     plan = feat.FeaturePlan(numeric=["p_size", "p_retailprice"], one_hot=["p_type"], ordinal=["p_name"])
@@ -527,6 +557,40 @@ def csv_roundtrip(spark, sf):
     return delimited.read_delimited(spark, path)
 
 
+def csv_text_roundtrip(spark, sf):
+    """Texts with line breaks, commas and quotes, written as delimited text and read back in byte ranges."""
+    path = scratch_path(spark, "documents-csv")
+    broken = F.regexp_replace("text", "[.] ", ".\n")
+    texts = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('"'), broken).alias("text"), "lang", "source")
+    texts.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return delimited.read_delimited(spark, path).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "lang", "source")
+
+
+def csv_dialects(spark, sf):
+    """A folder of two dialects: Latin-1 with semicolons, and UTF-8 with commas, another column order and one more."""
+    path = scratch_path(spark, "customer-dialects")
+    accented = F.concat("c_name", F.lit(" é")).alias("c_name")
+    customers = table(spark, sf, "customer").select("c_custkey", accented, "c_acctbal")
+    latin = customers.where("c_custkey % 3 = 0").write.option("header", True).option("sep", ";")
+    latin.option("encoding", "ISO-8859-1").csv(f"{path}/latin")
+    other = customers.where("c_custkey % 3 > 0").select("c_acctbal", "c_name", "c_custkey", F.lit("日本").alias("place"))
+    other.write.option("header", True).csv(f"{path}/utf8")
+    return delimited.read_delimited(spark, f"{path}/*").select("c_custkey", "c_name", "c_acctbal", "place")
+
+
+def csv_headers(spark, sf):
+    """Dialect of each file that the order table is written to with padded names and an unnamed empty column."""
+    path = scratch_path(spark, "orders-padded")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias(" o_orderkey "), "o_totalprice", F.lit(None).cast("string").alias("Unnamed: 2"))
+    orders.write.option("header", True).option("sep", "|").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    dialects = delimited.file_dialects(spark, path).agg(
+        F.max("encoding").alias("encoding"), F.min("delimiter").alias("delimiter"), F.max("delimiter").alias("last")).first()
+    read = delimited.read_delimited(spark, path)
+    return read.agg(F.count("o_orderkey").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(
+        "n", "total", F.lit(",".join(read.columns)).alias("names"), F.lit(dialects["encoding"]).alias("encoding"),
+        F.lit(dialects["delimiter"] if dialects["delimiter"] == dialects["last"] else "?").alias("delimiter"))
+
+
 def type_inference(spark, sf):
     """The dirty order table as text with markers, typed back."""
     d = derived(spark, sf, views.DIRTY_ORDERS).select("o_orderkey", "o_totalprice", "o_orderpriority", "spare")
@@ -655,6 +719,26 @@ def sampled_additivity(spark, sf):
     return _misses(phi.withColumn("base", F.lit(base)), chance(encoded).select("doc_id", "output"))
 
 
+def sampled_class_additivity(spark, sf):
+    """Attributions of every class of a model of five classes, from one scoring pass."""
+    d = table(spark, sf, "customer")
+    p = problem.detect(d, "c_mktsegment")
+    plan = feat.FeaturePlan(numeric=["c_acctbal", "c_nationkey"])
+    encoder, model = cv.fit_full(d, p, plan, models.candidates(p)[0], {}).stages
+    encoded = encoder.transform(d)
+    centres = explain.background(encoded)
+    codes = explain.class_codes(model)
+    phi = explain.sampled_shap(encoded, ["c_custkey"], model, encoder.encoding.names, True, centres, classes=codes)
+    start = model.transform(spark.createDataFrame([(Vectors.dense(c),) for c in centres], ["features"]))
+    bases = start.select(F.posexplode(models.class_probabilities(start)).alias("class", "v")).groupBy("class").agg(F.avg("v").alias("base"))
+    scored = model.transform(encoded)
+    chances = scored.select("c_custkey", F.posexplode(models.class_probabilities(scored)).alias("class", "output"))
+    sums = phi.groupBy("c_custkey", "class").agg(F.sum("phi").alias("phi")).join(F.broadcast(bases), "class")  # a row per class
+    off = F.abs(F.col("phi") + F.col("base") - F.col("output")) > 1e-6
+    return sums.join(chances, ["c_custkey", "class"], "left").agg(
+        F.count(F.lit(1)).alias("sets"), F.count_if(F.coalesce(off, F.lit(True))).alias("off"))
+
+
 def model_importance(spark, sf):
     _, _, _, fitted = _fitted(spark, sf, 1)
     encoder, model = fitted.stages
@@ -707,6 +791,28 @@ def stream_equals_batch(spark, sf):
     return rows.agg(F.sum("n").alias("rows"), F.count_if(F.col("surplus") != 0).alias("different"))
 
 
+def stream_reload(spark, sf):
+    """A stream during which a second bundle is published: rows scored, versions that scored some, rows that were not
+    scored exactly once, and rows whose chance is not that of their version."""
+    d, p, plan, fitted = _fitted(spark, sf, 0)
+    types = {c: d.schema[c].dataType.simpleString() for c in plan.inputs}
+    bundle = lambda model, name: Bundle(model, plan, "quality", p.problem_type, p.classes, types, name, name, p.primary_metric)
+    source, root, output, state = (scratch_path(spark, n) for n in ("stream-in", "bundles", "stream-out", "stream-state"))
+    d.repartition(4, "doc_id").write.parquet(source)
+    second = cv.fit_full(d, p, plan, models.candidates(p)[0], {"C": 0.01})
+    publish(spark, bundle(fitted, "first"), root)
+    records = read_records(spark, source, d.schema, files_per_trigger=1)
+    swap = lambda batch: publish(spark, bundle(second, "second"), root) if batch == 0 else None
+    score_stream_latest(records, root, output, state, after_batch=swap).awaitTermination()
+    got = spark.read.parquet(output).select("doc_id", "bundle_version", "probability")
+    want = [score(d, load_bundle(spark, r["path"])).select("doc_id", F.lit(r["version"]).alias("bundle_version"), F.col("probability").alias("expected"))
+            for r in manifest(spark, root).collect()]  # two versions
+    every = want[0].unionByName(want[1]).join(got, ["doc_id", "bundle_version"], "left")
+    rows = every.groupBy("doc_id").agg(F.count("probability").alias("times"), F.count_if(F.abs(F.col("probability") - F.col("expected")) > 1e-9).alias("off"))
+    totals = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("times") != 1).alias("uneven"), F.sum("off").alias("off"))
+    return totals.withColumn("versions", got.agg(F.count_distinct("bundle_version")).scalar())
+
+
 def model_card(spark, sf):
     return _saved(spark, sf)[1].card(spark).drop("created_at")
 
@@ -718,7 +824,7 @@ def pipeline_run(spark, sf):
 
 
 ALL: list[Query] = [
-    profile_columns, profile_lines, profile_dirty, profile_dataset, semantic_types, summary, duplicate_rows, duplicate_rows_wide,
+    profile_columns, profile_lines, profile_dirty, profile_merged, profile_dataset, semantic_types, summary, duplicate_rows, duplicate_rows_wide,
     missing_cells, top_category, column_preview, quick_stats, validate_target, validate_small, validate_verdict,
     audit_issues, audit_cardinality, audit_duplicates, audit_score, audit_view, audit_outliers, audit_leakage, report_json,
     correlation_matrix, correlation_gaps, top_correlations, insight_target_binary, insight_target_numeric,
@@ -728,9 +834,10 @@ ALL: list[Query] = [
     leave_fold_out_stats, leave_fold_out_modes, fold_safe_transform, kfold, stratified_kfold, metrics_binary,
     metrics_binary_grouped, metrics_multiclass, roc_auc, roc_auc_ovr, log_loss, confusion_matrix, metrics_regression,
     cv_summary, leaderboard, fold_table, trial_best_curve, best_trial, linear_shap, global_importance,
-    local_top_contributions, feature_schema_table, run_history, run_cleaning, csv_roundtrip, type_inference, row_cap,
+    local_top_contributions, row_explanations, sampled_class_additivity, feature_schema_table, run_history, run_cleaning, csv_roundtrip, csv_text_roundtrip, csv_dialects, csv_headers,
+    type_inference, row_cap,
     cv_benchmark, cv_regression, tune, tree_shap, sampled_shapley, model_importance, batch_score, stream_score, model_card,
-    pipeline_run, tune_curve, cv_sizes, tree_additivity, sampled_additivity, score_consistency, stream_equals_batch,
+    pipeline_run, tune_curve, cv_sizes, tree_additivity, sampled_additivity, score_consistency, stream_equals_batch, stream_reload,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in ALL}

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import quoted
+from tabwright.sources.records import left_open, quoted_records
 
 # Texts read as missing, candidate delimiters in tie order, and boolean spellings.
 MISSING = [
@@ -23,21 +27,42 @@ DECIMAL = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|Inf|infin
 SNIFF_LINES = 10
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line decodes, else Latin-1 (which accepts any byte).
-
-    Text lines keep their bytes, so the check runs line by line on splittable input.
-    """
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
-
-
-def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """The candidate that occurs most in the first ten lines; ties in candidate order."""
-    lines = [r["value"] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    counts = {d: sum(line.count(d) for line in lines) for d in DELIMITERS}
-    best = max(DELIMITERS, key=lambda d: counts[d])
-    return best if counts[best] else ","
+def file_dialects(spark: SparkSession, path: str) -> DataFrame:
+    """file, encoding, delimiter and header (its first line with text) of every file under ``path``, in one pass.
+
+    UTF-8 when every line of the file decodes, else Latin-1, which accepts any byte. The delimiter is the candidate
+    that occurs most in its first ten lines; ties in candidate order, a comma where none occurs. Text lines keep their
+    bytes, so all ranges of a file are checked at once; blank files have no header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        valid: dict[str, bool] = {}
+        head: dict[str, list[bytes]] = {}
+        header: dict[str, tuple[int, bytes]] = {}
+        for batch in batches:
+            for file, start, fine, value in zip(*(batch[c].to_pylist() for c in ("file", "range", "fine", "value"))):
+                valid[file] = valid.get(file, True) and fine
+                if start == 0 and len(head.setdefault(file, [])) < SNIFF_LINES:
+                    head[file].append(value)
+                if file not in header and value.strip():
+                    header[file] = (start, value)
+        out = []
+        for file, fine in valid.items():
+            counts = {d: sum(line.count(d.encode()) for line in head.get(file, [])) for d in DELIMITERS}
+            best = max(DELIMITERS, key=lambda d: counts[d])
+            start, value = header.get(file, (None, None))
+            out.append({"file": file, "fine": fine, "delimiter": (best if counts[best] else ",") if file in head else None,
+                        "first": None if value is None else {"range": start, "value": value}})
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
+            ("file", pa.string()), ("fine", pa.bool_()), ("delimiter", pa.string()),
+            ("first", pa.struct([("range", pa.int64()), ("value", pa.binary())]))]))
+
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
+        F.is_valid_utf8("value").alias("fine"), F.col("value").cast("binary").alias("value"))
+    parts = lines.mapInArrow(run, "file string, fine boolean, delimiter string, first struct<range:bigint,value:binary>")
+    return parts.groupBy("file").agg(F.bool_and("fine").alias("fine"), F.max("delimiter").alias("delimiter"), F.min("first").alias("first")).select(
+        "file", F.when(F.col("fine"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
+        F.col("first.value").alias("header"))
 
 
 def read_delimited(
@@ -51,24 +76,25 @@ def read_delimited(
 ) -> DataFrame:
     """Read a delimited file or folder into typed columns.
 
-    Files are split at line ends, so a quoted field that holds one is an error. ``multiline=True`` reads such files,
-    at the price of one task per file."""
+    Files of equal encoding, delimiter and header are read together; such classes are stacked by column name, with
+    nulls for columns that a class lacks. Files are read in byte ranges; where quoted fields hold line breaks, the
+    records are cut by ``quoted_records``. ``multiline=True`` reads each file in one task instead."""
     try:
-        raw = spark.read.text(path)
-        if raw.where(F.trim("value") != "").isEmpty():
-            raise ValueError(f"the source is empty: {path}")
+        files = [f.asDict() for f in file_dialects(spark, path).where("header is not null").collect()]  # a row per file
     except AnalysisException as e:
         raise ValueError(f"the source does not exist: {path}") from e
-    encoding = encoding or detect_encoding(spark, path)
-    delimiter = delimiter or detect_delimiter(spark, path)
-    if not multiline and not raw.where(_left_open(delimiter)).isEmpty():
-        raise ValueError(f"a quoted field holds a line break, read with multiline=True: {path}")
-    df = (
-        spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-        .option("nullValue", "").option("enforceSchema", True).csv(path)
-    )
-    df = clean_header(df)
+    if not files:
+        raise ValueError(f"the source is empty: {path}")
+    classes: dict[tuple, list[str]] = {}
+    for f in files:
+        key = (encoding or f["encoding"], delimiter or f["delimiter"], bytes(f["header"]).rstrip(b"\r"))
+        classes.setdefault(key, []).append(unquote(f["file"]))
+    parts = [_read_class(spark, sorted(paths), *key[:2], multiline) for key, paths in sorted(classes.items())]
+    if len(parts) > 1 and any(len(set(p.columns)) < len(p.columns) for p in parts):
+        raise ValueError(f"files of several layouts have repeated column names: {path}")
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
     if max_rows is not None:
         df = df.limit(max_rows)
     if df.isEmpty():
@@ -78,11 +104,18 @@ def read_delimited(
     return infer_types(df)
 
 
-def _left_open(delimiter: str) -> Column:
-    """Whether a line ends inside a quoted field; a quote within an unquoted field opens none."""
-    start = f"(^|{re.escape(delimiter)})"
-    single = F.replace(F.col("value"), F.lit('""'), F.lit(""))
-    return F.regexp_replace(single, start + '"[^"]*"', "$1").rlike(start + '"')
+def _read_class(spark: SparkSession, paths: list[str], encoding: str, delimiter: str, multiline: bool) -> DataFrame:
+    """Text columns of files with one header."""
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": ""}
+    broken = not multiline and not spark.read.text(paths).where(F.contains("value", F.lit('"')) & left_open(F.col("value"), delimiter)).isEmpty()
+    whole = spark.read.options(header=True, encoding=encoding, enforceSchema=True, multiLine=multiline or broken, **options)
+    if not broken:
+        return clean_header(whole.csv(paths))
+    names = whole.csv(paths[0]).columns  # reads the header only
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = quoted_records(spark, paths, delimiter).where("not first").select(F.decode("value", encoding).alias("value"))
+    cells = rows.select(F.from_csv("value", fields, {**options, "multiLine": "true"}).alias("r")).select("r.*")
+    return clean_header(cells.toDF(*names))
 
 
 def clean_header(df: DataFrame) -> DataFrame:

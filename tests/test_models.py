@@ -289,10 +289,9 @@ def test_delimited_sources(spark, tmp_path):
     assert df.dtypes == [("a", "bigint"), ("b", "bigint"), ("c", "string"), ("d", "boolean"), ("e", "string"), ("f", "double")]
     assert df.where("a is null").count() == 1 and df.where("f is null").count() == 1
     broken = put("q.csv", 'a,b\n1,"two\nlines, ""so"""\n2,"x"\n5,7" pipe\n')
-    with pytest.raises(ValueError, match="multiline"):
-        delimited.read_delimited(spark, broken)
-    df = delimited.read_delimited(spark, broken, multiline=True)
-    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 'two\nlines, "so"'), (2, "x"), (5, '7" pipe')]
+    for multiline in (False, True):
+        df = delimited.read_delimited(spark, broken, multiline=multiline)
+        assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 'two\nlines, "so"'), (2, "x"), (5, '7" pipe')]
     fine = put("u.csv", 'a,b\n1,"x, ""y"""\n"2",""\n3,7" pipe\n')
     assert delimited.read_delimited(spark, fine).where("a is not null").count() == 3
     same = delimited.read_delimited(spark, put("d.csv", "a, a\n1,2\n3,4\n"))

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabwright.functions import gram, texts
 from tabwright.operators import audit as aud
 from tabwright.operators import eda
 from tabwright.operators.profile import Profile, column_preview, columns_by_type, duplicate_count, summary_view
@@ -187,3 +188,52 @@ def test_approximate_profile_is_labelled(spark):
     rows = {r["column"]: r for r in column_profile(df, approx=True).collect()}
     assert not rows["id"]["is_exact"] and abs(rows["id"]["n_distinct"] - 1000) < 50
     assert rows["s"]["n_distinct"] == 5
+
+
+def test_text_frequencies_by_digest(spark, monkeypatch):
+    shared = "the same beginning of many texts, "
+    rows = [(shared + str(i % 40), "abc"[i % 3] if i % 7 else None, None, f"u{i}") for i in range(400)] + [(None, "ß", None, "u0")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string").repartition(4)
+    want = {}
+    for i in range(4):
+        n = pd.Series([r[i] for r in rows if r[i] is not None], dtype=object).value_counts()
+        if len(n):
+            top = min(n.items(), key=lambda kv: (-kv[1], kv[0]))
+            want[i] = (int(n.sum()), len(n), sum(int(c) * len(t.encode()) for t, c in n.items()), top[1], top[0])
+    for raw in (False, True):
+        if raw:  # keys that clash: every text has the same digest
+            monkeypatch.setattr(texts, "_digest", lambda t: F.struct(
+                F.lit(1).cast("bigint").alias("h"), F.lit(1).cast("bigint").alias("g"), F.octet_length(t).alias("bytes"), F.substring(t, 1, 24).alias("prefix")))
+        got = {r["idx"]: (r["n_non_null"], r["n_distinct"], r["text_bytes"], -r["top"]["neg"], r["top"]["v"]) for r in texts.text_frequencies(df, df.columns).collect()}
+        assert got == want
+        for c, k in (("a", 3), ("b", 2), ("d", 5), *([] if raw else [("c", 1)])):
+            values = pd.Series(["nan" if v is None else v for v in (r[df.columns.index(c)] for r in rows)]).value_counts()
+            top = sorted(((-n, v) for v, n in values.items()))[:k]
+            assert [(r["value"], r["n"]) for r in texts.top_texts(df, c, k, "nan").collect()] == [(v, -n) for n, v in top]
+    assert texts.top_texts(df.limit(0), "a", 3, "nan").count() == 0
+
+
+def test_correlations_of_many_columns(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    a = r.normal(size=(300, 7))
+    a[:, 1] = a[:, 0] * 2 + 1e6
+    a[r.random((300, 7)) < 0.3] = np.nan
+    a[:, 3] = 7.1  # constant
+    a[:, 4] = np.where(np.isnan(a[:, 5]), a[:, 4], 1e9 + 0.5)  # constant where the sixth has a value
+    a[:, 6] = np.where(np.arange(300) == 5, 1.0, np.nan)  # one value
+    names = list("abcdefg")
+    df = spark.createDataFrame(pd.DataFrame(a, columns=names))
+    for tile in (gram.TILE, 3):
+        monkeypatch.setattr(gram, "TILE", tile)
+        got = {(x["i"], x["j"]): (x["n"], x["r"]) for x in gram.pair_moments(df, names).collect()}
+        for i in range(7):
+            for j in range(i + 1, 7):
+                both = ~np.isnan(a[:, i]) & ~np.isnan(a[:, j])
+                x, y = a[both, i], a[both, j]
+                flat = len(x) < 2 or x.min() == x.max() or y.min() == y.max()
+                n, c = got.get((i, j), (0, None))
+                assert n == len(x) and (c is None if flat else c == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9))
+    wide = spark.range(200).select(*[F.rand(i).alias(f"c{i}") for i in range(300)])
+    plan = str(gram._tile(wide.select(F.array(*wide.columns).alias("a")), 0, 300, 300, [0.0] * 300)._jdf.queryExecution().optimizedPlan())
+    assert "Generate" not in plan and gram.pair_moments(wide, wide.columns).count() == 300 * 299 // 2
+    assert gram.pair_moments(df.limit(0), names).count() == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions.ordered import dense_codes, running_totals
-from tabwright.functions.quantiles import exact_quantiles, ranked_quantiles
+from tabwright.functions.quantiles import exact_quantiles, part_quantiles, ranked_quantiles
 from tabwright.operators import features as feat
 from tabwright.operators import metrics as met
 from tabwright.operators.folds import assign_folds, fold_sizes
@@ -114,3 +114,18 @@ def test_lookup_reads_the_rows_once_and_takes_long_values(spark):
     plan = feat.lookup(marked, F.col("v"), entries, "code", limit=10)
     assert {tuple(r) for r in plan.select("id", "code").collect()} == small and len({c for _, c in small}) == 40
     assert str(plan._jdf.queryExecution().analyzed()).count("once AS mark") == 1
+
+
+@pytest.mark.parametrize("limit", [50, 100_000])
+def test_quantiles_of_all_columns_and_folds_at_once(spark, limit):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([values("normal")[:2000], np.tile([0.0, -0.0, 5.0, -7.5], 500), values("wild")[:2000]])
+    x[rng.uniform(size=x.shape) < 0.2] = np.nan
+    part = rng.integers(0, 3, 2000)
+    df = spark.createDataFrame([(v.tolist(), int(p)) for v, p in zip(x, part)], "a array<double>, part int").repartition(5)
+    probs = [0.0, 0.3, 0.5, 1.0]
+    got = part_quantiles(df, 3, 3, True, probs, limit)
+    for i in range(3):
+        for j in range(3):
+            own = x[part != j, i]
+            assert got[i, j] == pytest.approx(list(np.quantile(own[~np.isnan(own)], probs)), rel=1e-12)

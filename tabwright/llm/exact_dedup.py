@@ -63,7 +63,9 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_of, s
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text an earlier doc_id has."""
-    members = exact_groups(docs, **options)
-    gone = members.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` with one row of each text, all its columns: of equal texts that of the smallest doc_id (a null doc_id
+    only where there is no other), and one of the rows that repeat it. Other texts of the same doc_id stay."""
+    groups = content_groups(docs, **options).select(sha_of(F.col("_content")).alias("_kept_sha"), "keep_id")
+    rows = docs.select(F.struct("*").alias("_row"), sha_of(normalised(text_or_empty())).alias("_sha"))
+    first = rows.join(groups, (F.col("_sha") == F.col("_kept_sha")) & F.col("_row.doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return first.dropDuplicates(["_sha"]).select("_row.*")

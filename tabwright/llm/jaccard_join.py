@@ -19,12 +19,17 @@ WORDS = 5
 SIMILARITY = 0.8
 TREES = 16
 DEEPEST = 8
-#: Recall that a pair of just the wanted similarity must have, and that the found pairs must have by estimate.
-LEAST_RECALL = 0.99
+#: Recall that a pair of just the wanted similarity must have, and that the found pairs of each band of similarities must
+#: have by estimate.
+LEAST_RECALL = 0.998
 TARGET_RECALL = 0.999
-#: Members of a bucket that are compared in one task, and documents of a group that are verified in one block.
+BAND = 0.05
+#: Members of a bucket that are compared in one task; documents and bytes of hashes of a group that are verified in one block.
 CHUNK = 4096
-BLOCK = 64
+BLOCK = 512
+BLOCK_BYTES = 4 * 1024 * 1024
+#: Bits of the map that says which doc_ids may be in a candidate group: a fixed 8 MB, whatever the corpus.
+MAP_BITS = 1 << 26
 CACHED_WORDS = 300_000
 
 _HASHES = TREES * DEEPEST
@@ -76,21 +81,26 @@ def recall(similarity, depth: int, trees: int = TREES):
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, node (digest of the shingle set, null without words), size of the set, and the signature as ``low`` and
+    ``high``: the lowest byte of every value, which also serves as its sketch, and the byte above."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles", _known.clear)
         for batch in batches:
-            digests, labels, sketches = [], [], []
+            digests, sizes, low, high = [], [], [], []
             for text in batch["text"]:
                 h = shingles(text.as_py(), width)
                 s = signature(h)
                 digests.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
-                labels.append(s.astype("<u4").tobytes())
-                sketches.append((s & np.uint32(0xFF)).astype(np.uint8).tobytes())
+                sizes.append(len(h))
+                low.append((s & np.uint32(0xFF)).astype(np.uint8).tobytes())
+                high.append((s >> np.uint32(8) & np.uint32(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, pa.binary()) for c in (digests, labels, sketches))], names=["doc_id", "node", "labels", "sketch"])
+                [batch["doc_id"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())],
+                names=["doc_id", "node", "size", "low", "high"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
-        run, "doc_id bigint, node binary, labels binary, sketch binary")
+        run, "doc_id bigint, node binary, size bigint, low binary, high binary")
 
 
 def _leaders(rows: DataFrame, similarity: float) -> DataFrame:
@@ -108,11 +118,11 @@ def _leaders(rows: DataFrame, similarity: float) -> DataFrame:
         extra = 4.0 * np.sqrt(0.25 / hashes)
         near, tied = (1.0 - 2.0 * far) * hashes, max(1.0, (1.0 - 3.0 * far - extra) * hashes)
         for group in runs_of_key(batches, "key"):
-            nodes = group["node"].to_pylist()
-            sketches = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(nodes), hashes)
+            nodes = group["id"].to_pylist()
+            sketches = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(len(nodes), hashes)
             a, b, agree = [], [], []
             free, owner = np.ones(len(nodes), bool), np.full(len(nodes), -1)
-            first, several = group["low"][0].as_py(), group["chunks"][0].as_py() > 1
+            first, several = group["least"][0].as_py(), group["chunks"][0].as_py() > 1
             while free.any():
                 lead = int(free.argmax())
                 same = (sketches == sketches[lead]).sum(axis=1)
@@ -134,22 +144,22 @@ def _leaders(rows: DataFrame, similarity: float) -> DataFrame:
                     agree.append(0)
                 free &= same < near
                 free[lead] = False
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree, pa.int32())], names=["a", "b", "agree"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], names=["a", "b", "agree"])
 
-    return rows.mapInArrow(run, "a binary, b binary, agree int")
+    return rows.mapInArrow(run, "a bigint, b bigint, agree int")
 
 
 def _matched(nodes: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """Distinct edges between nodes of equal prefixes of ``depth`` values."""
-    prefixes = F.array(*(F.substring("labels", t * DEEPEST * 4 + 1, depth * 4) for t in range(TREES)))
-    tries = nodes.select("node", F.posexplode(prefixes).alias("tree", "prefix")).select("node", "tree", "prefix")
-    buckets = tries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low")).where("m > 1")
+    """Distinct edges between ids of nodes with equal prefixes of ``depth`` values. A prefix is a 64-bit hash here, as
+    the id is one of the node: where two of them meet by chance, a candidate more is verified."""
+    prefix = lambda t: F.xxhash64(F.lit(t), F.substring("low", t * DEEPEST + 1, depth), F.substring("high", t * DEEPEST + 1, depth))
+    tries = nodes.select("id", F.explode(F.array(*map(prefix, range(TREES)))).alias("prefix"))
+    buckets = tries.groupBy("prefix").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("least")).where("m > 1")
     chunks = F.ceil(F.col("m") / F.lit(CHUNK)).cast("int")
-    members = tries.join(buckets, ["tree", "prefix"]).withColumn("chunks", chunks).select(
-        "node", "low", "chunks", F.concat(F.col("tree").cast("string").cast("binary"), F.lit(b":"), "prefix", F.lit(b":"),
-                                          F.pmod(F.xxhash64("node"), F.col("chunks")).cast("string").cast("binary")).alias("key"))
-    sketched = members.join(nodes.select("node", "sketch"), "node")
-    spread = sketched.repartition("key").sortWithinPartitions("key", "node")
+    members = tries.join(buckets, "prefix").withColumn("chunks", chunks).select(
+        "id", "least", "chunks", F.xxhash64("prefix", F.pmod("id", F.col("chunks"))).alias("key"))
+    sketched = members.join(nodes.select("id", "low"), "id")
+    spread = sketched.repartition("key").sortWithinPartitions("key", "id")
     return _leaders(spread, similarity).where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree"))
 
 
@@ -157,17 +167,19 @@ def candidate_edges(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[D
     """Edges of the forest and the depth they were found at.
 
     Prefixes are shortened from the deepest: first until a pair of just the wanted similarity is found with
-    ``LEAST_RECALL``, then, level by level, until the found pairs speak for ``TARGET_RECALL``: each stands for
-    1 / recall pairs of its similarity."""
+    ``LEAST_RECALL``, then, level by level, until the found pairs of every band of similarities speak for
+    ``TARGET_RECALL``: each stands for 1 / recall pairs of its similarity. Bands are judged apart, so that a large
+    group of nearly equal texts does not speak for the rare pairs near the threshold."""
     depth = DEEPEST
     while depth > 1 and recall(similarity, depth) < LEAST_RECALL:
         depth -= 1
     while True:
         edges = kept(_matched(nodes, depth, similarity), "edges")
         alike = F.col("agree") / F.lit(float(_HASHES))
-        there, wanted = edges.where(alike >= similarity).agg(
-            F.count(F.lit(1)), F.sum(1.0 / (1.0 - F.pow(1.0 - F.pow(alike, F.lit(depth)), F.lit(TREES))))).first()
-        if depth == 1 or not there or there / wanted >= TARGET_RECALL:
+        stands_for = 1.0 / (1.0 - F.pow(1.0 - F.pow(alike, F.lit(depth)), F.lit(TREES)))
+        bands = edges.where(alike >= similarity).groupBy(F.floor(alike / BAND).alias("band")).agg(
+            F.count(F.lit(1)).alias("there"), F.sum(stands_for).alias("wanted")).collect()  # a row per band
+        if depth == 1 or all(r["there"] / r["wanted"] >= TARGET_RECALL for r in bands):
             return edges, depth
         depth -= 1
 
@@ -234,7 +246,19 @@ def _hashed(rows: DataFrame, width: int) -> DataFrame:
             batch = batch.drop_columns(["text"]).append_column("hashes", pa.array([h.tobytes() for h in hashes], pa.binary()))
             yield batch.filter(pa.array(own, pa.bool_()))
 
-    return rows.select("node", "n", "group", "m", "text").mapInArrow(run, "node binary, n bigint, `group` binary, m bigint, hashes binary")
+    return rows.select("node", "n", "group", "blocks", "text").mapInArrow(run, "node binary, n bigint, `group` bigint, blocks int, hashes binary")
+
+
+def _of_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be a ``first_id`` of ``wanted``: a bit of a map of ``MAP_BITS`` bits stands for
+    each, so that few other texts are shuffled. The map is broadcast; its size does not depend on the data."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = wanted.select(bit("first_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    rows = docs.withColumn("bit", bit("doc_id")).withColumn("bucket", F.bitmap_bucket_number("bit"))
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), "bucket").where(F.bit_get(byte, (at % 8).cast("int")) == 1).drop("bit", "bucket", "map")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
@@ -250,21 +274,29 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     exactly and in whole: large groups in cells of two blocks, so that no task holds a whole group and no pair is
     written out; a cell gives each node its number of links and one root.
     """
+    rows = _row_classes(docs, similarity, width)[0].select("doc_id", "class_id", "n_links")
+    lost = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return rows.unionByName(lost)
+
+
+def _row_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, class_id and n_links of every row with a doc_id; and node, first_id, n and root of every node."""
     signed = kept(_signed(docs, width), "signed")
     nodes = kept(signed.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "nodes")
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("low").alias("low"),
+        F.first("high").alias("high")).withColumn("id", F.xxhash64("node")), "nodes")
     edges, _ = candidate_edges(nodes, similarity)
-    groups = components(edges).select(F.col("id").alias("node"), F.col("label").alias("group"))
-    sized = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")), "group")
-    wanted = nodes.select("node", "first_id", "n").join(sized, "node")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("first_id"), "text").where("first_id is not null")
-    hashed = _hashed(texts.join(wanted, "first_id"), width)
-    count = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    packed = hashed.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).groupBy(
+    groups = components(edges).select("id", F.col("label").alias("group"))
+    member = nodes.select("id", "node", "first_id", "n", "size").join(groups, "id").drop("id")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    wanted = kept(member.join(member.groupBy("group").agg(blocks.alias("blocks")), "group"), "wanted")
+    texts = _of_wanted(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null"), wanted)
+    hashed = _hashed(texts.withColumnRenamed("doc_id", "first_id").join(wanted, "first_id"), width)
+    packed = hashed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).groupBy(
         "group", "blocks", "block", "node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")).groupBy("group", "blocks", "block").agg(
         F.collect_list(F.struct("node", "n", "hashes")).alias("members"))
     cells = packed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    name = F.concat("group", F.concat_ws(":", F.lit(""), F.least("block", "other"), F.greatest("block", "other")).cast("binary"))
+    name = F.concat_ws(":", "group", F.least("block", "other"), F.greatest("block", "other"))
     placed = cells.select(name.alias("cell"), (F.col("blocks") > 1).alias("wide"), "members").repartition("cell").sortWithinPartitions("cell")
     found = kept(_verified(placed, similarity), "links")
     joined = components(found.where("wide").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -273,12 +305,41 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = W
     known = nodes.select("node", "first_id", "n").join(linked, "node", "left").select(
         "node", "first_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("first_id").alias("class_id")), "root").select("node", "class_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
-    rows = signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    lost = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return rows.unionByName(lost)
+    rows = signed.select("doc_id", "node").join(named, "node", "left").select(
+        "doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, known
+
 
+def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """_row (all columns) and node of every row."""
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest doc_id. Rows with null doc_id stay."""
-    gone = near_classes(docs, **options).where("class_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", _known.clear)
+        for batch in batches:
+            hashes = [shingles(t.as_py(), width) for t in batch["_row"].field("text")]
+            yield batch.append_column("node", pa.array([hashlib.md5(h.tobytes()).digest() if len(h) else None for h in hashes], pa.binary()))
+
+    packed = docs.select(F.struct("*").alias("_row"))
+    return packed.mapInArrow(run, packed.schema.simpleString().removeprefix("struct<")[:-1] + ", node binary")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each class, all columns: that of the smallest doc_id, of several such texts that of
+    the smallest shingle digest, and one of the rows that repeat it. Texts without words and rows with null doc_id stay.
+
+    Most doc_ids stay or go as a whole, and their rows are not looked at again; only where a doc_id has rows of both
+    kinds, or repeats, each row is judged by its own text."""
+    rows, known = _row_classes(docs, similarity, width)
+    first = known.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("keep")).select(F.col("keep.node").alias("node"), F.lit(True).alias("stays"))
+    judged = rows.join(first, "node", "left").withColumn("stays", F.col("node").isNull() | (F.coalesce("stays", F.lit(False)) & (F.col("class_id") == F.col("doc_id"))))
+    ids = judged.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count_if("stays").alias("stay"), F.count(F.lit(1)).alias("n"), F.count("node").alias("texts")).where("stay < n or n > 1 and texts > 0")
+    plan = kept(ids.select("_id", (F.col("stay") > 0).alias("_mixed")), "judged")
+    whole = docs.join(plan.select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    if plan.where("_mixed").isEmpty():
+        return whole
+    mixed = _with_nodes(docs.join(plan.where("_mixed").select("_id"), docs["doc_id"] == F.col("_id"), "left_semi"), width)
+    pairs = judged.where("stays and node is not null").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    chosen = mixed.join(pairs, (F.col("_row.doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
+    one = mixed.where("node is null").unionByName(chosen.dropDuplicates(["node"]))
+    return whole.unionByName(one.select("_row.*"))

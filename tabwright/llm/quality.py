@@ -103,15 +103,25 @@ def _bucket(shape: str) -> int:
     return 1 + zlib.crc32(shape.encode("utf-8", "replace")) % (BUCKETS - 2)
 
 
-def measures(text: str) -> Measures:
-    w = _words.numbers(text)
-    n = max(1, len(w))
-    letters, upper, symbols, shouts, bare, marked, stops, _ = _words.traits[w].sum(axis=0).tolist()
-    top = int(np.unique(w, return_counts=True)[1].max(initial=0))
-    pairs = len(np.unique(w[:-1] << 32 | w[1:])) / max(1, len(w) - 1)
+class Counted:
+    """The word numbers of a text, and its distinct words with their counts: votes and features share them."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        self.w = _words.numbers(text)
+        self.distinct, self.n = np.unique(self.w, return_counts=True)
+        self.traits = _words.traits[self.distinct]
+        self.repeats = int((self.w[1:] == self.w[:-1]).sum())
+
+
+def measures(c: Counted) -> Measures:
+    n = max(1, len(c.w))
+    letters, upper, symbols, shouts, bare, marked, stops = (c.n @ c.traits[:, :7]).tolist()
+    pairs = np.sort(c.w[:-1] << 32 | c.w[1:])
+    different = min(len(pairs), 1) + int((pairs[1:] != pairs[:-1]).sum())
     return Measures(
-        len(w), upper / max(1, letters), symbols / max(1, len(text)), int((w[1:] == w[:-1]).sum()) / n, pairs, top / n, bare / n, stops / n,
-        shouts / n, marked / n)
+        len(c.w), upper / max(1, letters), symbols / max(1, len(c.text)), c.repeats / n, different / max(1, len(c.w) - 1),
+        int(c.n.max(initial=0)) / n, bare / n, stops / n, shouts / n, marked / n)
 
 
 def _two_sided(value: float, good: float, bad: float) -> int:
@@ -132,11 +142,11 @@ LABELLERS = {
 }
 
 
-def votes(text: str | None) -> str:
+def votes(text: str | None, counted: Counted | None = None) -> str:
     """One character per labeller: +, - or 0; all 0 without words."""
     if not text or not text.strip():
         return "0" * len(LABELLERS)
-    m = measures(text)
+    m = measures(counted or Counted(text))
     return "".join("-0+"[f(m) + 1] for f in LABELLERS.values())
 
 
@@ -161,7 +171,7 @@ class WeakLabels:
 
 
 def fit_weak_labels(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> WeakLabels:
-    """Expectation-maximisation over vote patterns and their counts; starts from the majority vote."""
+    """Expectation-maximisation over vote patterns and their counts; starts from "bad where any labeller says so"."""
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], dtype=float)
     v = np.array([["-0+".index(c) - 1 for c in p] for p in names], dtype=float).reshape(len(names), len(LABELLERS))
@@ -178,15 +188,15 @@ def fit_weak_labels(patterns: dict[str, int], rounds: int = EM_ROUNDS) -> WeakLa
     return WeakLabels(prior, tables)
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, counted: Counted | None = None) -> np.ndarray:
     """Share of each shape bucket; bucket 0 holds words equal to the one before, the last the share of distinct words."""
-    w = _words.numbers(text)
+    c = counted or Counted(text)
     out = np.zeros(BUCKETS)
-    if len(w):
-        out[:] = np.bincount(_words.traits[w, 7], minlength=BUCKETS)
-        out[0] = (w[1:] == w[:-1]).sum()
-        out /= len(w)
-        out[-1] = len(np.unique(w)) / len(w)
+    if len(c.w):
+        out[:] = np.bincount(c.traits[:, 7], weights=c.n, minlength=BUCKETS)
+        out[0] = c.repeats
+        out /= len(c.w)
+        out[-1] = len(c.distinct) / len(c.w)
     return np.sqrt(out)
 
 
@@ -196,8 +206,8 @@ class QualityModel:
     weights: np.ndarray
     intercept: float
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(features(text) @ self.weights + self.intercept, -700, 700))))
+    def score(self, text: str | None, counted: Counted | None = None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(features(text, counted) @ self.weights + self.intercept, -700, 700))))
 
 
 def _mapped(docs: DataFrame, ddl: str, f) -> DataFrame:
@@ -238,10 +248,12 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     chosen = docs.where("text is not null").where(F.pmod(F.xxhash64(*docs.columns), F.lit(HASH_SPACE)) < int(share * HASH_SPACE)).select("text")
 
     def labelled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() for t in batch["text"]]
-        good = [weak.posterior(votes(t)) for t in texts]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([features(t).tolist() for t in texts], pa.list_(pa.float64())), pa.array(good, pa.float64())], names=["x", "good"])
+        x, good = [], []
+        for t in batch["text"]:
+            counted = Counted(t.as_py())
+            x.append(features(counted.text, counted).tolist())
+            good.append(weak.posterior(votes(counted.text, counted)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(good, pa.float64())], names=["x", "good"])
 
     rows = _mapped(chosen, "x array<double>, good double", labelled)
     both = F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))
@@ -257,13 +269,22 @@ def score_quality(docs: DataFrame, model: QualityModel | None, threshold: float
     """The ``carry`` columns, votes, posterior (weak-label model), score (linear scorer) and good (score at or above
     ``threshold``) of every row. A text that is null or has no words has score 0 and is not good; without a model
     every text is such. Rows stay as they are."""
+    known: dict[str, float] = {}  # at most 3 to the number of labellers
+
+    def chance(pattern: str) -> float:
+        if pattern not in known:
+            known[pattern] = model.weak.posterior(pattern)
+        return known[pattern]
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() for t in batch["text"]]
-        said = [votes(t) for t in texts]
-        some = [model is not None and bool(t and t.strip()) for t in texts]
-        posterior = [model.weak.posterior(v) if s else 0.0 for v, s in zip(said, some)]
-        score = [model.score(t) if s else 0.0 for t, s in zip(texts, some)]
+        said, some, posterior, score = [], [], [], []
+        for t in batch["text"]:
+            counted = Counted(t.as_py())
+            text = counted.text
+            said.append(votes(text, counted))
+            some.append(model is not None and bool(text.strip()))
+            posterior.append(chance(said[-1]) if some[-1] else 0.0)
+            score.append(model.score(text, counted) if some[-1] else 0.0)
         yield pa.RecordBatch.from_arrays(
             [*(batch[c] for c in carry), pa.array(said, pa.string()), pa.array(posterior, pa.float64()), pa.array(score, pa.float64()),
              pa.array([s and x >= threshold for s, x in zip(some, score)], pa.bool_())],

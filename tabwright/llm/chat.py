@@ -76,8 +76,9 @@ def role_number(role: Column) -> Column:
 
 
 def fit_chat_model(turns: DataFrame) -> ChatModel:
-    """Counts over all rows whose role is known, plus one each; changes of role are counted between neighbouring
-    rows of a conversation within blocks of ``CHUNK`` turns. A few hundred counts reach the driver."""
+    """Counts over all rows whose role is known, plus one each; changes of role are counted between all neighbouring
+    rows of a conversation, within blocks of ``CHUNK`` turns and then from the last row of a block to the first of the
+    next. A few hundred counts reach the driver."""
     rows = _prepared(turns).withColumn("r", role_number(F.col("role")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +95,12 @@ def fit_chat_model(turns: DataFrame) -> ChatModel:
         feature[x["r"], x["f"]] += x["n"]
     turn, first = np.ones((len(ROLES), len(ROLES))), np.ones(len(ROLES))
     before = Window.partitionBy("key").orderBy("place", "text", "role")
-    moves = rows.withColumn("was", F.lag("r").over(before)).where("r >= 0 and (was is null and chunk <= 0 or was >= 0)")
-    for x in moves.groupBy("was", "r").agg(F.count(F.lit(1)).alias("n")).collect():
+    moves = rows.withColumn("was", F.lag("r").over(before)).where("r >= 0 and was >= 0").select("was", "r")
+    row = F.struct("place", "text", "role", "r")
+    edges = rows.groupBy("conv_id", "chunk").agg(F.min(row).alias("head"), F.max(row).alias("last"))
+    blocks = Window.partitionBy("conv_id").orderBy("chunk")  # a row per block
+    over = edges.select(F.lag("last.r").over(blocks).alias("was"), F.col("head.r").alias("r")).where("r >= 0 and (was is null or was >= 0)")
+    for x in moves.unionByName(over).groupBy("was", "r").agg(F.count(F.lit(1)).alias("n")).collect():
         if x["was"] is None:
             first[x["r"]] += x["n"]
         else:

@@ -35,6 +35,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``lookup`` answers by broadcast: those of more rows than the larger of HOT_ROWS and a HOT_KEYS-th of all.
+HOT_KEYS = 10_000
+HOT_ROWS = 2_000
+
+
+def lookup(rows: DataFrame, side: DataFrame, by: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of the one row of ``side`` that has their key ``by``; rows without one are dropped.
+
+    ``n`` is a column of ``side``: how many of the ``total`` rows have the key. The most frequent keys, of which there
+    are ``HOT_KEYS`` at most, are broadcast, and their rows are dealt out by their content instead of their key."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    found = F.struct(*(c for c in side.columns if c not in by and c != n))
+    hot = side.where(F.col(n) > limit).select(*by, found.alias("_hot"))
+    cold = side.where(F.col(n) <= limit).select(*by, F.lit(0).alias("_salt"), found.alias("_cold"))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*(c for c in rows.columns if c not in by)), F.lit(1 << 20)) + 1)
+    dealt = rows.join(F.broadcast(hot), by, "left").withColumn("_salt", salt.cast("int"))
+    joined = dealt.join(cold, [*by, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return joined.where("_found is not null").select(*rows.columns, "_found.*")
+
+
 def text_or_empty(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

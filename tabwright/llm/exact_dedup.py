@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import kept, text_or_empty
+from tabwright.llm.common import kept, lookup, text_or_empty
 
 SALTS = 32
 #: Fixed value: runs of these white-space characters count as one space.
@@ -47,12 +47,15 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_of, s
     group has no other. Rows that repeat the doc_id that stays are that same document and stay with it. No rows
     give no rows.
 
-    A row finds its group by digest; where one digest has several contents, by the full content.
+    A row finds its group by digest, without meeting all the others of a frequent one; where one digest has several
+    contents, by the full content.
     """
     groups = content_groups(docs, digest, salts)
     by_digest = kept(groups.groupBy("_digest").agg(
         F.count(F.lit(1)).alias("_contents"), F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size")), "digests")
-    found = _rows(docs, digest).drop("_content").join(by_digest.where("_contents = 1"), "_digest")
+    single = by_digest.where("_contents = 1").select("*", F.col("group_size").alias("_rows"))
+    total = by_digest.agg(F.sum("group_size")).first()[0] or 0
+    found = lookup(_rows(docs, digest).drop("_content"), single, ["_digest"], "_rows", total)
     shared = by_digest.where("_contents > 1")
     if shared.limit(1).count():
         some = groups.join(shared.select("_digest"), "_digest", "left_semi")

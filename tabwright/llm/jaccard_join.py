@@ -310,7 +310,7 @@ def _row_classes(docs: DataFrame, similarity: float, width: int) -> tuple[DataFr
     return rows, known
 
 
-def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
+def _with_nodes(packed: DataFrame, width: int) -> DataFrame:
     """_row (all columns) and node of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,6 @@ def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
             hashes = [shingles(t.as_py(), width) for t in batch["_row"].field("text")]
             yield batch.append_column("node", pa.array([hashlib.md5(h.tobytes()).digest() if len(h) else None for h in hashes], pa.binary()))
 
-    packed = docs.select(F.struct("*").alias("_row"))
     return packed.mapInArrow(run, packed.schema.simpleString().removeprefix("struct<")[:-1] + ", node binary")
 
 
@@ -335,10 +334,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS
     ids = judged.groupBy(F.col("doc_id").alias("_id")).agg(
         F.count_if("stays").alias("stay"), F.count(F.lit(1)).alias("n"), F.count("node").alias("texts")).where("stay < n or n > 1 and texts > 0")
     plan = kept(ids.select("_id", (F.col("stay") > 0).alias("_mixed")), "judged")
-    whole = docs.join(plan.select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    packed = docs.select(F.struct("*").alias("_row"))
+    of_id = F.col("_row.doc_id") == F.col("_id")
+    whole = packed.join(plan.select("_id"), of_id, "left_anti").select("_row.*")
     if plan.where("_mixed").isEmpty():
         return whole
-    mixed = _with_nodes(docs.join(plan.where("_mixed").select("_id"), docs["doc_id"] == F.col("_id"), "left_semi"), width)
+    mixed = _with_nodes(packed.join(plan.where("_mixed").select("_id"), of_id, "left_semi"), width)
     pairs = judged.where("stays and node is not null").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
     chosen = mixed.join(pairs, (F.col("_row.doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
     one = mixed.where("node is null").unionByName(chosen.dropDuplicates(["node"]))

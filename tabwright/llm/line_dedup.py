@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import kept
+from tabwright.llm.common import kept, lookup
 
 #: Words that a repeated run must have, and the fewer that one must have which occurs in OFTEN documents or more.
 LEAST_WORDS = 50
@@ -72,14 +72,16 @@ def line_rows(docs: DataFrame, least: int, common: int = COMMON_WORDS) -> DataFr
     return rows.mapInArrow(lines, "d bigint, f bigint, p int, line binary, runs array<int>, common array<int>")
 
 
-def _named(rows: DataFrame, often: int, *by: str) -> DataFrame:
+def _named(rows: DataFrame, total: int, often: int, *by: str) -> DataFrame:
     """Replace the columns ``by`` by rank ``r``: the first place in corpus order of an equal value. Rows whose value
     occurs at one place only are dropped, for no longer prefix of theirs can repeat; ``common`` is emptied where fewer
-    than ``often`` rows have the value."""
+    than ``often`` rows have the value. A value may have any share of the at most ``total`` rows."""
     first = F.min(F.struct(*KEY))
     classes = rows.groupBy(*by).agg(
-        first.alias("r"), F.max(F.struct(*KEY)).alias("_last"), (F.count(F.lit(1)) >= often).alias("_often")).where("r != _last").drop("_last")
-    return rows.join(classes, list(by)).withColumn("common", F.when(F.col("_often"), F.col("common"))).drop("_often", *by)
+        first.alias("r"), F.max(F.struct(*KEY)).alias("_last"), F.count(F.lit(1)).alias("_n")).where("r != _last").drop("_last")
+    classes = classes.withColumn("_often", F.col("_n") >= often)
+    named = lookup(rows, classes, list(by), "_n", total)
+    return named.withColumn("common", F.when(F.col("_often"), F.col("common"))).drop("_often", *by)
 
 
 def _marked(lengths: str, long: bool) -> Column:
@@ -96,7 +98,8 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, common: int = COMMO
     2**k lines. Places alone in their class leave, so only repeated lines go on. A place has one row, or the joins of
     places would multiply those of repeated documents.
     """
-    level = kept(_named(line_rows(docs, least, common), often, "line").distinct(), "lines")
+    rows = kept(line_rows(docs, least, common), "rows")
+    level = kept(_named(rows, rows.count(), often, "line").distinct(), "lines")
     found, k = [], 0
     while True:
         size = 1 << k
@@ -114,7 +117,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, common: int = COMMO
             break
         after = level.select("d", "f", (F.col("p") - size).alias("p"), F.col("r").alias("r2"))
         pairs = level.withColumnRenamed("r", "r1").join(after, list(KEY))
-        level = kept(_named(pairs, often, "r1", "r2"), "lines")
+        level = kept(_named(pairs, level.count(), often, "r1", "r2"), "lines")
         k += 1
     out = found[0]
     for f in found[1:]:

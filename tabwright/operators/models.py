@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.operators.boosting import HistBoosting
 from tabwright.operators.problem import BINARY, REGRESSION, Problem
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
@@ -51,15 +52,22 @@ class Candidate:
     kind: str = "tree"  # which explainer applies: tree or linear
 
 
+# Model sizes and search ranges that must match.
 # Search space entries: ("log", lo, hi), ("int", lo, hi, step), ("uniform", lo, hi), ("choice", [values])
 FOREST_SPACE = {"n_estimators": ("int", 50, 200, 25), "max_depth": ("int", 4, 18, 1), "min_samples_split": ("int", 2, 10, 1)}
-BOOST_SPACE = {"learning_rate": ("log", 0.01, 0.2), "max_iter": ("int", 50, 150, 25), "max_depth": ("int", 3, 10, 1)}
+BOOST_SPACE = {
+    "learning_rate": ("log", 0.01, 0.2), "max_iter": ("int", 50, 150, 25), "max_depth": ("int", 3, 10, 1),
+    "l2_regularization": ("log", 1e-4, 10.0),
+}
 SUBSAMPLED_SPACE = {
     "n_estimators": ("int", 50, 150, 25), "max_depth": ("int", 3, 8, 1), "learning_rate": ("log", 0.01, 0.2),
     "subsample": ("uniform", 0.6, 1.0), "colsample": ("uniform", 0.6, 1.0),
 }
 FAST_TREES = {"n_estimators": ("int", 5, 10, 1), "max_depth": ("int", 2, 4, 1)}
-FAST_BOOST = {"learning_rate": ("log", 0.01, 0.2), "max_iter": ("int", 2, 5, 1), "max_depth": ("int", 2, 3, 1)}
+FAST_BOOST = {
+    "learning_rate": ("log", 0.01, 0.2), "max_iter": ("int", 2, 5, 1), "max_depth": ("int", 2, 3, 1),
+    "l2_regularization": ("log", 1e-4, 10.0),
+}
 FAST_SUBSAMPLED = {
     "n_estimators": ("int", 2, 5, 1), "max_depth": ("int", 2, 3, 1), "learning_rate": ("log", 0.01, 0.2),
     "subsample": ("uniform", 0.6, 1.0), "colsample": ("uniform", 0.6, 1.0),
@@ -70,10 +78,10 @@ def candidates(problem: Problem, preset: Preset = REFERENCE) -> list[Candidate]:
     """Four candidates for the task, in the order that breaks leaderboard ties."""
     if problem.problem_type == REGRESSION:
         return _regressors(preset)
-    return _classifiers(preset, problem.problem_type == BINARY)
+    return _classifiers(preset, problem.problem_type == BINARY, len(problem.classes))
 
 
-def _classifiers(ps: Preset, binary: bool) -> list[Candidate]:
+def _classifiers(ps: Preset, binary: bool, classes: int) -> list[Candidate]:
     def logistic(p, seed, facts):
         # the penalty is a share of the summed weights, which balanced weights leave at the row count
         c = p.get("C", 1.0)
@@ -85,7 +93,7 @@ def _classifiers(ps: Preset, binary: bool) -> list[Candidate]:
         return RandomForestClassifier(**_forest(p, seed, ps), weightCol=WEIGHT, featureSubsetStrategy="sqrt")
 
     def boosted(p, seed, facts):
-        return _per_class(GBTClassifier(**_boost(p, seed, ps)), binary)
+        return _boost(p, ps, max(classes, 2))
 
     def subsampled(p, seed, facts):
         return _per_class(GBTClassifier(**_subsampled(p, seed, ps)), binary)
@@ -111,7 +119,7 @@ def _regressors(ps: Preset) -> list[Candidate]:
         return RandomForestRegressor(**_forest(p, seed, ps), featureSubsetStrategy="all")
 
     def boosted(p, seed, facts):
-        return GBTRegressor(**_boost(p, seed, ps))
+        return _boost(p, ps, 0)
 
     def subsampled(p, seed, facts):
         return GBTRegressor(**_subsampled(p, seed, ps))
@@ -138,11 +146,10 @@ def _forest(p: dict, seed: int, ps: Preset) -> dict:
     return out
 
 
-def _boost(p: dict, seed: int, ps: Preset) -> dict:
-    return _base(seed) | {
-        "maxIter": int(p.get("max_iter", ps.rounds)), "stepSize": float(p.get("learning_rate", 0.1)),
-        "maxDepth": int(p.get("max_depth", ps.boost_depth)), "maxBins": 255,
-    }
+def _boost(p: dict, ps: Preset, classes: int) -> HistBoosting:
+    return HistBoosting(
+        classes, rounds=int(p.get("max_iter", ps.rounds)), learning_rate=float(p.get("learning_rate", 0.1)),
+        max_depth=int(p.get("max_depth", ps.boost_depth)), l2=float(p.get("l2_regularization", 0.0)))
 
 
 def _subsampled(p: dict, seed: int, ps: Preset) -> dict:
@@ -154,7 +161,7 @@ def _subsampled(p: dict, seed: int, ps: Preset) -> dict:
 
 
 def _per_class(gbt: GBTClassifier, binary: bool) -> Estimator:
-    """Boosted trees are binary in MLlib; several classes need one model each."""
+    """Subsampled boosting is MLlib's, which is binary; several classes need one model each."""
     if binary:
         return gbt
     return OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL)

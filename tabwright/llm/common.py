@@ -48,7 +48,8 @@ def lookup(rows: DataFrame, side: DataFrame, by: list[str], n: str, total: int)
     limit = max(HOT_ROWS, total // HOT_KEYS)
     found = F.struct(*(c for c in side.columns if c not in by and c != n))
     hot = side.where(F.col(n) > limit).select(*by, found.alias("_hot"))
-    cold = side.where(F.col(n) <= limit).select(*by, F.lit(0).alias("_salt"), found.alias("_cold"))
+    # a salt of 0 that the optimiser does not see through, or it would deal by the key alone
+    cold = side.where(F.col(n) <= limit).select(*by, F.least(F.col(n), F.lit(0)).cast("int").alias("_salt"), found.alias("_cold"))
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*(c for c in rows.columns if c not in by)), F.lit(1 << 20)) + 1)
     dealt = rows.join(F.broadcast(hot), by, "left").withColumn("_salt", salt.cast("int"))
     joined = dealt.join(cold, [*by, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))

@@ -32,6 +32,8 @@ EM_ROUNDS = 50
 PLUS_IF_BAD = (0.1, 0.9)
 PLUS_IF_GOOD = (0.5, 0.998)
 CACHED_WORDS = 400_000
+#: Rows whose feature vectors a task holds at once.
+FEATURE_ROWS = 1000
 _PLAIN = set(".,;:!?'\"()-")
 _MARKS = ".,;:!?'\"()-*#$%&|<>=_~"
 
@@ -248,12 +250,13 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     chosen = docs.where("text is not null").where(F.pmod(F.xxhash64(*docs.columns), F.lit(HASH_SPACE)) < int(share * HASH_SPACE)).select("text")
 
     def labelled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, good = [], []
-        for t in batch["text"]:
-            counted = Counted(t.as_py())
-            x.append(features(counted.text, counted).tolist())
-            good.append(weak.posterior(votes(counted.text, counted)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(good, pa.float64())], names=["x", "good"])
+        for start in range(0, batch.num_rows, FEATURE_ROWS):
+            x, good = [], []
+            for t in batch["text"].slice(start, FEATURE_ROWS):
+                counted = Counted(t.as_py())
+                x.append(features(counted.text, counted))
+                good.append(weak.posterior(votes(counted.text, counted)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(good, pa.float64())], names=["x", "good"])
 
     rows = _mapped(chosen, "x array<double>, good double", labelled)
     both = F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))

@@ -25,14 +25,31 @@ TOKEN = rf"(?<![{SYMBOLS}])[{SYMBOLS}]{{{LEAST_TOKEN},}}+"
 #: Lengths from which a stratum of its own begins, and how many of the corpus's words the model of words counts for.
 STRATA = [24, 32, 48, 96]
 MODEL_WORDS = 200
-#: The model of words: per stratum the highest bin that a share of words does not exceed (-1: none). Simulated once, from
-#: 400,000 to 1,000,000 words of the stratum's least length: independent letters of English frequencies, nine tenths of
+#: The model of words: per stratum the highest bin that a share of words does not exceed (-1: none). Simulated once
+#: (tests/llm/secret_models.py) from some 400,000 words of the stratum's least length: independent letters of English frequencies, nine tenths of
 #: the weight on lower case (alphabet 62) and one on upper case (alphabet 32). Between two bins the larger share holds.
 MODEL_SHARES = [0.0001, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3]
 MODEL_BINS = [
     [-1, 3, 6, 12, 22, 41, 80], [1, 6, 11, 20, 33, 61, 120], [6, 15, 22, 37, 63, 126, 252], [24, 44, 61, 92, 155, 399, 399],
     [231, 362, 399, 399, 399, 399, 399],
 ]
+#: Tokens of letters only are read as a 26-letter alphabet, vowels against consonants. Left out as ordinary are those that
+#: read like words: at most five consonants in a row and a vowel (or y) in four letters. Their model: letters of English
+#: frequencies where a vowel follows a consonant with 0.54 and a vowel with 0.13; shares count the model's words that do
+#: not read like words, of all. (Digits only, from 24 on, are base spans already.)
+LETTER_STRATA = [24, 32, 40, 48, 64, 96]
+LETTER_SHARES = [0.0001, 0.001, 0.003, 0.005, 0.006, 0.007, 0.008, 0.009, 0.01]
+LETTER_BINS = [
+    [0, 3, 5, 7, 8, 9, 9, 10, 11], [0, 4, 7, 9, 10, 11, 12, 13, 13], [2, 8, 13, 16, 17, 18, 19, 20, 21], [6, 15, 21, 24, 26, 27, 28, 29, 30],
+    [12, 22, 30, 35, 36, 38, 40, 41, 42], [29, 45, 56, 62, 65, 67, 69, 71, 73], [81, 116, 139, 152, 157, 162, 166, 170, 173],
+]
+#: A stratum is numbered by its kind of token (mixed, letters) and its length.
+KIND_STEP = 10
+ALL_BINS = {
+    kind * KIND_STEP + i: list(zip(shares, row))
+    for kind, (shares, rows) in enumerate(((MODEL_SHARES, MODEL_BINS), (LETTER_SHARES, LETTER_BINS))) for i, row in enumerate(rows)
+}
+VOWELS = [0.0, 4.0, 8.0, 14.0, 20.0, 24.0]
 FALSE_DISCOVERIES = 0.01
 STEPS_PER_UNIT = 4
 TOP_BIN = 400
@@ -89,27 +106,44 @@ def _battery(tokens: Column) -> Column:
     """(start, end, ordinary, stratum, bin) of each token; bin grows with the evidence against randomness.
 
     The inferred encoding sets the alphabet: hex 16, base32 32, letters and digits 62, base64 64 (padding is left
-    out). The statistics are chi-squared of the symbol counts, runs above and below the median, and serial
-    correlation; each becomes a normal deviate, and their two-sided p-values are combined by Fisher's sum."""
+    out), letters only 26. The statistics are chi-squared of the symbol counts, runs above and below
+    the median (of vowels and consonants in letters), and serial correlation; each becomes a normal deviate, and their
+    two-sided p-values are combined by Fisher's sum. Tested are tokens that mix letters and digits, and letters that do
+    not read like words; words of one case are ``ordinary``."""
     size = lambda a: F.size(a).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    symbols = F.transform(tokens, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-        F.transform(F.filter(F.split(t["value"], ""), lambda c: (c != "") & (c != "=")), lambda c: F.ascii(c).cast("double")).alias("v"),
-        F.when(t["value"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(t["value"].rlike("^[A-Z2-7]+=*$"), 32.0)
-        .when(t["value"].rlike("^[A-Za-z0-9]+$"), 62.0).otherwise(64.0).alias("alphabet"),
-        t["value"].rlike("^([A-Za-z]?[a-z]+|[A-Z]+)$").alias("ordinary")))
-    moments = F.transform(F.filter(symbols, lambda t: F.size(t["v"]) >= LEAST_TOKEN // 2), lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), t["alphabet"].alias("alphabet"), t["ordinary"].alias("ordinary"),
-        (t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")).alias("mixed"), t["v"].alias("v"), size(t["v"]).alias("n"),
+
+    def read(t: Column) -> Column:
+        value = t["value"]
+        letters = value.rlike("^[A-Za-z]+$")
+        vowels = F.length(F.regexp_replace(value, "(?i)[^aeiouy]", ""))
+        word = ~value.rlike("(?i)[b-df-hj-np-tvwxz]{6,}") & (vowels >= 0.25 * F.length(value))
+        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        ordinary = word & value.rlike("^([A-Za-z]?[a-z]+|[A-Z]+)$")
+        kind = F.when(mixed | ordinary, 0).when(letters & ~word, 1)
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), value.alias("value"), ordinary.alias("ordinary"), kind.alias("kind"))
+
+    kinds = F.filter(F.transform(tokens, read), lambda t: t["kind"].isNotNull())
+    symbols = F.transform(kinds, lambda t: F.struct(
+        *(t[c].alias(c) for c in ("start", "end", "value", "ordinary", "kind")),
+        F.transform(F.filter(F.split(F.when(t["kind"] == 1, F.lower(t["value"])).otherwise(t["value"]), ""), lambda c: (c != "") & (c != "=")),
+                    lambda c: F.ascii(c).cast("double") - F.when(t["kind"] == 1, 97.0).otherwise(0.0)).alias("v"),
+        F.when(t["kind"] == 1, 26.0)
+        .when(t["value"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(t["value"].rlike("^[A-Z2-7]+=*$"), 32.0)
+        .when(t["value"].rlike("^[A-Za-z0-9]+$"), 62.0).otherwise(64.0).alias("alphabet")))
+    halves = F.transform(F.filter(symbols, lambda t: F.size(t["v"]) >= LEAST_TOKEN // 2), lambda t: F.struct(
+        *(t[c].alias(c) for c in ("start", "end", "ordinary", "kind", "alphabet", "v")),
+        F.element_at(F.array_sort(t["v"]), F.floor(F.size(t["v"]) / F.lit(2)).cast("int") + 1).alias("median")))
+    moments = F.transform(halves, lambda t: F.struct(
+        *(t[c].alias(c) for c in ("start", "end", "ordinary", "kind", "alphabet", "v")), size(t["v"]).alias("n"),
         (total(t["v"]) / size(t["v"])).alias("mean"),
-        F.element_at(F.array_sort(t["v"]), F.floor(F.size(t["v"]) / F.lit(2)).cast("int") + 1).alias("median"),
+        F.transform(t["v"], lambda x: F.when(t["kind"] == 1, x.isin(VOWELS)).otherwise(x >= t["median"])).alias("high"),
         total(F.transform(F.transform(F.array_distinct(t["v"]), lambda s: size(F.filter(t["v"], lambda x: x == s))), lambda c: c * c)).alias("squares")))
     sums = F.transform(moments, lambda t: F.struct(
-        *(t[c].alias(c) for c in ("start", "end", "alphabet", "ordinary", "mixed", "n", "squares")),
-        size(F.filter(t["v"], lambda x: x >= t["median"])).alias("high"),
-        (total(F.zip_with(F.slice(t["v"], 1, F.size(t["v"]) - 1), F.slice(t["v"], 2, F.size(t["v"]) - 1),
-                          lambda a, b: F.when((a >= t["median"]) != (b >= t["median"]), 1.0).otherwise(0.0))) + 1.0).alias("runs"),
+        *(t[c].alias(c) for c in ("start", "end", "alphabet", "ordinary", "kind", "n", "squares")),
+        size(F.filter(t["high"], lambda x: x)).alias("high"),
+        (total(F.zip_with(F.slice(t["high"], 1, F.size(t["v"]) - 1), F.slice(t["high"], 2, F.size(t["v"]) - 1),
+                          lambda a, b: F.when(a != b, 1.0).otherwise(0.0))) + 1.0).alias("runs"),
         total(F.zip_with(F.slice(t["v"], 1, F.size(t["v"]) - 1), F.slice(t["v"], 2, F.size(t["v"]) - 1), lambda a, b: (a - t["mean"]) * (b - t["mean"]))).alias("serial"),
         total(F.transform(t["v"], lambda a: (a - t["mean"]) * (a - t["mean"]))).alias("spread")))
 
@@ -122,10 +156,14 @@ def _battery(tokens: Column) -> Column:
         serial = F.when(t["spread"] > 0, (t["serial"] / F.greatest(t["spread"], F.lit(1e-9)) + 1.0 / t["n"]) * F.sqrt(t["n"])).otherwise(9.0)
         return _two_sided(F.greatest(chi, F.lit(0.0))) + _two_sided(runs) + _two_sided(serial)
 
-    stratum = lambda t: sum(((t["end"] - t["start"] >= n).cast("int") for n in STRATA), F.lit(0))
-    return F.filter(F.transform(sums, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), t["ordinary"].alias("ordinary"), t["mixed"].alias("mixed"), stratum(t).alias("stratum"),
-        F.least(F.floor(statistic(t) * STEPS_PER_UNIT), F.lit(TOP_BIN)).cast("int").alias("bin"))), lambda t: t["ordinary"] | t["mixed"])
+    def stratum(t: Column) -> Column:
+        length = t["end"] - t["start"]
+        place = lambda bounds: sum(((length >= n).cast("int") for n in bounds), F.lit(0))
+        return t["kind"] * KIND_STEP + F.when(t["kind"] == 1, place(LETTER_STRATA)).otherwise(place(STRATA))
+
+    return F.transform(sums, lambda t: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), t["ordinary"].alias("ordinary"), stratum(t).alias("stratum"),
+        F.least(F.floor(statistic(t) * STEPS_PER_UNIT), F.lit(TOP_BIN)).cast("int").alias("bin")))
 
 
 def _tested(docs: DataFrame) -> DataFrame:
@@ -134,7 +172,7 @@ def _tested(docs: DataFrame) -> DataFrame:
 
 def _model_share(own: Column, bin_: Column) -> Column:
     """Share of the model's words of stratum ``own`` at or below a bin, rounded up."""
-    shares = [F.when(own == i, F.coalesce(*(F.when(bin_ <= b, F.lit(p)) for b, p in zip(bins, MODEL_SHARES)), F.lit(1.0))) for i, bins in enumerate(MODEL_BINS)]
+    shares = [F.when(own == i, F.coalesce(*(F.when(bin_ <= b, F.lit(p)) for p, b in row), F.lit(1.0))) for i, row in ALL_BINS.items()]
     return F.coalesce(*shares)
 
 
@@ -143,8 +181,8 @@ def random_limits(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[int,
 
     Words (letters of one case) of the same stratum, counted over all texts, say how often ordinary tokens look that
     random, together with a fixed model that counts for ``MODEL_WORDS`` words: so a corpus without long words has
-    limits too, and one with many goes by its own. The Benjamini-Hochberg rule then bounds the share of false
-    discoveries among the tokens of the stratum that mix letters and digits. Counts per bin are summed by Spark, and
+    limits too, and one with many goes by its own. Tokens of letters alone go by their fixed model. The
+    Benjamini-Hochberg rule then bounds the share of false discoveries among the tested tokens of the stratum. Counts per bin are summed by Spark, and
     one number per stratum reaches the driver.
     """
     tokens = _tested(docs.select(text_or_empty().alias("_text"))).select(F.explode("_tested").alias("t")).select("t.*")

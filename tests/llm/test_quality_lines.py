@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.llm.line_dedup import OFTEN, dedup_lines, repeated_runs, shortest_runs
+from tabwright.llm import quality
+from tabwright.llm.line_dedup import COMMON_WORDS, OFTEN, dedup_lines, repeated_runs, shortest_runs
 from tabwright.llm.quality import LABELLERS, fit_quality, fit_weak_labels, keep_good, score_quality, vote_counts, votes
 from tabwright.llm.queries import QUERIES
 
@@ -42,6 +43,35 @@ def test_line_dedup_against_all_pairs(spark, seed):
         assert row["text"] == "\n".join(x for p, x in enumerate(docs[i]) if p not in want[i]) and row["n_lines"] == len(docs[i]) and row["d"] == "z"
 
 
+def deleted_by_windows(docs, common, often):
+    """Every run of whole lines with ``common`` words that ``often`` documents have: all but its first copy go."""
+    at = {}
+    for d, lines in enumerate(docs):
+        for a in range(len(lines)):
+            words = 0
+            for b in range(a, len(lines)):
+                words += len(lines[b].split())
+                if words >= common:
+                    at.setdefault(tuple(lines[a:b + 1]), []).append((d, a))
+    gone = [set() for _ in docs]
+    for run, places in at.items():
+        if len({d for d, _ in places}) >= often:
+            for d, a in places[1:] if places == sorted(places) else sorted(places)[1:]:
+                gone[d] |= set(range(a, a + len(run)))
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_both_rules_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    pool = ["a", "b c", "d e f", "", "g h i j", "k l m n o p"]
+    docs = [[r.choice(pool) if r.random() < 0.7 else f"own {d} {i}" for i in range(r.randint(1, 12))] for d in range(24)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(docs)], "doc_id bigint, text string").repartition(5)
+    want = [x | y for x, y in zip(deleted_by_pairs(docs, 9), deleted_by_windows(docs, 3, 8))]
+    rows = {x["doc_id"]: x["deleted_lines"] for x in dedup_lines(df, 9, 3, 8).collect()}
+    assert rows == {i: sorted(g) for i, g in enumerate(want)} and any(want)
+
+
 def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     rows = dedup_lines(odd_docs, 1).collect()
     assert len(rows) == odd_docs.count()
@@ -95,6 +125,7 @@ def test_line_dedup_query_deletes_what_pairs_do(spark):
             (repeated if x in seen else seen).add(x)
     unique = iter(range(10 ** 9))
     want = deleted_by_pairs([[x if x in repeated else next(unique) and f"#{next(unique)}" for x in own] for own in lines], 50)
+    want = [x | y for x, y in zip(want, deleted_by_windows(lines, COMMON_WORDS, OFTEN))]
     rows = {r["doc_id"]: r for r in QUERIES["op8_line_dedup"](spark, SF).collect()}
     assert len(rows) == len(docs) and any(want)
     for (i, _), own, gone in zip(docs, lines, want):
@@ -148,3 +179,53 @@ def test_usual_words_have_the_traits_of_the_general_rule():
         row = words.traits[words.numbers(w)[0]].tolist()
         odd = [c for c in w if not c.isalnum()]
         assert row == [sum(map(str.isalpha, w)), sum(map(str.isupper, w)), 0, 0, 0, 0, w.strip(".,;:?").lower() in STOP_WORDS, _bucket(shape_of(w))], (w, odd)
+
+
+def test_em_row_by_row(spark):
+    """The model fitted on pattern counts is that of plain loops over rows."""
+    r = random.Random(4)
+    rows = ["".join(r.choice("+++-0") if r.random() < 0.7 else r.choice("--0+") for _ in LABELLERS) for _ in range(300)]
+    counts = {p: rows.count(p) for p in set(rows)}
+    clip = lambda x, low, high: min(max(x, low), high)
+    good = [0.2 if "-" in p else 0.9 for p in rows]
+    for _ in range(quality.EM_ROUNDS):
+        prior = clip((sum(good) + 1) / (len(rows) + 2), 1e-3, 1 - 1e-3)
+        tables = []
+        for j in range(len(LABELLERS)):
+            pair = []
+            for side, bounds in ((0, quality.PLUS_IF_BAD), (1, quality.PLUS_IF_GOOD)):
+                weight = [g if side else 1 - g for g in good]
+                plus = sum(w for w, p in zip(weight, rows) if p[j] == "+")
+                some = sum(w for w, p in zip(weight, rows) if p[j] != "0")
+                pair.append(clip((plus + 0.5) / (some + 1), *bounds))
+            tables.append(pair)
+        good = []
+        for p in rows:
+            odds = [1 - prior, prior]
+            for j, vote in enumerate(p):
+                if vote != "0":
+                    odds = [o * (tables[j][s] if vote == "+" else 1 - tables[j][s]) for s, o in enumerate(odds)]
+            good.append(odds[1] / sum(odds))
+    weak = fit_weak_labels(counts)
+    assert abs(weak.prior - prior) < 1e-9 and abs(weak.tables - tables).max() < 1e-9
+    assert all(abs(weak.posterior(p) - g) < 1e-9 for p, g in zip(rows, good))
+
+
+def test_features_and_scores_are_plain_shares(spark):
+    texts = ["The the cat, the cat sat!! On 12 MATS -- and and and so on.", "wow", "A1 b2 \U0001F642 ... x" * 40]
+    for text in texts:
+        words = text.split()
+        want = [0.0] * quality.BUCKETS
+        for w in words:
+            want[quality._bucket(quality.shape_of(w))] += 1
+        want[0] = sum(a == b for a, b in zip(words, words[1:]))
+        want = [x / len(words) for x in want]
+        want[-1] = len(set(words)) / len(words)
+        got = quality.features(text)
+        assert abs(got - [x ** 0.5 for x in want]).max() < 1e-12
+        weights = [((i * 37) % 11 - 5) / 5 for i in range(quality.BUCKETS)]
+        import numpy as np
+
+        model = quality.QualityModel(fit_weak_labels({"+" * len(LABELLERS): 3}), np.array(weights), -0.3)
+        margin = sum(w * x ** 0.5 for w, x in zip(weights, want)) - 0.3
+        assert abs(model.score(text) - 1 / (1 + np.exp(-margin))) < 1e-9

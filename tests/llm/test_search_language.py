@@ -1,4 +1,6 @@
 import os
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -74,3 +76,34 @@ def test_held_out_accuracy(spark):
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     right, n = found.where("held_out").join(lang, "doc_id").agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert n > 20 and right / n > 0.95
+
+
+def naive_ranks(counts, most=400):
+    """N-grams by count, then by length and code points, and their places."""
+    order = sorted(counts, key=lambda g: (-counts[g], len(g), list(map(ord, g))))
+    return {g: i for i, g in enumerate(order[:most])}
+
+
+def naive_counts(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    s = f" {' '.join(words)} " if words else ""
+    return Counter(s[i:i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i:i + n] != " ")
+
+
+def test_query_against_plain_strings(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in docs}
+    totals = {}
+    for i, text, lang in docs:
+        if not held[i] and lang is not None and text is not None:
+            totals.setdefault(lang, Counter()).update(naive_counts(text))
+    profiles = {lang: naive_ranks(n) for lang, n in sorted(totals.items()) if n}
+    want = {}
+    for i, text, _ in docs:
+        own = naive_ranks(naive_counts(text))
+        far = {lang: sum(abs(p[g] - r) if g in p else 400 for g, r in own.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        want[i] = (held[i], best, 1 - far[best] / (400 * len(own))) if own else (held[i], "und", 0.0)
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in QUERIES["op2_language_id"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][:2] == w[:2] and abs(got[i][2] - w[2]) < 1e-12 for i, w in want.items())

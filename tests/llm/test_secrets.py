@@ -96,3 +96,49 @@ def test_redaction(spark):
     rows = {r["doc_id"]: r for r in redact_secrets(docs).collect()}
     assert [rows[i]["text"] for i in (1, 2, 3, 4)] == ["a [SECRET] b", None, "é🙂 [SECRET] c", "plain"]
     assert rows[1]["_whole"] == "k" and redact_secrets(docs).columns == docs.columns
+
+
+def test_letters_alone_are_tested_too(spark):
+    r = random.Random(8)
+    alphabets = {"both": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    for name, least in (("both", 60), ("upper", 60)):
+        planted = {i: "".join(r.choice(alphabets[name]) for _ in range(40)) for i in range(100)}
+        long = {i: "".join(r.choice(alphabets[name]) for _ in range(100)) for i in range(100, 140)}
+        docs = [(i, f"{words(r, 40)} {t} {words(r, 5)}") for i, t in {**planted, **long}.items()] + [(i, words(r, 60)) for i in range(200, 500)]
+        rows = {x["doc_id"]: [s for s in x["secret_spans"] if s["kind"] == 3] for x in scan_secrets(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+        text = dict(docs)
+        found = [i for i, t in planted.items() if any(text[i][s["start"]:s["end"]] == t for s in rows[i])]
+        assert len(found) >= least, (name, len(found))
+        assert sum(any(text[i][s["start"]:s["end"]] == t for s in rows[i]) for i, t in long.items()) >= 38
+        assert sum(len(rows[i]) for i in range(200, 500)) <= 2
+    plain = ["Donaudampfschifffahrtsgesellschaftskapitaen", "getElementByIdentifierFromTheDocument", "antidisestablishmentarianism"]
+    rows = scan_secrets(spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(plain)], "doc_id bigint, text string")).collect()
+    assert all(not x["secret_spans"] for x in rows)
+
+
+def test_battery_and_tables_are_those_of_the_models(spark):
+    import numpy as np
+    import secret_models as m
+
+    from tabwright.llm import secrets
+
+    g = np.random.default_rng(11)
+    tokens = ["".join(g.choice(list(a), n)) for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for n in (20, 33, 70) for _ in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, _text string")
+    seen = 0
+    for row in secrets._tested(df).select("i", F.explode("_tested").alias("t")).select("i", "t.*").collect():
+        t = tokens[row["i"]]
+        kind = row["stratum"] // secrets.KIND_STEP
+        if row["ordinary"] or kind == 0 and not (set(t) - set("0123456789abcdef") and set(t) - set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")):
+            continue
+        v = np.array([[ord(c) for c in (t.lower() if kind == 1 else t)]]) - (97 if kind == 1 else 0)
+        alphabet = {0: 62, 1: 26}[kind]
+        assert row["bin"] == m.bins(v, alphabet, m.VOWEL[v] if kind == 1 else m.above_median(v))[0], t
+        seen += 1
+    assert seen > 25
+    near = lambda got, want: all(abs(a - b) <= 2 + 0.15 * abs(b) or a >= 300 and b >= 300 for a, b in zip(got[1:], want[1:]))
+    shares = secrets.MODEL_SHARES
+    for i in (0, 2):
+        assert near(m.word_row(g, [20, *secrets.STRATA][i], shares, 60_000), secrets.MODEL_BINS[i])
+    for i in (0, 3):
+        assert near(m.letter_row(g, [20, *secrets.LETTER_STRATA][i], secrets.LETTER_SHARES, 60_000), secrets.LETTER_BINS[i])

@@ -32,7 +32,7 @@ def confusion_matrix(pred: DataFrame, group: list[str] | None = None) -> DataFra
     listed = classes.groupBy(*group).agg(F.collect_set("c").alias("cs"))
     rows = listed.select(*group, "cs", F.explode("cs").alias("label"))
     grid = rows.select(*group, "label", F.explode("cs").alias("prediction"))
-    return grid.join(F.broadcast(counts), [*group, "label", "prediction"], "left").select(
+    return grid.join(counts, [*group, "label", "prediction"], "left").select(
         *group, "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -138,7 +138,7 @@ def classification_metrics(
     auc = roc_auc(pred, group, rows) if binary else roc_auc_ovr(pred, n_classes, group, rows)
     auc = auc.select(*group, "auc")
     if group:
-        joined = labels.join(F.broadcast(loss), group).join(F.broadcast(auc), group)  # a row per group
+        joined = labels.join(loss, group).join(auc, group)
     else:
         joined = labels.withColumns({"l": one_row(loss), "a": one_row(auc)})  # one row each
         joined = joined.select("*", "l.*", "a.*")

@@ -48,8 +48,6 @@ class Candidate:
     name: str
     build: Callable[[dict, int, TrainingFacts], Estimator]
     space: dict[str, tuple]
-    weighted: bool = False  # trained with balanced class weights
-    kind: str = "tree"  # which explainer applies: tree or linear
 
 
 # Model sizes and search ranges that must match.
@@ -100,8 +98,8 @@ def _classifiers(ps: Preset, binary: bool, classes: int) -> list[Candidate]:
 
     fast = ps == FAST
     return [
-        Candidate("logistic_regression", "Logistic Regression", logistic, {"C": ("log", 1e-3, 10.0)}, True, "linear"),
-        Candidate("random_forest", "Random Forest", forest, FAST_TREES if fast else FOREST_SPACE, True),
+        Candidate("logistic_regression", "Logistic Regression", logistic, {"C": ("log", 1e-3, 10.0)}),
+        Candidate("random_forest", "Random Forest", forest, FAST_TREES if fast else FOREST_SPACE),
         Candidate("gradient_boosting", "Gradient Boosting", boosted, FAST_BOOST if fast else BOOST_SPACE),
         Candidate("gbt_subsampled", "Gradient Boosting (subsampled)", subsampled, FAST_SUBSAMPLED if fast else SUBSAMPLED_SPACE),
     ]
@@ -126,7 +124,7 @@ def _regressors(ps: Preset) -> list[Candidate]:
 
     fast = ps == FAST
     return [
-        Candidate("ridge", "Ridge Regression", ridge, {"alpha": ("log", 1e-3, 100.0)}, kind="linear"),
+        Candidate("ridge", "Ridge Regression", ridge, {"alpha": ("log", 1e-3, 100.0)}),
         Candidate("random_forest_regressor", "Random Forest", forest, FAST_TREES if fast else FOREST_SPACE),
         Candidate("gradient_boosting_regressor", "Gradient Boosting", boosted, FAST_BOOST if fast else BOOST_SPACE),
         Candidate("gbt_subsampled_regressor", "Gradient Boosting (subsampled)", subsampled, FAST_SUBSAMPLED if fast else SUBSAMPLED_SPACE),

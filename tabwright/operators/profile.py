@@ -197,8 +197,8 @@ def _names(names: list[str]):
 def column_profile(df: DataFrame, approx: bool = False, rows: int | None = None) -> DataFrame:
     """Profile table: one row per column, see ``PROFILE_COLUMNS``.
 
-    ``approx=True`` swaps exact distinct counts and quantiles of numeric columns for
-    sketches; ``is_exact`` says which was used.
+    ``approx=True`` swaps exact distinct counts and quantiles of numeric and datetime columns for
+    sketches; ``is_exact`` says per column which was used.
     """
     rows = df.count() if rows is None else rows
     spark = df.sparkSession
@@ -260,7 +260,7 @@ def _describe(joined: DataFrame, rows: int, approx: bool) -> DataFrame:
         *numbers,
         *[f"CASE WHEN semantic_type IN ('categorical', 'boolean', 'id') THEN {e} END AS {c}" for c, e in tops.items()],
         "CAST(coalesce(text_bytes, width * nn, 0) AS BIGINT) AS data_bytes",
-        f"{'false' if approx else 'true'} AS is_exact",
+        f"{'kind NOT IN (%s, %s)' % (repr(NUMERIC), repr(DATETIME)) if approx else 'true'} AS is_exact",
     )
 
 

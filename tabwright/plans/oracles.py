@@ -269,7 +269,11 @@ ORACLES: dict[str, str] = {
           (SELECT CASE WHEN count(DISTINCT c_mktsegment) <= 0.95 * count(*) THEN 'c_name,c_mktsegment' END FROM customer)""",
     "summary": f"""WITH {LOOSE} SELECT 'Rows' AS item, CAST(count(*) AS VARCHAR) AS value FROM d
         UNION ALL SELECT 'Columns', '5' UNION ALL SELECT 'Numerical', '3' UNION ALL SELECT 'Categorical', '2'
-        UNION ALL SELECT 'Boolean', '0'""",
+        UNION ALL SELECT 'Boolean', '0' UNION ALL SELECT 'Datetime', '0' UNION ALL SELECT 'Missing Cells', '0 (0.00%)'
+        UNION ALL SELECT 'Duplicate Rows', printf('%d (%.2f%%)', n - u, (n - u) * 100.0 / n)
+          FROM (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS u FROM d)
+        UNION ALL SELECT 'Data Size', printf('%.2f MB', (count(*) * 20 + sum(octet_length(encode(l_returnflag)) + octet_length(encode(l_linestatus)))) / 1048576.0)
+          FROM d""",
     "duplicate_rows": f"""WITH {LOOSE} SELECT count(*) AS n_rows,
         count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d) u) AS duplicate_rows FROM d""",
     "duplicate_rows_wide": """SELECT count(*) AS n_rows,
@@ -314,6 +318,7 @@ ORACLES: dict[str, str] = {
     "report_json": f"""{LOOSE_AUDIT}, sc AS ({SCORE.format(width=5)})
         SELECT concat('{{"overall_score":', overall_score, ',"healthy_checks":', healthy_checks, ',"warning_count":', warning_count,
           ',"critical_count":', critical_count, '}}') AS json FROM sc""",
+    "report_issues": f"{LOOSE_AUDIT} SELECT rule_id, feature, severity, round(metric_value, 6) AS metric_value FROM issues",
     "correlation_matrix": f"WITH {LINES} {matrix_sql(LINE_NAMES)}",
     "correlation_gaps": f"WITH {DIRTY} {matrix_sql(['o_custkey', 'o_totalprice', 'gross', 'batch'])}",
     "top_correlations": f"""WITH {LINES}, q AS ({pairs_sql(LINE_NAMES)})

@@ -92,7 +92,7 @@ def semantic_types(spark, sf):
 
 def summary(spark, sf):
     p = profile.Profile(derived(spark, sf, views.LOOSE_LINES))
-    return profile.summary_view(p.dataset).where(F.col("item").isin("Rows", "Columns", "Numerical", "Categorical", "Boolean"))
+    return profile.summary_view(p.dataset)
 
 
 def duplicate_rows(spark, sf):
@@ -185,6 +185,14 @@ def report_json(spark, sf):
     return reports.rows_as_json(aud.audit_score(issues, width))
 
 
+def report_issues(spark, sf):
+    """The issue list as it is read back from the JSON report."""
+    issues, width = _issues(spark, sf, views.LOOSE_LINES)
+    report = reports.audit_report(issues, aud.audit_score(issues, width))
+    listed = F.from_json("report", "issues array<struct<rule_id:string,feature:string,severity:string,metric_value:double>>")["issues"]
+    return _issue_rows(report.select(F.explode(listed).alias("i")).select("i.*"))
+
+
 # --- EDA ---------------------------------------------------------------------------------
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -826,7 +834,7 @@ def pipeline_run(spark, sf):
 ALL: list[Query] = [
     profile_columns, profile_lines, profile_dirty, profile_merged, profile_dataset, semantic_types, summary, duplicate_rows, duplicate_rows_wide,
     missing_cells, top_category, column_preview, quick_stats, validate_target, validate_small, validate_verdict,
-    audit_issues, audit_cardinality, audit_duplicates, audit_score, audit_view, audit_outliers, audit_leakage, report_json,
+    audit_issues, audit_cardinality, audit_duplicates, audit_score, audit_view, audit_outliers, audit_leakage, report_json, report_issues,
     correlation_matrix, correlation_gaps, top_correlations, insight_target_binary, insight_target_numeric,
     insight_multicollinearity, insight_skew, insight_missing, insight_table, histogram, class_frequency, boxplot,
     outlier_rows, top_categories, inspect_column, detect_problem, class_distribution, imbalance, feature_plan,

@@ -31,7 +31,7 @@ EM_ROUNDS = 50
 #: while a labeller that calls good texts bad is rarely of use.
 PLUS_IF_BAD = (0.1, 0.9)
 PLUS_IF_GOOD = (0.5, 0.998)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Rows whose feature vectors a task holds at once.
 FEATURE_ROWS = 1000
 _PLAIN = set(".,;:!?'\"()-")
@@ -60,7 +60,7 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.traits = np.zeros((1024, 8), np.int64)
+        self.traits = np.zeros((1024, 8), np.int32)
 
     def __missing__(self, word: str) -> int:
         n = len(self)

@@ -58,10 +58,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs)).select("doc_id", "posterior", "score", F.col("good").alias("kept"))
 
 
+def of_kind(k: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == k  # one parameter: Spark passes the place in the array as a second
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     spans = F.col("secret_spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter(spans, of_kind(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = written(F.filter(spans, lambda s: s["kind"] < 3))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(spans).alias("spans"))
 

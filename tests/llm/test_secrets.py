@@ -54,6 +54,14 @@ def test_query_against_brute_force(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
 
 
+def test_query_counts_every_span_of_its_kind(spark, tmp_path):
+    texts = ["0123456789abcdef" * 2, "token=abcdef1 token=abcdef2 AKIA" + "A1" * 9 + " " + "0a" * 12 + " secret: abcdef3", "AKIA" + "Z" * 16, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op6_secret_scan"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["n_random"]) for r in rows} == {
+        0: (0, 0, 1, 0), 1: (3, 1, 1, 0), 2: (0, 1, 0, 0), 3: (0, 0, 0, 0)}
+
+
 def words(r, n):
     return " ".join("".join(r.choice(["ou", "re", "the", "tion", "an", "eau", "er", "ing", "s"]) for _ in range(r.randint(2, 14))) for _ in range(n))
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabwright.functions.columns import one_row, quoted
-from tabwright.functions.ordered import running_totals
 from tabwright.operators.profile import row_digest
-from tabwright.session import LIMITS
+from tabwright.session import LIMITS, fits, reliable
 
 FOLD = "fold"
+#: Rows that one task may sort to number them.
+FOLD_ROWS = 400_000
 
 
 def _digest(key_cols: list[str], seed: int) -> Column:
@@ -32,24 +33,44 @@ def assign_folds(
 
     Rows are numbered in the order of a seeded digest of their key, and of their content where keys are equal or
     none is given, so that key, seed and rows alone decide at any size and file layout; only rows equal in every
-    column may change places. A large table is numbered by range partitions plus the row counts of earlier ones;
-    its rows are written once to the checkpoint folder. A null label is a class of its own.
+    column may change places. A large table is numbered by sorted range partitions plus the row counts of earlier
+    ones: only its own columns are shuffled, once, and written to the checkpoint folder, so that later passes sort
+    nothing. A null label is a class of its own.
     """
-    limit = limit or LIMITS.task_rows
+    limit = limit or FOLD_ROWS
     n = df.count() if rows is None else rows
     content = row_digest(df)
     first = _digest(key_cols, seed) if key_cols else F.md5(F.concat(F.lit(f"{seed}|"), content).cast("binary"))
-    tagged = df.withColumns({"_h": first, "_r": content, **({"_g": quoted(label)} if label else {})})
-    groups = ["_g"] if label else []
+    order = {"_h": first, "_r": content}
+    groups = {"_g": quoted(label)} if label else {}
     if n <= limit:
-        place = F.row_number().over(Window.partitionBy(*groups).orderBy("_h", "_r")) - 1
-        numbered = tagged.withColumn("_place", place)
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
+        numbered = df.withColumns({**order, **groups}).withColumn("_place", place)
     else:
-        tagged = tagged.withColumn("_t", F.monotonically_increasing_id())  # spreads copies of one row
-        numbered = running_totals(tagged, groups, ["_h", "_r", "_t"], {"_place": F.lit(1).cast("long")}, rows=n, limit=limit)
+        numbered = _numbered(df, groups, order, max(2, -(-n // max(limit // 2, 1))))
     return numbered.select(*[quoted(c) for c in df.columns], (F.col("_place") % k).cast("int").alias(FOLD))
 
 
+def _numbered(df: DataFrame, groups: dict[str, Column], order: dict[str, Column], parts: int) -> DataFrame:
+    """``df`` with ``_place``, the place of a row in its group. The digests are made anew after the shuffle, which
+    is less than to move them; a row's place in its sorted partition is the low half of its id there."""
+    tagged = df.withColumn("_t", F.monotonically_increasing_id())  # spreads copies of one row
+    ranged = tagged.repartitionByRange(parts, *groups.values(), *order.values(), "_t")
+    within = ranged.withColumns({**groups, **order}).sortWithinPartitions(*groups, *order, "_t")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    stored = reliable(within.select(
+        *[quoted(c) for c in df.columns], *groups, F.spark_partition_id().alias("_part"), row.alias("_at")))
+    # at most (partitions + groups) rows: one per piece of a group in a partition
+    pieces = stored.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")
+    side = reliable(pieces.select("_part", *groups, shift.alias("_shift")).select(
+        F.col("_part").alias("_k_part"), *[F.col(g).alias(f"_k{g}") for g in groups], "_shift"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in ["_part", *groups]]
+    few = fits(side, LIMITS.broadcast_rows)
+    return stored.join(F.broadcast(side) if few else side, same).withColumn("_place", F.col("_at") + F.col("_shift"))
+
+
 def fold_sizes(folded: DataFrame, *by: str) -> DataFrame:
     return folded.groupBy(*by, FOLD).agg(F.count(F.lit(1)).alias("n"))
 

@@ -91,6 +91,13 @@ def test_folds_with_a_hot_key_are_the_same_at_any_size(spark):
                 assert group[-2] <= 1 and group[-1] in (1000, 3000)
 
 
+def test_passes_over_folds_of_a_large_table_sort_and_shuffle_nothing(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "a").alias("y"))
+    for label in (None, "y"):
+        plan = assign_folds(df, 5, ["id"], label=label, limit=200)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" in plan and not any(step in plan for step in ("hashpartitioning", "rangepartitioning", "Window", "Sort"))
+
+
 def test_folds_without_a_key(spark):
     df = spark.range(101).select(F.lit(1).alias("same"))
     sizes = [r["n"] for r in fold_sizes(assign_folds(df, 5)).collect()]

@@ -5,7 +5,8 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tabwright.operators import cv, explain, models, problem, search
@@ -361,3 +362,29 @@ def test_reports(spark):
     assert doc["critical_count"] == 1 and doc["issues"][0]["rule_id"] == "ZERO_VARIANCE"
     schema = feature_schema(df.withColumn("s", F.lit("x")), feat.FeaturePlan(numeric=["id"], one_hot=["s"])).collect()
     assert {r["name"]: r["unique_values"] for r in schema} == {"id": None, "s": ["x"]}
+
+
+def test_tree_attributions_are_worked_out_once_per_cell(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    lo, hi = np.where(rng.random((30, 3)) < 0.4, -np.inf, 0.25), np.where(rng.random((30, 3)) < 0.4, np.inf, 0.75)
+    leaves = [explain.LeafTable(np.tile([2, 0, 1], (30, 1)), lo, hi, rng.random((30, 3)), rng.normal(size=(30, 2)))]
+    x = np.round(rng.uniform(-1, 2, (500, 3)), 2)
+    x[:9] = [[np.nan, 0.25, 0.75], [-np.inf, np.inf, 0.5], [0.25, 0.75, np.nan]] * 3
+    want, seen = explain.leaf_attributions(x, leaves), []
+    real = explain.leaf_attributions
+    monkeypatch.setattr(explain, "leaf_attributions", lambda part, tables: seen.append(len(part)) or real(part, tables))
+    for cap in (10, 4_000_000):
+        seen.clear()
+        monkeypatch.setattr(explain, "KNOWN_CELLS", cap)
+        found = explain.CellAttributions(leaves, 3)
+        assert np.array_equal(np.concatenate([found(x[:200]), found(x[200:])]), want)
+        assert sum(seen) <= 125 * (2 if cap == 10 else 1)
+
+
+def test_costly_attributions_are_dealt_over_all_cores(spark):
+    rows = spark.range(40).coalesce(1).select("id", array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"))
+    model = LinearRegression(labelCol="id", regParam=0.1).fit(rows)
+    phi = explain.sampled_shap(rows, ["id"], model, ["a", "b"], False, [[0.0, 0.0]])
+    assert "REPARTITION_BY_NUM" in phi._jdf.queryExecution().executedPlan().toString()
+    forest = RandomForestRegressor(labelCol="id", numTrees=2, maxDepth=2).fit(rows)
+    assert "REPARTITION_BY_NUM" in explain.tree_shap(rows, ["id"], forest, ["a", "b"])._jdf.queryExecution().executedPlan().toString()

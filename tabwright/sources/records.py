@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.session import LIMITS
+from tabwright.session import LIMITS, scratch_path
 
 _BOM = b"\xef\xbb\xbf"
 _LAYOUT = "file string, range bigint, part int, first boolean, value binary"
@@ -111,13 +111,21 @@ def _pieces(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, _LAYOUT)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the checkpoint folder: what reads it cuts no text again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quoted_records(spark: SparkSession, paths: list[str] | str, delimiter: str) -> DataFrame:
     """file, first (the first record of a file) and value (bytes) of every record, line breaks in quotes included.
 
     Blank records are left out; a record that is still open at the end of a file ends there. Files are split like any
-    text; a record is as long as it needs to be, over any number of ranges."""
+    text; a record is as long as it needs to be, over any number of ranges. The records are cut once and written to
+    the checkpoint folder, however often the result is read."""
     lines = _with_states(text_lines(spark, paths), delimiter)
-    states = range_states(lines)
+    states = _stored(range_states(lines), "ranges")
     ranges = states.limit(LIMITS.broadcast_rows + 1).count()  # a row per split: some 64 TB of text up to the limit
     side = F.broadcast(states) if ranges <= LIMITS.broadcast_rows else states
     if ranges <= LIMITS.broadcast_rows:
@@ -125,7 +133,7 @@ def quoted_records(spark: SparkSession, paths: list[str] | str, delimiter: str)
     else:  # the shuffle loses the order of lines, which is that of their ids
         numbered = lines.withColumn("line", F.monotonically_increasing_id())
         known = numbered.join(side, ["file", "range"]).repartition("file", "range").sortWithinPartitions("file", "range", "line")
-    pieces = _pieces(known.select("file", "range", "value", "a", "b", "open"))
+    pieces = _stored(_pieces(known.select("file", "range", "value", "a", "b", "open")), "pieces")
     border = pieces.where("part != 1")
     order = Window.partitionBy("file").orderBy("range", "part")  # two rows a range at most
     joined = border.withColumn("record", F.sum((F.col("part") == 2).cast("int")).over(order)).groupBy("file", "record").agg(

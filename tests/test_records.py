@@ -91,3 +91,10 @@ def test_a_latin_file_with_line_breaks(spark, tmp_path, small_ranges):
     (tmp_path / "l.csv").write_bytes(written(rows, "|").encode("latin-1"))
     got = delimited.read_delimited(spark, str(tmp_path), infer=False)
     assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_records_are_cut_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,"a\nb"\n2,"c ""d"" e"\n')
+    found = records.quoted_records(spark, [str(tmp_path / "a.csv")], ",")
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [bytes(r["value"]) for r in found.orderBy("value").collect()] == [b'1,"a\nb"', b'2,"c ""d"" e"', b"id,text"]

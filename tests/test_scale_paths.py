@@ -98,6 +98,12 @@ def test_passes_over_folds_of_a_large_table_sort_and_shuffle_nothing(spark):
         assert "Broadcast" in plan and not any(step in plan for step in ("hashpartitioning", "rangepartitioning", "Window", "Sort"))
 
 
+def test_no_single_task_numbers_a_million_rows(spark):
+    folded = assign_folds(spark.range(500).withColumn("v", F.lit("x")), 3, ["id"], rows=1_200_000)
+    assert "SinglePartition" not in folded._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["n"] for r in fold_sizes(folded).collect()) == [166, 167, 167]
+
+
 def test_folds_without_a_key(spark):
     df = spark.range(101).select(F.lit(1).alias("same"))
     sizes = [r["n"] for r in fold_sizes(assign_folds(df, 5)).collect()]

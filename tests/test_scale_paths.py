@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.ordered import dense_codes, running_totals
 from tabwright.functions.quantiles import exact_quantiles, part_quantiles, ranked_quantiles
+from tabwright.operators import cv, problem
 from tabwright.operators import features as feat
 from tabwright.operators import metrics as met
 from tabwright.operators.folds import assign_folds, fold_sizes
@@ -104,6 +105,24 @@ def test_no_single_task_numbers_a_million_rows(spark):
     assert sorted(r["n"] for r in fold_sizes(folded).collect()) == [166, 167, 167]
 
 
+def test_a_fit_on_all_rows_deals_them_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cv, "FIT_ROWS", 100)
+    df = spark.range(2000).coalesce(1).selectExpr("id * 0.5d as y", "id % 7 as a", "concat('v', id % 50) as c")
+    seen = []
+
+    class Any:
+        def build(self, params, seed, facts):
+            return self
+
+        def fit(self, rows):
+            seen.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+            return self
+
+    p = problem.detect(df, "y")
+    cv.fit_full(df, p, feat.FeaturePlan(numeric=["a"], ordinal=["c"]), Any(), {})
+    assert sum(seen) == 2000 and max(seen) <= 150
+
+
 def test_folds_without_a_key(spark):
     df = spark.range(101).select(F.lit(1).alias("same"))
     sizes = [r["n"] for r in fold_sizes(assign_folds(df, 5)).collect()]

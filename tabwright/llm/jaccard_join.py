@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import claim, kept, runs_of_key
+from tabwright.llm.common import claim, give_back, kept, runs_of_key
 from tabwright.llm.components import components
 
 WORDS = 5
@@ -98,6 +98,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())],
                 names=["doc_id", "node", "size", "low", "high"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
         run, "doc_id bigint, node binary, size bigint, low binary, high binary")
@@ -231,6 +232,7 @@ def _verified(blocks: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found[0], pa.binary()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary()), pa.array([wide] * len(found[0]), pa.bool_())],
                 names=["node", "links", "root", "wide"])
+        give_back()
 
     return blocks.mapInArrow(run, "node binary, links bigint, root binary, wide boolean")
 
@@ -245,6 +247,7 @@ def _hashed(rows: DataFrame, width: int) -> DataFrame:
             own = [hashlib.md5(h.tobytes()).digest() == n for h, n in zip(hashes, batch["node"].to_pylist())]
             batch = batch.drop_columns(["text"]).append_column("hashes", pa.array([h.tobytes() for h in hashes], pa.binary()))
             yield batch.filter(pa.array(own, pa.bool_()))
+        give_back()
 
     return rows.select("node", "n", "group", "blocks", "text").mapInArrow(run, "node binary, n bigint, `group` bigint, blocks int, hashes binary")
 
@@ -318,6 +321,7 @@ def _with_nodes(packed: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             hashes = [shingles(t.as_py(), width) for t in batch["_row"].field("text")]
             yield batch.append_column("node", pa.array([hashlib.md5(h.tobytes()).digest() if len(h) else None for h in hashes], pa.binary()))
+        give_back()
 
     return packed.mapInArrow(run, packed.schema.simpleString().removeprefix("struct<")[:-1] + ", node binary")
 

@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.bpe import CACHED_WORDS, ROWS_PER_BATCH, _Both, byte_alphabet
-from tabwright.llm.common import claim, kept, text_or_empty
+from tabwright.llm.bpe import _Both, byte_alphabet
+from tabwright.llm.common import claim, give_back, kept, text_or_empty
 from tabwright.session import fits, local_table
 
 #: Rows (partition, length, offset) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
-#: Chunks (a word with its space and marks) whose ids a Python worker remembers, about 200 bytes each.
-CACHED_CHUNKS = 800_000
+#: Chunks (a word with its space and marks) and their words whose ids a Python worker remembers, about 150 bytes each.
+CACHED_CHUNKS = 500_000
+#: Texts that are cut into chunks at once: the chunks of a text take ten times its room.
+ROWS_PER_BATCH = 250
 
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
 
@@ -37,19 +39,18 @@ class ByteCoder:
         self.space = self.alphabet[ord(" ")]
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # and words: a chunk without marks is one
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.chunks.get(word)
         if found is None:
             if word.isascii() and word.isprintable():
                 symbols = word.replace(" ", self.space)  # every other printable byte stands for itself
             else:
                 symbols = word.encode().decode("latin-1").translate(self.alphabet)
             found = b"".join([self.as_bytes[t.id] for t in self.model.tokenize(symbols)])
-            if len(self.words) < CACHED_WORDS:
-                self.words[word] = found
+            if len(self.chunks) < CACHED_CHUNKS:
+                self.chunks[word] = found
         return found
 
     def _learn(self, chunks: set[str], known: dict[str, bytes]) -> None:
@@ -108,6 +109,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, closing_id: int =
                 yield pa.RecordBatch.from_arrays(
                     [rows["doc_id"].take(pa.array(index)), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                     names=["doc_id", "piece", "start", "length", "ids", "part", "nth"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty().alias("_text")).mapInArrow(

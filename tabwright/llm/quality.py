@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import claim
+from tabwright.llm.common import claim, give_back
 
 #: Common short words of the languages the stop-word labeller knows.
 STOP_WORDS = frozenset(
@@ -217,6 +217,7 @@ def _mapped(docs: DataFrame, ddl: str, f) -> DataFrame:
         claim("quality", _words.clear)
         for batch in batches:
             yield from f(batch)
+        give_back()
 
     return docs.mapInArrow(run, ddl)
 
@@ -229,6 +230,7 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
         n: Counter = Counter()
         for batch in batches:
             n.update(votes(t.as_py()) for t in batch["text"])
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["votes", "n"])
 
     rows = docs.select("text").mapInArrow(counted, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tabwright.llm import common, packing
 from tabwright.llm.bpe import decode_ids, encode_texts, fragments, ids_as_array, joinable_pairs, word_coder
 from tabwright.llm.exact_dedup import drop_copies, exact_groups
 from tabwright.llm.packing import best_fit_plan, byte_coder, pack
@@ -48,6 +49,24 @@ def test_byte_encoding_is_the_librarys():
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_byte_encoder_remembers_a_bounded_number_of_words_and_chunks(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", 100)
+    tok, coder = Tokenizer.from_file(BYTES), packing.ByteCoder(BYTES)
+    texts = [f"word{i}, and{i}. it's" for i in range(300)]
+    got = [coder.encode([t])[0] for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(len(v) for v in vars(coder).values() if isinstance(v, dict) and v is not coder.alphabet) <= 103
+
+
+def test_memory_goes_back_when_another_operator_takes_a_worker(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "_owner", None)
+    monkeypatch.setattr(common, "give_back", lambda: done.append("back"))
+    for name in ("a", "a", "b"):
+        common.claim(name, lambda name=name: done.append(name))
+    assert done == ["a", "back"]
+
+
 def test_encode_odd_rows_and_round_trip(odd_docs, no_docs):
     tok = Tokenizer.from_file(WORDS)
     rows = encode_texts(odd_docs, WORDS).collect()

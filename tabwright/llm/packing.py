@@ -19,9 +19,9 @@ from tabwright.session import fits, local_table
 BROADCAST_ROWS = 1_000_000
 
 #: Chunks (a word with its space and marks) and their words whose ids a Python worker remembers, about 150 bytes each.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 650_000
 #: Texts that are cut into chunks at once: the chunks of a text take ten times its room.
-ROWS_PER_BATCH = 250
+ROWS_PER_BATCH = 500
 
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
 
@@ -64,7 +64,7 @@ class ByteCoder:
         for t in batch:
             plain = t and "  " not in t and t[0] != " " and t[-1] != " " and not _OTHER.search(t) and not any(s in t for s in self.special)
             split.append(t.replace(" ", "\0 ").split("\0") if plain else None)
-        new = set().union(*(c for c in split if c)) - self.chunks.keys()
+        new = {c for c in set().union(*(c for c in split if c)) if c not in self.chunks}
         known = self.chunks
         if len(known) + len(new) > CACHED_CHUNKS:
             known = _Both(self.chunks, {})

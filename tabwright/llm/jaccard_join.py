@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import claim, give_back, kept, runs_of_key
+from tabwright.llm.common import claim, give_back, kept, map_texts, runs_of_key
 from tabwright.llm.components import components
 
 WORDS = 5
@@ -100,7 +100,8 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "node", "size", "low", "high"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
+    return map_texts(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null"),
         run, "doc_id bigint, node binary, size bigint, low binary, high binary")
 
 
@@ -249,7 +250,7 @@ def _hashed(rows: DataFrame, width: int) -> DataFrame:
             yield batch.filter(pa.array(own, pa.bool_()))
         give_back()
 
-    return rows.select("node", "n", "group", "blocks", "text").mapInArrow(run, "node binary, n bigint, `group` bigint, blocks int, hashes binary")
+    return map_texts(rows.select("node", "n", "group", "blocks", "text"), run, "node binary, n bigint, `group` bigint, blocks int, hashes binary")
 
 
 def _of_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -323,7 +324,7 @@ def _with_nodes(packed: DataFrame, width: int) -> DataFrame:
             yield batch.append_column("node", pa.array([hashlib.md5(h.tobytes()).digest() if len(h) else None for h in hashes], pa.binary()))
         give_back()
 
-    return packed.mapInArrow(run, packed.schema.simpleString().removeprefix("struct<")[:-1] + ", node binary")
+    return map_texts(packed, run, packed.schema.simpleString().removeprefix("struct<")[:-1] + ", node binary")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:

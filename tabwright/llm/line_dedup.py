@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import kept, lookup
+from tabwright.llm.common import kept, lookup, map_texts
 
 #: Words that a repeated run must have, and the fewer that one must have which occurs in OFTEN documents or more.
 LEAST_WORDS = 50
@@ -69,7 +69,7 @@ def line_rows(docs: DataFrame, least: int, common: int = COMMON_WORDS) -> DataFr
 
     rows = docs.where("text is not null").select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("d"), fingerprint(F.col("text")).alias("f"), "text")
-    return rows.mapInArrow(lines, "d bigint, f bigint, p int, line binary, runs array<int>, common array<int>")
+    return map_texts(rows, lines, "d bigint, f bigint, p int, line binary, runs array<int>, common array<int>")
 
 
 def _named(rows: DataFrame, total: int, often: int, *by: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import _Both, byte_alphabet
-from tabwright.llm.common import claim, give_back, kept, text_or_empty
+from tabwright.llm.common import claim, give_back, kept, map_texts, text_or_empty
 from tabwright.session import fits, local_table
 
 #: Rows (partition, length, offset) that may be broadcast: 24 bytes each.
@@ -112,8 +112,8 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, closing_id: int =
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("_text")).mapInArrow(
-        pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, part int, nth bigint")
+    return map_texts(
+        docs.select("doc_id", text_or_empty().alias("_text")), pieces, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, part int, nth bigint")
 
 
 def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:

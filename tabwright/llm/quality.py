@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import claim, give_back
+from tabwright.llm.common import claim, give_back, map_texts
 
 #: Common short words of the languages the stop-word labeller knows.
 STOP_WORDS = frozenset(
@@ -219,7 +219,7 @@ def _mapped(docs: DataFrame, ddl: str, f) -> DataFrame:
             yield from f(batch)
         give_back()
 
-    return docs.mapInArrow(run, ddl)
+    return map_texts(docs, run, ddl)
 
 
 def vote_counts(docs: DataFrame) -> dict[str, int]:
@@ -233,7 +233,7 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
         give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["votes", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    rows = map_texts(docs.select("text"), counted, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     return {r["votes"]: r["n"] for r in rows}
 
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -11,7 +12,10 @@ from tokenizers import Tokenizer
 from tabwright.llm import common, packing
 from tabwright.llm.bpe import decode_ids, encode_texts, fragments, ids_as_array, joinable_pairs, word_coder
 from tabwright.llm.exact_dedup import drop_copies, exact_groups
+from tabwright.llm.jaccard_join import _signed
+from tabwright.llm.line_dedup import line_rows
 from tabwright.llm.packing import best_fit_plan, byte_coder, pack
+from tabwright.llm.quality import score_quality
 from tabwright.llm.queries import QUERIES, tokenizer_file
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -178,3 +182,26 @@ def test_exact_dedup_compares_content_where_digests_collide(odd_docs):
     good = sorted(map(repr, exact_groups(odd_docs).collect()))
     weak = exact_groups(odd_docs, digest=lambda c: F.length(c) % 2)
     assert sorted(map(repr, weak.collect())) == good
+
+
+def largest_batch(rows):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    return common.map_texts(rows, sizes, "n bigint").agg(F.max("n")).first()[0]
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    limit, texts = common._ARROW_LIMIT, spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 500).alias("text"))
+    old = spark.conf.get(limit, None)
+    try:
+        for operator in (lambda: packing.token_pieces(texts, BYTES), lambda: score_quality(texts, None), lambda: line_rows(texts, 50), lambda: _signed(texts, 5)):
+            spark.conf.unset(limit)
+            operator()
+            assert spark.conf.get(limit) == str(common.ARROW_BYTES)
+        assert largest_batch(texts) < 1.1 * common.ARROW_BYTES
+        spark.conf.set(limit, "100000")  # the user's own
+        assert largest_batch(texts) < 110_000 and spark.conf.get(limit) == "100000"
+    finally:
+        spark.conf.set(limit, old) if old else spark.conf.unset(limit)

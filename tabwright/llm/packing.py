@@ -8,21 +8,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.bpe import _Both, byte_alphabet
+from tabwright.llm.bpe import byte_alphabet
 from tabwright.llm.common import claim, give_back, kept, map_texts, text_or_empty
 from tabwright.session import fits, local_table
 
 #: Rows (partition, length, offset) that may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
-#: Chunks (a word with its space and marks) and their words whose ids a Python worker remembers, about 150 bytes each.
-CACHED_CHUNKS = 650_000
-#: Texts that are cut into chunks at once: the chunks of a text take ten times its room.
-ROWS_PER_BATCH = 500
-
+#: Chunks (a word with its space and marks) and their words whose ids a Python worker remembers, about 180 bytes each.
+CACHED_CHUNKS = 300_000
+#: The last so many of them are left to chunks that come again.
+FOR_REPEATED = 100_000
+#: Characters of the longest chunk that is remembered.
+LONGEST_CHUNK = 100
+#: Places of a table that says which chunks came before; it is emptied when half of it is used.
+SEEN_PLACES = 1 << 22
+#: Bytes of texts that are cut into chunks at once: the chunks of a text take ten times its room.
+TEXT_BYTES = 256 * 1024
+
+#: Marks that are a word of their own behind letters.
+_MARKS = {".", ",", ";", ":", "!", "?"}
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
 
 
@@ -40,22 +49,54 @@ class ByteCoder:
         self.as_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
         self.chunks: dict[str, bytes] = {}  # and words: a chunk without marks is one
-
-    def _word(self, word: str) -> bytes:
-        found = self.chunks.get(word)
-        if found is None:
-            if word.isascii() and word.isprintable():
-                symbols = word.replace(" ", self.space)  # every other printable byte stands for itself
+        self.seen, self.used = bytearray(SEEN_PLACES), 0
+
+    def _ids(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            symbols = word.replace(" ", self.space)  # every other printable byte stands for itself
+        else:
+            symbols = word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(symbols)])
+
+    def _words(self, chunk: str) -> list[str]:
+        core = chunk.removeprefix(" ")
+        if core.isalpha():
+            return [chunk]
+        if core[-1:] in _MARKS and core[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces.findall(chunk)
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Add ``new`` chunks and their words to ``chunks``; returns those that were added."""
+        known, added = self.chunks, []
+        for chunk in new:
+            if chunk not in known:  # else it is a word of an earlier one
+                words = self._words(chunk)
+                for word in words:
+                    if word not in known:
+                        known[word] = self._ids(word)
+                        added.append(word)
+                if len(words) > 1:
+                    known[chunk] = b"".join([known[word] for word in words])
+                    added.append(chunk)
+        return added
+
+    def _forget(self, added: list[str]) -> None:
+        """Take chunks out again, but for those that are to stay: where places are few, only a chunk stays that, or
+        one of its hash, came before. Most come once, and would leave no room for the others."""
+        known, seen = self.chunks, self.seen
+        room = CACHED_CHUNKS - len(known) + len(added)
+        for chunk in added:
+            place = hash(chunk) % SEEN_PLACES
+            if len(chunk) <= LONGEST_CHUNK and room > (0 if seen[place] else FOR_REPEATED):
+                room -= 1
             else:
-                symbols = word.encode().decode("latin-1").translate(self.alphabet)
-            found = b"".join([self.as_bytes[t.id] for t in self.model.tokenize(symbols)])
-            if len(self.chunks) < CACHED_CHUNKS:
-                self.chunks[word] = found
-        return found
-
-    def _learn(self, chunks: set[str], known: dict[str, bytes]) -> None:
-        for chunk in chunks:
-            known[chunk] = b"".join(map(self._word, self.pieces.findall(chunk)))
+                del known[chunk]
+                if not seen[place]:
+                    seen[place] = 1
+                    self.used += 1
+        if self.used > SEEN_PLACES // 2:
+            self.seen, self.used = bytearray(SEEN_PLACES), 0
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """A single space between other characters always starts a word, so a text with no doubled or outer spaces
@@ -64,12 +105,11 @@ class ByteCoder:
         for t in batch:
             plain = t and "  " not in t and t[0] != " " and t[-1] != " " and not _OTHER.search(t) and not any(s in t for s in self.special)
             split.append(t.replace(" ", "\0 ").split("\0") if plain else None)
-        new = {c for c in set().union(*(c for c in split if c)) if c not in self.chunks}
         known = self.chunks
-        if len(known) + len(new) > CACHED_CHUNKS:
-            known = _Both(self.chunks, {})
-        self._learn(new, known)
-        return [b"".join(map(known.__getitem__, chunks)) if chunks else self._whole(t) for t, chunks in zip(batch, split)]
+        added = self._learn({c for c in set().union(*(c for c in split if c)) if c not in known})
+        out = [b"".join(map(known.__getitem__, chunks)) if chunks else self._whole(t) for t, chunks in zip(batch, split)]
+        self._forget(added)
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -80,6 +120,17 @@ def byte_coder(path: str) -> ByteCoder:
     return ByteCoder(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of at most ``TEXT_BYTES`` of text; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(batch["_text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        upto = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+        yield batch.slice(start, upto - start)
+        start = upto
+
+
 def token_pieces(docs: DataFrame, path: str, size: int = 2048, closing_id: int = 0) -> DataFrame:
     """Pieces of at most ``size`` ids: doc_id, piece, start, length, ids, and the place of the piece among those of
     its length in its partition (part, nth). A document is its ids and then ``closing_id``; only a longer one is
@@ -93,8 +144,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, closing_id: int =
         coder, seen = byte_coder(path), np.zeros(size + 1, dtype=np.int64)
         closing = closing_id.to_bytes(4, "little")
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
-                rows = batch.slice(start, ROWS_PER_BATCH)
+            for rows in _slices(batch):
                 index, out = [], []
                 for i, ids in enumerate(coder.encode(rows["_text"].to_pylist())):
                     ids += closing

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -62,6 +63,46 @@ def test_byte_encoder_remembers_a_bounded_number_of_words_and_chunks(monkeypatch
     assert sum(len(v) for v in vars(coder).values() if isinstance(v, dict) and v is not coder.alphabet) <= 103
 
 
+def test_byte_encoder_leaves_places_to_chunks_that_come_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", 100)
+    monkeypatch.setattr(packing, "FOR_REPEATED", 50)
+    monkeypatch.setattr(packing, "SEEN_PLACES", 1 << 16)
+    tok, coder = Tokenizer.from_file(BYTES), packing.ByteCoder(BYTES)
+    texts = [f"once{i}x{i} again{i % 5} here" for i in range(300)] + ["both, parts " + "long" * 100] * 2
+    got = [coder.encode([t])[0] for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {" again4", " here", "both,", "both", ",", " parts"} <= coder.chunks.keys() and len(coder.chunks) < 70
+    assert max(map(len, coder.chunks)) < 20
+
+
+def test_words_of_usual_chunks_are_those_of_the_pattern():
+    coder = byte_coder(BYTES)
+    cores = ["a", "été", "ªº", "don't", "it's", "x2", "½", "a½", "²", "_", "a_", "", "'s", "İ", "ß\n", "日本", "٣", "a\xad", "\xa0b"]
+    for chunk in (s + c + m for s in ("", " ") for c in cores for m in ("", ".", ",", ";", ":", "!", "?", "..", "'")):
+        assert coder._words(chunk) == coder.pieces.findall(chunk), repr(chunk)
+
+
+def test_byte_encoder_holds_little_memory():
+    coder = packing.ByteCoder(BYTES)
+    tracemalloc.start()
+    try:
+        for start in range(0, 500_000, 5_000):
+            coder.encode([" ".join(f"w{i:x}" for i in range(start, start + 5_000))])
+        assert tracemalloc.get_traced_memory()[0] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0, 0], [packing.TEXT_BYTES // 3] * 10, [5, 2 * packing.TEXT_BYTES, 0, 7, 3 * packing.TEXT_BYTES]])
+def test_little_text_is_cut_into_chunks_at_once(sizes):
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(["é" * (n // 2) + "e" * (n % 2) for n in sizes], pa.string())], names=["doc_id", "_text"])
+    batch = pa.concat_batches([whole, whole]).slice(len(sizes))
+    parts = list(packing._slices(batch))
+    assert [i for p in parts for i in p["doc_id"].to_pylist()] == list(range(len(sizes)))
+    assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p["_text"].to_pylist()) <= packing.TEXT_BYTES for p in parts)
+    assert len(parts) <= 2 * sum(sizes) // packing.TEXT_BYTES + 1
+
+
 def test_memory_goes_back_when_another_operator_takes_a_worker(monkeypatch):
     done = []
     monkeypatch.setattr(common, "_owner", None)

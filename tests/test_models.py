@@ -343,6 +343,29 @@ def test_end_to_end_and_scoring(spark, binary, tmp_path):
     assert history["param_target"] == "y" and history["metric_tuned_best_score"] >= history["metric_baseline_score"] - 1e-12
 
 
+def test_registered_run_is_of_full_size(spark, tmp_path, monkeypatch):
+    """The registered run benchmarks full-size models on all folds and searches past the random trials."""
+    from tabwright.plans import queries
+
+    spark.range(60).selectExpr("id AS p_partkey", "double(id * 37 % 101) AS p_retailprice", "double(id % 7) AS size").write.parquet(str(tmp_path / "part.parquet"))
+    known, jobs_of, propose = [], [], search.propose
+
+    def scored(data, fold, jobs, seed, parallelism=4):  # the fits are left out
+        jobs_of.extend((name, fold, candidate, params) for name, candidate, params in jobs)
+        return [(name, candidate.name, fold, "rmse", 1.0 + len(name) + len(params), *data.sizes(fold), 0.0) for name, candidate, params in jobs]
+
+    monkeypatch.setattr(search, "propose", lambda space, history, *a: known.append(len(history)) or propose(space, history, *a))
+    monkeypatch.setattr(cv, "evaluate_fold", scored)
+    steps = queries.pipeline_run(spark, str(tmp_path)).collect()
+    assert [r["step"] for r in steps] == STEPS and {r["status"] for r in steps} == {"completed"}
+    assert len(known) == search.TRIALS and sum(n >= search.STARTUP_TRIALS for n in known) == 5
+    benchmarked = [(name, fold) for name, fold, candidate, _ in jobs_of if name == candidate.model_id]
+    assert len(set(benchmarked)) == len(benchmarked) == 20  # four models, five folds
+    facts = models.TrainingFacts(48)
+    forest, boosted = (next(c for _, _, c, _ in jobs_of if c.model_id == name).build({}, 0, facts) for name in ("random_forest_regressor", "gradient_boosting_regressor"))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.rounds) == (100, 12, 100)
+
+
 def test_failed_step_is_marked(spark):
     from tabwright.plans.pipeline import Run
 

@@ -11,6 +11,7 @@ from tabwright.functions.columns import (
     NUMERIC,
     TEXT,
     UNSUPPORTED,
+    as_double,
     columns_of_kind,
     is_floating,
     kind_of,
@@ -18,6 +19,7 @@ from tabwright.functions.columns import (
     present,
     quoted,
 )
+from tabwright.functions.distinct import few_numbers
 from tabwright.functions.texts import frequent_texts
 from tabwright.operators.profile import _describe, _fixed_width, _number_cells
 from tabwright.session import local_table
@@ -27,12 +29,14 @@ HLL_BITS = 14
 KLL_SIZE = 800
 #: Texts that a state keeps with their counts.
 KEPT_TEXTS = 64
+#: Values up to which a number column's state holds every value with its count.
+KEPT_VALUES = 64
 
 STATE = (
     "position int, column string, dtype string, kind string, width int, floating boolean, n_rows bigint, n bigint, text_bytes bigint, "
     "lo double, hi double, mean double, m2 double, m3 double, zeros bigint, ones bigint, distinct binary, ranks binary, "
-    "top array<struct<v:string,n:bigint>>, rest bigint")
-_NUMBERS = ["lo", "hi", "mean", "m2", "m3", "zeros", "ones", "ranks"]
+    "top array<struct<v:string,n:bigint>>, rest bigint, few array<struct<v:double,n:bigint>>")
+_NUMBERS = ["lo", "hi", "mean", "m2", "m3", "zeros", "ones", "ranks", "few"]
 _PARTS = ["n", "text_bytes", *_NUMBERS, "distinct", "top", "rest"]
 
 
@@ -55,7 +59,8 @@ def _numbers(df: DataFrame, numeric: list[str], dates: list[str]) -> DataFrame:
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), m2.alias("m2"),
         F.coalesce(F.skewness(x) * F.pow(m2, F.lit(1.5)) / F.sqrt(F.count(x)), F.lit(0.0)).alias("m3"),
         F.count_if(x == 0).alias("zeros"), F.count_if(x == 1).alias("ones"), F.kll_sketch_agg_double(x, KLL_SIZE).alias("ranks"))
-    both = found.join(F.broadcast(moments), "idx", "left")  # a row per column
+    few = few_numbers(df, [as_double(df, c) for c in numeric], KEPT_VALUES)
+    both = found.join(F.broadcast(moments), "idx", "left").join(F.broadcast(few), "idx", "left")  # a row per column
     return _shaped(both, names, n="n", distinct="distinct", **{c: c for c in _NUMBERS})
 
 
@@ -72,8 +77,8 @@ def _texts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def profile_state(df: DataFrame) -> DataFrame:
-    """One row of ``STATE`` per column of a batch: counts, extremes, moments, sketches of distinct values and ranks, and
-    the most frequent texts. ``rest`` is the highest count of a text that is not kept; of texts that occur once
+    """One row of ``STATE`` per column of a batch: counts, extremes, moments, sketches of distinct values and ranks, the
+    values of number columns that have few, and the most frequent texts. ``rest`` is the highest count of a text that is not kept; of texts that occur once
     the smallest is kept where there are no others. The plan has a fixed size whatever the number of columns."""
     layout = local_table(
         df.sparkSession,
@@ -119,11 +124,15 @@ def merge_states(states: DataFrame) -> DataFrame:
         F.sum(F.col("m2") + F.col("n") * d * d).alias("m2"),
         F.sum(F.col("m3") + 3 * d * F.col("m2") + F.col("n") * d * d * d).alias("m3"),
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.hll_union_agg("distinct").alias("distinct"),
-        F.kll_merge_agg_double("ranks").alias("ranks"), F.collect_list(F.struct("top", "rest")).alias("_tops"), F.sum("rest").alias("_rest"))
+        F.kll_merge_agg_double("ranks").alias("ranks"), F.collect_list(F.struct("top", "rest")).alias("_tops"), F.sum("rest").alias("_rest"),
+        F.count_if(F.col("lo").isNotNull() & F.col("few").isNull()).alias("_many"))
+    numbers = states.select("column", F.explode("few").alias("f")).groupBy("column", "f.v").agg(F.sum("f.n").alias("n"))
+    few = numbers.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("_few"))  # at most KEPT_VALUES a batch
     listed = states.select("column", F.explode("top").alias("t")).groupBy("column", "t.v").agg(F.sum("t.n").alias("n"))
     ranked = listed.withColumn("_place", F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "v")))
     tops = ranked.where(F.col("_place") <= KEPT_TEXTS + 1).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_place", "v", "n"))).alias("_top"))
-    out = merged.join(tops, "column", "left")
+    out = merged.join(tops, "column", "left").join(few, "column", "left").withColumn(
+        "few", F.when((F.col("_many") == 0) & (F.size("_few") <= KEPT_VALUES), F.col("_few")))
     kept = F.transform(F.slice("_top", 1, KEPT_TEXTS), lambda t: F.struct(t["v"].alias("v"), t["n"].alias("n")))
     next_one = F.coalesce(F.get("_top", F.lit(KEPT_TEXTS))["n"], F.lit(0))
     # a text that a batch did not keep occurs there ``rest`` times at most
@@ -135,8 +144,8 @@ def merge_states(states: DataFrame) -> DataFrame:
 def state_profile(state: DataFrame) -> DataFrame:
     """Profile table of a state, as ``column_profile`` gives it.
 
-    Counts, shares, extremes, mean, deviation, skewness and bytes are exact; distinct counts and quartiles come from
-    sketches. ``top_exact`` tells whether no text that was left out can be the most frequent one. ``is_exact`` is true
+    Counts, shares, extremes, mean, deviation, skewness and bytes are exact, and so are the quartiles of columns of at most
+    ``KEPT_VALUES`` numbers; distinct counts and other quartiles come from sketches. ``top_exact`` tells whether no text that was left out can be the most frequent one. ``is_exact`` is true
     for columns without values of a sketched kind."""
     n = F.col("n").cast("double")
     flat = (F.col("n") <= 1) | (F.col("lo") == F.col("hi"))
@@ -145,9 +154,18 @@ def state_profile(state: DataFrame) -> DataFrame:
     number = F.col("lo").isNotNull()
     zero_one = F.coalesce((F.col("zeros") > 0) & (F.col("ones") > 0) & (F.col("zeros") + F.col("ones") == F.col("n")), F.lit(False))
     best = F.array_sort(F.transform("top", lambda t: F.struct((-t["n"]).alias("less"), t["v"].alias("v"))))
-    quartile = lambda p: F.when(number, F.kll_sketch_get_quantile_double("ranks", F.lit(p)))
+    upto = F.transform("few", lambda t, i: F.struct(t["v"].alias("v"), F.aggregate(
+        F.slice("few", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda total, f: total + f["n"]).alias("n")))
+
+    def quartile(p):
+        place = (F.element_at("_upto", -1)["n"] - 1) * p
+        at = lambda k: F.get(F.filter("_upto", lambda t: t["n"] > k), F.lit(0))["v"]
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        exact = F.when(low == high, low).otherwise((F.floor(place) + 1 - place) * low + (place - F.floor(place)) * high)
+        return F.when(F.size("_upto") > 0, exact).otherwise(F.when(number, F.kll_sketch_get_quantile_double("ranks", F.lit(p))))
+
     rows = state.agg(F.max("n_rows")).first()[0] or 0  # every column has the rows of the table
-    shaped = state.withColumn("_best", F.get(best, F.lit(0))).select(
+    shaped = state.withColumn("_best", F.get(best, F.lit(0))).withColumn("_upto", upto).select(
         "position", "column", "dtype", "kind", "width", F.col("n").alias("n_non_null"),
         F.when(F.col("kind") != UNSUPPORTED, F.when(F.col("distinct").isNotNull(), F.hll_sketch_estimate("distinct")).otherwise(F.lit(0))).alias("n_distinct"),
         F.col("lo").alias("min"), F.col("hi").alias("max"), "mean",

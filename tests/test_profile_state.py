@@ -49,3 +49,21 @@ def test_states_of_an_empty_table(spark):
     empty = odd_table(spark).limit(0)
     got = {r["column"]: r for r in state_profile(merge_states(profile_state(empty).unionByName(profile_state(empty)))).collect()}
     assert len(got) == len(empty.columns) and all(r["n_rows"] == 0 and r["n_non_null"] == 0 for r in got.values())
+
+
+def test_quartiles_of_few_values_are_exact(spark):
+    """A rank just beside a border between two values: a sketch gives either of them."""
+    counts = [545, 640, 602, 617, 595, 600, 602, 601, 588, 610]  # 2,999 of 6,000 rows are 4 or less
+    values = np.repeat(np.arange(10), counts)
+    np.random.default_rng(5).shuffle(values)
+    rows = [(int(v), float(i % 2) if i % 3 else None, float(i), None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "v bigint, half double, many double, none double").withColumn("zero", F.when(F.col("v") < 5, F.lit(-0.0)).otherwise(0.0))
+    parts = [profile_state(df.where(F.col("many") % 3 == k)) for k in range(3)]
+    states = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(profile_state(df.limit(0)))
+    got = {r["column"]: r for r in state_profile(merge_states(states)).collect()}
+    want = {r["column"]: r for r in column_profile(df).collect()}
+    for c in ("v", "half", "none", "zero"):
+        assert [got[c][q] for q in ("q25", "median", "q75")] == [want[c][q] for q in ("q25", "median", "q75")], c
+    assert got["v"]["median"] == 5.0 and abs(got["many"]["median"] - 3000) < 120
+    kept = {r["column"]: r["few"] for r in merge_states(states).select("column", "few").collect()}
+    assert [r["n"] for r in kept["v"]] == counts and kept["many"] is None and len(kept["zero"]) == 1
